@@ -130,3 +130,12 @@ def clean_buildings(df: DataFrame, as_of_year: int) -> DataFrame:
     if zip_col:
         out = out.withColumn("zip_code", zip5(F.col(zip_col)))
     return out
+
+
+def at_place(df: DataFrame, zip_code: str | None = None, borough: str | None = None) -> DataFrame:
+    """Rows of the zip if one is given, otherwise of the borough, otherwise all."""
+    if zip_code and "zip_code" in df.columns:
+        return df.where(F.col("zip_code") == zip_code)
+    if borough and "borough" in df.columns:
+        return df.where(F.col("borough") == borough)
+    return df

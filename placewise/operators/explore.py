@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from placewise.operators.features import last_n_rows
 from placewise.operators.position import exact_quantiles
@@ -26,20 +26,26 @@ def global_stats(panel: DataFrame) -> DataFrame:
     )
 
 
-def location_stats(panel: DataFrame, by: str = "zip_code", recent: int = 6) -> DataFrame:
+def location_stats(panel: DataFrame, by: str = "zip_code", recent: int = 6, labels: Sequence[str] = ()) -> DataFrame:
     """Totals, the last rows' sum, mean violations and mean age for every place at once.
 
-    `by="borough"` sums the last rows of the borough's (zip, date)-ordered list.
+    A zip has one row per period, so it is ranked and summed in one pass over one shuffle. Another
+    `by`, such as borough, may hold most rows: its last rows in (zip, date) order come from a ranked
+    branch that is cut per task before the shuffle, its totals from a map-side aggregate.
     """
-    newest = ["date"] if by == "zip_code" else ["zip_code", "date"]
-    last = last_n_rows(panel, recent, by, newest).groupBy(by).agg(F.sum("complaint_count").alias("recent_complaints"))
     has = panel.columns
-    totals = panel.groupBy(by).agg(
-        F.sum("complaint_count").alias("total_complaints"),
+    means = [
         (F.avg("restaurant_violations_nearby") if "restaurant_violations_nearby" in has else F.lit(0.0)).alias("restaurant_violations"),
         (F.avg("building_age_mean") if "building_age_mean" in has else F.lit(DEFAULT_BUILDING_AGE)).alias("building_age"),
-    )
-    return totals.join(last, by)
+    ]
+    total = F.sum("complaint_count").alias("total_complaints")
+    tags = [F.max(c).alias(c) for c in labels]
+    if by == "zip_code":
+        newest = F.row_number().over(Window.partitionBy(by).orderBy(F.col("date").desc()))
+        last = F.sum(F.when(F.col("_rank") <= recent, F.col("complaint_count"))).alias("recent_complaints")
+        return panel.withColumn("_rank", newest).groupBy(by).agg(total, last, *means, *tags)
+    last = last_n_rows(panel, recent, by, ["zip_code", "date"]).groupBy(by).agg(F.sum("complaint_count").alias("recent_complaints"))
+    return panel.groupBy(by).agg(total, *means, *tags).join(last, by)
 
 
 def location_stats_or_default(stats: DataFrame, places: DataFrame, by: str = "zip_code") -> DataFrame:
@@ -119,24 +125,34 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins between minimum and maximum, the maximum in the last; empty bins included."""
-    # values are counted first: the edges and the bins then read the distinct values only
+    """Equal-width bins between minimum and maximum, the maximum in the last; empty bins included.
+
+    Values are counted first, so the bounds and the bins read the stored distinct values only.
+    """
     values = materialize(
         df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
     )
     low, high = values.agg(F.min("v")).scalar(), values.agg(F.max("v")).scalar()
-    spread = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
-    start = F.when(F.col("high") > F.col("low"), F.col("low")).otherwise(F.col("low") - 0.5)
-    edged = values.withColumn("low", low).withColumn("high", high)
-    bin_of = F.least(F.floor((F.col("v") - start) / spread * bins), F.lit(bins - 1)).cast("int")
-    filled = edged.groupBy(bin_of.alias("bin")).agg(F.sum("n").alias("rows"))
+    flat = F.col("high") == F.col("low")
+    start = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low"))
+    step = F.when(flat, F.lit(1.0)).otherwise(F.col("high") - F.col("low")) / bins
+    edged = values.withColumns({"low": low, "high": high}).withColumns({"start": start, "step": step})
+    v, first, width = F.col("v"), F.col("start"), F.col("step")
+    guess = F.least(F.floor((v - first) / width), F.lit(bins - 1))
+    # a value on an edge belongs to the bin that starts there, whatever the division rounded to
+    bin_of = (
+        F.when(v < first + guess * width, guess - 1)
+        .when((guess < bins - 1) & (v >= first + (guess + 1) * width), guess + 1)
+        .otherwise(guess)
+    )
+    filled = edged.groupBy(bin_of.cast("int").alias("bin")).agg(F.sum("n").alias("rows"))
     edges = (
         df.sparkSession.range(bins)
         .select(F.col("id").cast("int").alias("bin"), low.alias("low"), high.alias("high"))
         .select(
             "bin",
-            (start + spread * F.col("bin") / bins).alias("left_edge"),
-            (start + spread * (F.col("bin") + 1) / bins).alias("right_edge"),
+            (start + F.col("bin") * step).alias("left_edge"),
+            (start + (F.col("bin") + 1) * step).alias("right_edge"),
         )
     )
     return edges.join(filled, "bin", "left").fillna(0, subset=["rows"])

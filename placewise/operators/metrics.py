@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from placewise.functions.columns import clip_nonnegative
 from placewise.functions.scoring import normalize_weights
@@ -77,8 +79,8 @@ def residuals(predictions: DataFrame, y: str = "y", pred: str = "y_pred") -> Dat
     return predictions.withColumn("residual", F.col(y) - F.col(pred))
 
 
-@pandas_udf("double")
-def normal_quantile(p):
+@pandas_udf(DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse of the standard normal distribution; Spark has no such function."""
     from statistics import NormalDist
 

@@ -96,9 +96,8 @@ def assess_location(
     `forecasts` (place, predicted), `images` (place, predicted_class, confidence) and `coordinates`
     (place, latitude, longitude) are optional tables keyed by place. A lookup is a filter on the result.
     """
-    places = location_stats(panel, by)
-    if by == "zip_code" and "borough" in panel.columns:
-        places = places.join(panel.groupBy(by).agg(F.max("borough").alias("borough")), by)
+    labels = ["borough"] if by == "zip_code" and "borough" in panel.columns else []
+    places = location_stats(panel, by, labels=labels)
     if forecasts is not None:
         places = places.join(forecasts.select(by, "predicted"), by, "left")
     if images is not None:

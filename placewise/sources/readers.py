@@ -77,7 +77,11 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
 
 
 def read_images(
-    spark: SparkSession, folder: str, classes: Sequence[str] = IMAGE_CLASSES, pattern: str = "*.{jpg,png}"
+    spark: SparkSession,
+    folder: str,
+    classes: Sequence[str] = IMAGE_CLASSES,
+    pattern: str = "*.{jpg,png}",
+    folder_prefix: str = "",
 ) -> DataFrame:
     """Files below class folders: path, content, class name, label = place in the class list."""
     files = (
@@ -86,7 +90,7 @@ def read_images(
         .option("recursiveFileLookup", True)
         .load(folder)
     )
-    folder_name = F.regexp_extract("path", r"([^/=]+)/[^/]+$", 1)
+    folder_name = F.regexp_extract("path", rf"/{folder_prefix}([^/]+)/[^/]+$", 1)
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), folder_name)
     return (
         files.withColumn("class_name", folder_name)
