@@ -1 +1,199 @@
-"""To be filled."""
+"""Encoding, scaling, models and predictions."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from catalog.base import Tables, day, int4, num, nums, query, whole
+from catalog.cleaning import season_sql
+from catalog.exploring import ADDITIVE, PREDICTIONS
+from catalog.panels import keyed
+from catalog.standins import MASTER_SQL, PANEL_SQL, master, panel
+from placewise.operators import features as W
+from placewise.operators.metrics import compare_models
+from placewise.operators.vectors import pca_2d
+from placewise.plans import forecast as FC
+
+TRAIN_BEFORE = "2000-01-01"
+# Short training for the registered queries; the library defaults are longer.
+BOOSTING = {"maxIter": 8, "maxDepth": 4}
+
+
+@query("label_encode", f"""{PANEL_SQL}, b AS (SELECT borough, row_number() OVER (ORDER BY borough) - 1 AS i FROM (SELECT DISTINCT borough FROM dense)),
+  s AS (SELECT season, row_number() OVER (ORDER BY season) - 1 AS i FROM (SELECT DISTINCT {season_sql('date')} AS season FROM dense))
+  SELECT zip_code, {day('date')}, CAST(b.i AS INTEGER) AS borough_encoded, CAST(s.i AS INTEGER) AS season_encoded
+  FROM (SELECT *, {season_sql('date')} AS season FROM dense) d JOIN b ON d.borough = b.borough JOIN s ON d.season = s.season""")
+def label_encode(t: Tables):
+    table = panel(t).withColumn("season", W.season(F.month("date")))
+    lists = {c: W.categories_of(table, c) for c in W.CATEGORICAL}
+    return keyed(table.withColumns({f"{c}_encoded": W.encode(F.col(c), k) for c, k in lists.items()}), "borough_encoded", "season_encoded")
+
+
+@query("encode_unseen", "SELECT n_nationkey, CAST(CASE r_name WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'EUROPE' THEN 2 WHEN 'MIDDLE EAST' THEN 3 ELSE 4 END AS INTEGER) AS code FROM nation JOIN region ON n_regionkey = r_regionkey")
+def encode_unseen(t: Tables):
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    seen = W.categories_of(named.where("r_name <> 'ASIA'"), "r_name")
+    return named.select("n_nationkey", W.encode(F.col("r_name"), seen).alias("code"))
+
+
+@query("standard_scale", f"SELECT l_orderkey, l_linenumber, {num('(l_quantity - a) / s', 'l_quantity')}, {num('(l_discount - b) / d', 'l_discount')} FROM lineitem, (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s, avg(l_discount) AS b, stddev_pop(l_discount) AS d FROM lineitem)")
+def standard_scale(t: Tables):
+    return W.standard_scale(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), ["l_quantity", "l_discount"])
+
+
+_O = "OVER (PARTITION BY zip_code ORDER BY date"
+_FEATURES = (
+    {f"lag_{k}": f"lag(complaint_count, {k}) {_O})" for k in (1, 2, 3, 4, 12)}
+    | {
+        f"rolling_{n}_{k}": f"{f}(complaint_count) {_O} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+        for k in (3, 6, 12) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max"))
+    }
+    | {
+        "year": "year(date)", "month_sin": "sin(2 * pi() * month(date) / 12)", "month_cos": "cos(2 * pi() * month(date) / 12)",
+        "is_summer": "CASE WHEN month(date) IN (6, 7, 8) THEN 1 ELSE 0 END",
+        "mom_change": f"complaint_count - lag(complaint_count) {_O})", "yoy_change": f"complaint_count - lag(complaint_count, 12) {_O})",
+        "mom_pct_change": f"CASE WHEN lag(complaint_count) {_O}) <> 0 THEN (complaint_count - lag(complaint_count) {_O})) / CAST(lag(complaint_count) {_O}) AS DOUBLE) END",
+        "restaurant_violations_nearby": "restaurant_violations_nearby", "building_age_mean": "building_age_mean", "old_building_pct": "old_building_pct",
+    }
+)
+
+
+def features_sql(keep: str) -> str:
+    raw = ", ".join(f"CAST({e} AS DOUBLE) AS f_{n}" for n, e in _FEATURES.items())
+    filled = ", ".join(f"coalesce(f_{n}, (SELECT median(f_{n}) FROM kept)) AS f_{n}" for n in _FEATURES)
+    scaled = ", ".join(
+        f"(f_{n} - (SELECT avg(f_{n}) FROM filled)) / (SELECT CASE WHEN stddev_pop(f_{n}) = 0 THEN 1 ELSE stddev_pop(f_{n}) END FROM filled) AS {n}" for n in _FEATURES
+    )
+    return f"""{MASTER_SQL}, feat AS (SELECT zip_code, date, borough, {season_sql('date')} AS season, complaint_count, {raw}, row_number() {_O}) AS rn FROM master),
+  kept AS (SELECT * FROM feat WHERE {keep}), filled AS (SELECT zip_code, date, borough, season, complaint_count, {filled} FROM kept),
+  scaled AS (SELECT zip_code, date, complaint_count, borough, season, {scaled} FROM filled),
+  b AS (SELECT borough, row_number() OVER (ORDER BY borough) - 1 AS i FROM (SELECT DISTINCT borough FROM kept)),
+  s AS (SELECT season, row_number() OVER (ORDER BY season) - 1 AS i FROM (SELECT DISTINCT season FROM kept)),
+  encoded AS (SELECT x.*, CAST(b.i AS INTEGER) AS borough_encoded, CAST(s.i AS INTEGER) AS season_encoded FROM scaled x JOIN b ON x.borough = b.borough JOIN s ON x.season = s.season)"""
+
+
+_FEATURE_COLS = f"zip_code, {day('date')}, complaint_count, borough_encoded, season_encoded, {', '.join(num(n) for n in _FEATURES)}"
+
+
+def _features(t: Tables, **options):
+    table = master(t)
+    model = W.fit_features(table, **options)
+    return model.apply(table), model
+
+
+@query("feature_pipeline", f"{features_sql('rn > 12')} SELECT {_FEATURE_COLS} FROM encoded")
+def feature_pipeline(t: Tables):
+    df, model = _features(t)
+    return keyed(df, "complaint_count", *model.names)
+
+
+@query("feature_pipeline_first_key", f"{features_sql('rn > 12 OR zip_code <> (SELECT min(zip_code) FROM master)')} SELECT {_FEATURE_COLS} FROM encoded")
+def feature_pipeline_first_key(t: Tables):
+    df, model = _features(t, drop_first_key_only=True)
+    return keyed(df, "complaint_count", *model.names)
+
+
+@query("feature_matrix", f"{features_sql('rn > 12')} SELECT zip_code, {day('date')}, CAST(26 AS INTEGER) AS width, {num(' + '.join(list(_FEATURES) + ['borough_encoded', 'season_encoded']), 'total')} FROM encoded")
+def feature_matrix(t: Tables):
+    df, model = _features(t)
+    values = vector_to_array(F.col("features"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return keyed(W.feature_matrix(df, model.names), F.size(values).alias("width"), total.alias("total"))
+
+
+def _trained(t: Tables):
+    table = master(t)
+    features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
+    rows = features.apply(table)
+    trees = FC.fit_boosted(rows.where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names, **BOOSTING)
+    return table, features, rows, trees
+
+
+@query("gbt_forecast")
+def gbt_forecast(t: Tables):
+    _, features, rows, trees = _trained(t)
+    return FC.predict_boosted(rows.where(F.col("date") >= F.lit(TRAIN_BEFORE)), trees, features.names)
+
+
+@query("feature_importance")
+def feature_importance(t: Tables):
+    _, features, _, trees = _trained(t)
+    return FC.feature_importance(t.spark, trees, features.names)
+
+
+@query("predict_location")
+def predict_location(t: Tables):
+    """Fitted values for the last three rows of every asked place; parts that are no place get zeros."""
+    table, features, _, trees = _trained(t)
+    asked = t.part.select(F.col("p_partkey").cast("string").alias("zip_code"))
+    return FC.predict_location(table, features, trees, 3, asked)
+
+
+@query("sequence_forecast")
+def sequence_forecast(t: Tables):
+    table = master(t)
+    features = W.fit_features(table, train_before=TRAIN_BEFORE)
+    rows = features.apply(table)
+    model = FC.fit_sequence(rows.where(F.col("date") < F.lit(TRAIN_BEFORE)), features.numeric)
+    return FC.predict_sequence(rows, model, features.numeric).where(F.col("date") >= F.lit(TRAIN_BEFORE))
+
+
+@query("train_all_compare")
+def train_all_compare(t: Tables):
+    """Every model and the ensemble, trained on the earlier dates and compared on the later ones."""
+    table = master(t)
+    features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
+    return compare_models(FC.train_forecasters(table, features, TRAIN_BEFORE, BOOSTING)["predictions"])
+
+
+@query("baseline_lag1", f"{PREDICTIONS} SELECT zip_code, {day('date')}, {nums('y y_pred')} FROM predictions WHERE model = 'baseline'")
+def baseline_lag1(t: Tables):
+    return keyed(FC.baseline_lag1(panel(t)), "y", "y_pred")
+
+
+@query("additive_forecast", f"{PANEL_SQL}, {ADDITIVE} SELECT zip_code, {day('date')}, {nums('y y_pred')} FROM additive")
+def additive_forecast(t: Tables):
+    return keyed(FC.additive_forecast(panel(t)), "y", "y_pred")
+
+
+@query("additive_unknown_place", f"""{PANEL_SQL}, {ADDITIVE}, asked AS (SELECT CAST(p_partkey AS VARCHAR) AS zip_code FROM part)
+  SELECT q.zip_code, {num('coalesce(greatest(0, intercept + slope * (2002 * 12 + 5) + s), 0)', 'y_pred')} FROM asked q LEFT JOIN fit f ON q.zip_code = f.zip_code
+  LEFT JOIN (SELECT * FROM season WHERE m = 6) s ON q.zip_code = s.zip_code""")
+def additive_unknown_place(t: Tables):
+    model = FC.fit_additive(panel(t))
+    asked = t.part.select(F.col("p_partkey").cast("string").alias("zip_code"), F.lit("2002-06-01").cast("date").alias("date"))
+    return FC.predict_additive(asked, model).select("zip_code", "y_pred")
+
+
+_LAST = "(SELECT max(date) FROM dense)"
+
+
+@query("forecast_horizon", f"""{PANEL_SQL}, {ADDITIVE}, ahead AS (SELECT h, {_LAST} + to_months(CAST(h AS INTEGER)) AS d FROM range(1, 4) r(h)),
+  f AS (SELECT i.zip_code, h, greatest(0, intercept + slope * (year(d) * 12 + month(d) - 1) + s) AS p FROM fit i CROSS JOIN ahead JOIN season s ON i.zip_code = s.zip_code AND s.m = month(d)),
+  n AS (SELECT zip_code, max(CASE WHEN h = 1 THEN p END) AS next_month, sum(p) AS next_3_months FROM f GROUP BY 1),
+  o AS (SELECT zip_code, sum(complaint_count) AS recent FROM dense WHERE date > {_LAST} - INTERVAL 3 MONTH GROUP BY 1)
+  SELECT n.zip_code, {nums('next_month next_3_months')}, CASE WHEN next_3_months - recent > recent * 0.05 THEN 'increasing' WHEN next_3_months - recent < -recent * 0.05 THEN 'decreasing' ELSE 'stable' END AS trend
+  FROM n JOIN o ON n.zip_code = o.zip_code""")
+def forecast_horizon(t: Tables):
+    return FC.forecast_horizon(panel(t))
+
+
+@query("yoy_trend", f"""{PANEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY date DESC) AS rn FROM dense),
+  s AS (SELECT zip_code, sum(complaint_count) FILTER (rn <= 12) AS a, CASE WHEN count(*) FILTER (rn BETWEEN 13 AND 24) = 12 THEN sum(complaint_count) FILTER (rn BETWEEN 13 AND 24) END AS b FROM r GROUP BY 1)
+  SELECT zip_code, {whole('a', 'last_12')}, {whole('b', 'previous_12')}, {num('CASE WHEN b <> 0 THEN 100.0 * (a - b) / b END', 'yoy_pct')} FROM s""")
+def yoy_trend(t: Tables):
+    return FC.yoy_trend(panel(t))
+
+
+@query("embedding_classifier")
+def embedding_classifier(t: Tables):
+    """Dense head on the stored vectors; predicted class against label for every vector."""
+    model = FC.fit_embedding_classifier(t.embeddings, classes=10, hidden=32, max_iter=20)
+    rows = t.embeddings.select("vec_id", "label", FC.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return model.transform(rows.withColumnRenamed("label", "y")).select("vec_id", "y", F.col("prediction").cast("int").alias("pred"))
+
+
+@query("pca_2d")
+def pca(t: Tables):
+    return pca_2d(t.embeddings, keep=["vec_id", "label"])

@@ -1 +1,298 @@
-"""To be filled."""
+"""Vector search, contexts, prompts, text indexes.
+
+The vectors of `embeddings` stand in for an encoder's output: joined to `documents` they act as the
+complaint index, joined to `pages` as the guideline index. Queries are the mean vectors per label.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from catalog.base import Tables, day, int4, num, nums, query, whole
+from catalog.exploring import SIMS
+from catalog.scalars import score_col
+from catalog.standins import COMPLAINTS, MASTER_SQL, PANEL_SQL, complaints, master, panel
+from placewise import settings
+from placewise.operators import texts as X
+from placewise.operators import vectors as V
+from placewise.operators.clean import available
+from placewise.operators.explore import location_stats
+from placewise.plans import forecast as FC
+from placewise.plans import reports as R
+from placewise.plans.assess import panel_stats, score_places
+from placewise.functions.columns import stringify_metadata
+
+
+def asked(t: Tables):
+    """One query vector per label."""
+    return V.mean_vectors(t.embeddings, "label").withColumnRenamed("label", "query_id")
+
+
+def vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("zip_code"))
+
+
+def complaint_hits(t: Tables, k: int = 5, **options):
+    return V.vector_search(complaint_index(t), asked(t), k, **options)
+
+
+def complaint_index(t: Tables):
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return vectors(t).join(docs, "id").select(
+        "id", "text", "embedding", stringify_metadata(["zip_code", "lang"]).alias("metadata"), "zip_code", "lang"
+    )
+
+
+def guideline_index(t: Tables):
+    return vectors(t).join(t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text")), "id").select("id", "text", "embedding")
+
+
+# distances are rounded before ranking, on both sides
+def hits_sql(name: str, k: int, source: str = "", where: str = "TRUE") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT c AS query_id, s.vec_id AS id, round(1 - s, 9) AS distance, s.label, {'x.*,' if source else ''}
+    row_number() OVER (PARTITION BY c ORDER BY round(1 - s, 9), s.vec_id) AS rank FROM sims s {source} WHERE {where}) WHERE rank <= {k})"""
+
+
+_DOCS = "JOIN (SELECT doc_id, text, lang FROM documents) x ON x.doc_id = s.vec_id"
+_PAGES = "JOIN (SELECT page_id, html AS text FROM pages) x ON x.page_id = s.vec_id"
+
+
+@query("vector_search", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
+def vector_search(t: Tables):
+    return V.vector_search(vectors(t), asked(t))
+
+
+@query("rank_topk", f"WITH {SIMS}, {hits_sql('h', 3)} SELECT query_id, id, {int4('rank')} FROM h")
+def rank_topk(t: Tables):
+    scored, classes = V.class_scores(t.embeddings)
+    pairs = scored.select(F.col("vec_id").alias("id"), F.posexplode("scores").alias("query_id", "s"))
+    return V.rank_topk(pairs.withColumn("distance", F.round(1 - F.col("s"), 9)), 3).select("query_id", "id", "rank")
+
+
+@query("vector_search_filtered", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS, chr(39) + 'en' + chr(39) + ' = x.lang')} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
+def vector_search_filtered(t: Tables):
+    return complaint_hits(t, where=X.metadata_equals(lang="en"))
+
+
+@query("vector_search_location", f"WITH {SIMS}, {hits_sql('h', 5, where='s.label = c')} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
+def vector_search_location(t: Tables):
+    queries = asked(t).withColumn("place", F.col("query_id").cast("string"))
+    return V.vector_search(vectors(t), queries, match=("zip_code", "place"))
+
+
+@query("vector_search_text", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS, 'contains(x.text, ' + chr(39) + 'tion' + chr(39) + ')')} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
+def vector_search_text(t: Tables):
+    return complaint_hits(t, where=X.document_contains("tion"))
+
+
+@query("vector_search_threshold", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h WHERE distance <= 0.3")
+def vector_search_threshold(t: Tables):
+    return V.vector_search(vectors(t), asked(t), max_distance=0.3)
+
+
+@query("vector_search_approx")
+def vector_search_approx(t: Tables):
+    return V.vector_search_approx(vectors(t), asked(t))
+
+
+@query("join_query_docs", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS)} SELECT query_id, id, lang, text, {num('1 - distance', 'similarity')} FROM h")
+def join_query_docs(t: Tables):
+    index = complaint_index(t)
+    hits = V.attach(V.vector_search(index, asked(t)), index, ["lang", "text"])
+    return hits.select("query_id", "id", "lang", "text", (1 - F.col("distance")).alias("similarity"))
+
+
+@query("similarity_score", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('1 - distance', 'similarity')} FROM h")
+def similarity_score(t: Tables):
+    return V.vector_search(vectors(t), asked(t)).select("query_id", "id", (1 - F.col("distance")).alias("similarity"))
+
+
+@query("cosine_matrix", f"""WITH {SIMS} SELECT a.c AS id_a, b.c AS id_b, {num('sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m)))', 'similarity')}
+  FROM centres a JOIN centres b USING (d) GROUP BY 1, 2""")
+def cosine_matrix(t: Tables):
+    return V.cosine_matrix(asked(t), "query_id")
+
+
+_PLACE = """near AS (SELECT d.vec_id AS id, CAST(d.label AS VARCHAR) AS place, round(1 - d.s, 9) AS distance, row_number() OVER (PARTITION BY d.label ORDER BY round(1 - d.s, 9), d.vec_id) AS rank
+  FROM sims d WHERE c = 0)"""
+
+
+@query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT *, (SELECT text FROM documents WHERE doc_id = id) AS text FROM near WHERE rank <= 100)
+  SELECT place, count(*) AS total_complaints, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS recent, string_agg(text, '|' ORDER BY rank) FILTER (rank <= 10) AS issues FROM n GROUP BY 1""")
+def retrieval_summary(t: Tables):
+    # the generic location query is the first label's mean vector
+    scored, _ = V.class_scores(complaint_index(t).withColumn("label", F.col("zip_code").cast("int")))
+    out = X.retrieval_summary(scored, F.round(1 - F.col("scores")[0], 9), F.col("zip_code"))
+    return out.select(
+        "place", "total_complaints", F.array_join(F.col("recent_complaints").cast("array<string>"), ",").alias("recent"),
+        F.array_join("sample_issues", "|").alias("issues"),
+    )
+
+
+def ranked(t: Tables, k: int = 5, g: int = 3):
+    """Complaint and guideline hits with their payload."""
+    c, p = complaint_index(t), guideline_index(t)
+    queries = asked(t)
+    return (
+        V.attach(V.vector_search(c, queries, k), c, ["text", "metadata"]),
+        V.attach(V.vector_search(p, queries, g), p, ["text"]),
+    )
+
+
+_CONTEXT = f"""{SIMS}, {hits_sql('hc', 5, _DOCS)}, {hits_sql('hg', 3, _PAGES)},
+  lc AS (SELECT query_id, string_agg(CAST(rank AS VARCHAR) || '. ' || text || ' (Location: ' || CAST(label AS VARCHAR) || ', Date: N/A)' || chr(10), '' ORDER BY rank) AS a FROM hc GROUP BY 1),
+  lg AS (SELECT query_id, string_agg(text || chr(10) || chr(10), '' ORDER BY rank) AS b FROM hg GROUP BY 1),
+  context AS (SELECT lc.query_id, '## Relevant Historical Complaints' || chr(10) || a || chr(10) || '## Relevant Health Guidelines' || chr(10) || b AS context FROM lc JOIN lg ON lc.query_id = lg.query_id)"""
+
+
+@query("context_string", f"WITH {_CONTEXT} SELECT query_id, context FROM context")
+def context_string(t: Tables):
+    return X.context_string(*ranked(t))
+
+
+@query("answer_sources", f"""WITH {SIMS}, {hits_sql('hc', 3, _DOCS)}, {hits_sql('hg', 2, _PAGES)}
+  SELECT query_id, {int4('rank', 'place')}, 'complaint' AS kind, id, text FROM hc UNION ALL SELECT query_id, CAST(rank + 3 AS INTEGER), 'guideline', id, text FROM hg""")
+def answer_sources(t: Tables):
+    return X.answer_sources(*ranked(t)).select("query_id", "place", "kind", "id", "text")
+
+
+@query("union_sources", f"WITH {SIMS}, {hits_sql('hc', 3, _DOCS)}, {hits_sql('hg', 2, _PAGES)} SELECT query_id, id, {num('distance')} FROM hc UNION ALL SELECT query_id, id, {num('distance')} FROM hg")
+def union_sources(t: Tables):
+    return X.answer_sources(*ranked(t)).select("query_id", "id", "distance")
+
+
+def judged(t: Tables):
+    """Hits of the label's mean vector; a hit is relevant when it carries the label."""
+    hits = V.vector_search(vectors(t), asked(t))
+    return V.attach(hits, vectors(t), ["zip_code"]).withColumn("is_relevant", F.col("zip_code") == F.col("query_id").cast("string"))
+
+
+@query("precision_at_k", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, {num('sum(CASE WHEN label = query_id THEN 1 ELSE 0 END) / 5', 'precision')} FROM h GROUP BY 1")
+def precision_at_k(t: Tables):
+    return X.precision_at_k(judged(t))
+
+
+@query("mean_precision", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT {num('avg(p)', 'mean_precision')} FROM (SELECT sum(CASE WHEN label = query_id THEN 1 ELSE 0 END) / 5 AS p FROM h GROUP BY query_id)")
+def mean_precision(t: Tables):
+    return X.precision_at_k(judged(t)).agg(F.avg("precision").alias("mean_precision"))
+
+
+@query("precision_by_text", f"""WITH {SIMS}, {hits_sql('h', 5, _DOCS)} SELECT query_id, {num('sum(CASE WHEN contains(text, q.r) OR contains(text, q.e) THEN 1 ELSE 0 END) / 5', 'precision')}
+  FROM h JOIN (SELECT n_nationkey, substr(r_name, 1, 2) AS r, 'tion' AS e FROM nation JOIN region ON n_regionkey = r_regionkey) q ON h.query_id = q.n_nationkey GROUP BY 1""")
+def precision_by_text(t: Tables):
+    hits, _ = ranked(t)
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    relevance = named.select(F.col("n_nationkey").alias("query_id"), F.array(F.substring("r_name", 1, 2), F.lit("tion")).alias("relevant"))
+    return X.precision_at_k(X.judge_by_text(hits, relevance))
+
+
+@query("recall_at_k", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, {num('sum(CASE WHEN h.label = query_id THEN 1 ELSE 0 END) / max(n)', 'recall')} FROM h JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) k ON k.label = query_id GROUP BY 1")
+def recall_at_k(t: Tables):
+    totals = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.count("*").alias("relevant_rows"))
+    return X.recall_at_k(judged(t), totals)
+
+
+@query("mrr", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT {num('avg(coalesce(1.0 / r, 0))', 'mrr')} FROM (SELECT min(CASE WHEN label = query_id THEN rank END) AS r FROM h GROUP BY query_id)")
+def mrr(t: Tables):
+    return X.mean_reciprocal_rank(judged(t))
+
+
+def text_sql(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query("question_prompt", f"""WITH {_CONTEXT} SELECT item_id, {text_sql(chr(10) + settings.QUESTION_OPENING + chr(10) * 2 + 'Question: ')} || b.text || {text_sql(chr(10) * 2 + 'Location context: ')} || CAST(query_id AS VARCHAR)
+  || {text_sql(chr(10) * 2 + settings.QUESTION_CONTEXT + chr(10))} || context || {text_sql(chr(10) * 2 + settings.QUESTION_CLOSING + chr(10))} AS prompt
+  FROM benchmark b JOIN context c ON b.item_id % 10 = c.query_id""")
+def question_prompt(t: Tables):
+    # every benchmark text is a question, answered from the context of one of the ten queries
+    contexts = X.context_string(*ranked(t))
+    rows = t.benchmark.withColumn("query_id", (F.col("item_id") % 10).cast("int")).join(contexts, "query_id")
+    return rows.select("item_id", R.question_prompt(F.col("text"), F.col("context"), F.col("query_id").cast("string")).alias("prompt"))
+
+
+@query("summary_prompt", f"""SELECT c_custkey, {text_sql(chr(10) + settings.SUMMARY_OPENING + chr(10) + '- Risk level: ')} || CASE WHEN s < 4 THEN 'low' WHEN s < 7 THEN 'moderate' ELSE 'high' END || ' (' || printf('%.1f', s)
+  || {text_sql('/10)' + chr(10) + '- Key factors: ')} || c_mktsegment || ', ' || n_name || ', ' || r_name || {text_sql(chr(10) * 2 + settings.SUMMARY_CLOSING + chr(10))} AS prompt
+  FROM (SELECT *, (c_acctbal + 1000) / 1100 AS s FROM customer) JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def summary_prompt(t: Tables):
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    factors = F.array("c_mktsegment", "n_name", "r_name", "c_name")
+    return rows.select("c_custkey", R.summary_prompt(score_col(), factors).alias("prompt"))
+
+
+@query("report_prompt", f"""{PANEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY date DESC) AS rn FROM dense),
+  s AS (SELECT zip_code, max(borough) AS borough, CAST(sum(complaint_count) AS BIGINT) AS total, CAST(sum(complaint_count) FILTER (rn <= 6) AS BIGINT) AS recent FROM r GROUP BY 1)
+  SELECT zip_code, {text_sql('Generate a comprehensive rat risk assessment report for the following location:' + chr(10) + '**Location:** ')} || zip_code || {text_sql(chr(10) + '**Overall Risk Score:** ')}
+  || printf('%.1f', CAST(total / 60.0 AS DOUBLE)) || {text_sql('/10' + chr(10) * 2 + '## Historical Data' + chr(10) + '- Total complaints in area: ')} || total || {text_sql(chr(10) + '- Recent complaints (last 6 months): ')} || recent
+  || {text_sql(chr(10) + '- Year-over-year trend: N/A' + chr(10) + '- Sample complaint descriptions:' + chr(10) + '  - ')} || borough || {text_sql(chr(10) + chr(10) + '## Forecast Data' + chr(10) + '- Predicted complaints (next month): ')} || recent
+  || {text_sql(chr(10) + '- Predicted complaints (next 3 months): N/A' + chr(10) + '- Forecast confidence: N/A' + chr(10) + '- Trend direction: N/A' + chr(10))}
+  || CASE WHEN borough = 'ASIA' THEN {text_sql(chr(10) + '## Image Analysis' + chr(10) + '- Detected evidence: rat' + chr(10) + '- Confidence: 87.5%' + chr(10) + '- **WARNING**: Rat evidence detected in uploaded image' + chr(10))} ELSE '' END
+  || {text_sql(settings.REPORT_INSTRUCTIONS)} AS prompt FROM s""")
+def report_prompt(t: Tables):
+    places = location_stats(panel(t), labels=["borough"])
+    image = F.when(F.col("borough") == "ASIA", "rat")
+    prompt = R.report_prompt(
+        F.col("zip_code"), F.col("total_complaints") / 60.0, F.col("total_complaints"), F.col("recent_complaints"),
+        samples=F.array("borough"), next_month=F.col("recent_complaints"),
+        image_class=image, image_confidence=F.lit(0.875), image_evidence=F.lit(True), context=F.lit(""),
+    )
+    return places.select("zip_code", prompt.alias("prompt"))
+
+
+@query("full_report")
+def full_report(t: Tables):
+    """Assessment, yearly trend, outlook and retrieved context in one prompt per place."""
+    table = master(t)
+    scored = score_places(location_stats(table), panel_stats(table), month=7)
+    rows = scored.join(FC.yoy_trend(table), "zip_code").join(FC.forecast_horizon(table), "zip_code")
+    contexts = X.context_string(*ranked(t)).withColumn("zip_code", F.col("query_id").cast("string"))
+    rows = rows.join(contexts, "zip_code", "left")
+    yoy = F.format_string("%+.1f%%", "yoy_pct")
+    prompt = R.report_prompt(
+        F.col("zip_code"), F.col("risk_score"), F.col("total_complaints"), F.col("recent_complaints"), yoy,
+        next_month=F.round("next_month", 1), next_3_months=F.round("next_3_months", 1), trend=F.col("trend"), context=F.col("context"),
+    )
+    return rows.select("zip_code", prompt.alias("prompt"))
+
+
+# ---- indexes over text
+
+
+def _length(embedding: str = "embedding"):
+    return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+@query("text_embed", "SELECT doc_id, CAST(384 AS INTEGER) AS dimension, CAST(1 AS INTEGER) AS unit FROM documents")
+def text_embed(t: Tables):
+    model = X.fit_text_embedding(t.documents)
+    out = X.text_embed(t.documents.select("doc_id", "text"), model)
+    return out.select("doc_id", F.size("embedding").alias("dimension"), F.round(_length(), 3).cast("int").alias("unit"))
+
+
+@query("build_complaint_index", f"""WITH {COMPLAINTS} SELECT 'complaint_' || unique_key AS id, descriptor AS text, strftime(created_date, '%Y-%m-%d %H:%M:%S') AS created, borough, zip_code, status,
+  CAST(1 AS INTEGER) AS unit FROM complaints""")
+def build_complaint_index(t: Tables):
+    rows = complaints(t, closed=False)
+    index = X.build_complaint_index(rows, X.fit_text_embedding(rows, "descriptor"))
+    m = F.col("metadata")
+    return index.select(
+        "id", "text", m["created_date"].alias("created"), m["borough"].alias("borough"), m["zip_code"].alias("zip_code"), m["status"].alias("status"),
+        F.round(_length(), 3).cast("int").alias("unit"),
+    )
+
+
+@query("build_guideline_index")
+def build_guideline_index(t: Tables):
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("source"), "text")
+    index = X.build_guideline_index(docs, X.fit_text_embedding(docs), separator="\n")
+    return index.select("id", "text", F.col("metadata")["chunk_index"].alias("chunk_index"), F.size("embedding").alias("dimension"))
+
+
+@query("text_search")
+def text_search(t: Tables):
+    """Every benchmark text against all documents by text vectors."""
+    model = X.fit_text_embedding(t.documents)
+    index = X.text_embed(t.documents.select(F.col("doc_id").alias("id"), "text"), model)
+    queries = X.text_embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), model)
+    return V.vector_search(index, queries)

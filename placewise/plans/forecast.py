@@ -134,9 +134,9 @@ def flat_sequences(rows: DataFrame, features: Sequence[str], y: str = "complaint
 
 
 def fit_sequence(train: DataFrame, features: Sequence[str], y: str = "complaint_count", reg: float = 1.0) -> LinearRegressionModel:
-    """Ridge regression from the flattened window to the next value."""
+    """Ridge regression from the flattened window to the next value; the normal equations need one pass."""
     reader = LinearRegression(
-        featuresCol="features", labelCol="y", predictionCol="y_pred", regParam=reg, elasticNetParam=0.0, solver="l-bfgs", maxIter=50
+        featuresCol="features", labelCol="y", predictionCol="y_pred", regParam=reg, elasticNetParam=0.0, solver="normal"
     )
     return reader.fit(flat_sequences(train, features, y))
 
