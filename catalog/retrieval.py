@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Tables, day, int4, num, nums, query, whole
 from catalog.exploring import SIMS
-from catalog.scalars import score_col
+from catalog.scalars import CHUNKS_SQL, score_col
 from catalog.standins import COMPLAINTS, MASTER_SQL, PANEL_SQL, complaints, master, panel
 from placewise import settings
 from placewise.operators import texts as X
@@ -21,7 +21,7 @@ from placewise.operators.explore import location_stats
 from placewise.plans import forecast as FC
 from placewise.plans import reports as R
 from placewise.plans.assess import panel_stats, score_places
-from placewise.functions.columns import stringify_metadata
+from placewise.functions.columns import one_decimal, stringify_metadata
 
 
 def asked(t: Tables):
@@ -202,14 +202,13 @@ def text_sql(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-@query("question_prompt", f"""WITH {_CONTEXT} SELECT item_id, {text_sql(chr(10) + settings.QUESTION_OPENING + chr(10) * 2 + 'Question: ')} || b.text || {text_sql(chr(10) * 2 + 'Location context: ')} || CAST(query_id AS VARCHAR)
+@query("question_prompt", f"""WITH {_CONTEXT} SELECT n_nationkey, {text_sql(chr(10) + settings.QUESTION_OPENING + chr(10) * 2 + 'Question: ')} || n_name || {text_sql(chr(10) * 2 + 'Location context: ')} || CAST(query_id AS VARCHAR)
   || {text_sql(chr(10) * 2 + settings.QUESTION_CONTEXT + chr(10))} || context || {text_sql(chr(10) * 2 + settings.QUESTION_CLOSING + chr(10))} AS prompt
-  FROM benchmark b JOIN context c ON b.item_id % 10 = c.query_id""")
+  FROM nation JOIN context c ON n_nationkey = c.query_id""")
 def question_prompt(t: Tables):
-    # every benchmark text is a question, answered from the context of one of the ten queries
-    contexts = X.context_string(*ranked(t))
-    rows = t.benchmark.withColumn("query_id", (F.col("item_id") % 10).cast("int")).join(contexts, "query_id")
-    return rows.select("item_id", R.question_prompt(F.col("text"), F.col("context"), F.col("query_id").cast("string")).alias("prompt"))
+    # the nation with the query's number stands in for the question
+    rows = t.nation.join(X.context_string(*ranked(t)), F.col("n_nationkey") == F.col("query_id"))
+    return rows.select("n_nationkey", R.question_prompt(F.col("n_name"), F.col("context"), F.col("query_id").cast("string")).alias("prompt"))
 
 
 @query("summary_prompt", f"""SELECT c_custkey, {text_sql(chr(10) + settings.SUMMARY_OPENING + chr(10) + '- Risk level: ')} || CASE WHEN s < 4 THEN 'low' WHEN s < 7 THEN 'moderate' ELSE 'high' END || ' (' || printf('%.1f', s)
@@ -248,10 +247,10 @@ def full_report(t: Tables):
     rows = scored.join(FC.yoy_trend(table), "zip_code").join(FC.forecast_horizon(table), "zip_code")
     contexts = X.context_string(*ranked(t)).withColumn("zip_code", F.col("query_id").cast("string"))
     rows = rows.join(contexts, "zip_code", "left")
-    yoy = F.format_string("%+.1f%%", "yoy_pct")
+    yoy = F.concat(F.when(F.col("yoy_pct") >= 0, "+").otherwise(""), one_decimal(F.col("yoy_pct")), F.lit("%"))
     prompt = R.report_prompt(
         F.col("zip_code"), F.col("risk_score"), F.col("total_complaints"), F.col("recent_complaints"), yoy,
-        next_month=F.round("next_month", 1), next_3_months=F.round("next_3_months", 1), trend=F.col("trend"), context=F.col("context"),
+        next_month=one_decimal(F.col("next_month")), next_3_months=one_decimal(F.col("next_3_months")), trend=F.col("trend"), context=F.col("context"),
     )
     return rows.select("zip_code", prompt.alias("prompt"))
 
@@ -282,7 +281,7 @@ def build_complaint_index(t: Tables):
     )
 
 
-@query("build_guideline_index")
+@query("build_guideline_index", CHUNKS_SQL.replace("SELECT doc_id, CAST(unnest(range", "SELECT 'guideline_' || doc_id || '_' || chunk_index AS id, text, CAST(chunk_index AS VARCHAR) AS chunk_index, CAST(384 AS INTEGER) AS dimension FROM (SELECT doc_id, CAST(unnest(range") + ")")
 def build_guideline_index(t: Tables):
     docs = t.documents.select(F.col("doc_id").cast("string").alias("source"), "text")
     index = X.build_guideline_index(docs, X.fit_text_embedding(docs), separator="\n")

@@ -74,13 +74,16 @@ def preview_text(t: Tables):
 _STRIP = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(32) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
 
 
-@query("chunk_text", f"""WITH f AS (SELECT doc_id, list_reduce(
+CHUNKS_SQL = f"""WITH f AS (SELECT doc_id, list_reduce(
     list_transform(string_split(text, chr(10)), lambda p: {{'done': CAST([] AS VARCHAR[]), 'open': '', 'p': p}}),
     lambda a, x: {{'done': CASE WHEN length(a.open) + length(x.p) < 500 OR a.open = '' THEN a.done ELSE list_append(a.done, trim(a.open, {_STRIP})) END,
       'open': CASE WHEN length(a.open) + length(x.p) < 500 THEN a.open || x.p || chr(10) ELSE x.p || chr(10) END, 'p': ''}},
     {{'done': CAST([] AS VARCHAR[]), 'open': '', 'p': ''}}) AS s FROM documents),
   c AS (SELECT doc_id, CASE WHEN s.open = '' THEN s.done ELSE list_append(s.done, trim(s.open, {_STRIP})) END AS chunks FROM f)
-  SELECT doc_id, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index, unnest(chunks) AS text FROM c""")
+  SELECT doc_id, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index, unnest(chunks) AS text FROM c"""
+
+
+@query("chunk_text", CHUNKS_SQL)
 def chunk_text_query(t: Tables):
     return chunk_text(t.documents.select("doc_id", "text"), separator="\n")
 

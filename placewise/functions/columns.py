@@ -72,6 +72,29 @@ def in_box(lat: Column, lon: Column, lat_range, lon_range) -> Column:
     return lat.between(*lat_range) & lon.between(*lon_range)
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one digit after the point, rounded from the exact binary value, exact ties to even.
+
+    `format_string` rounds the shortest decimal form instead, which turns 10.35 (stored slightly
+    below) into 10.4. Twenty times the value is split exactly into a rounded sum and its error, which
+    tells on which side of a half tenth the value lies.
+    """
+    x = F.abs(value.cast("double"))
+    a, b = 16 * x, 4 * x
+    s = a + b
+    error = (a - (s - (s - a))) + (b - (s - a))
+    whole = F.floor(s)
+    low, high = F.floor(whole / 2), F.floor((whole + 1) / 2)
+    on_half = (s == whole) & (whole % 2 == 1)
+    tenths = (
+        F.when(on_half & (error < 0), low)
+        .when(on_half & (error == 0) & (low % 2 == 0), low)
+        .otherwise(high)
+    )
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.format_string("%.1f", tenths / 10))
+
+
 def label_text(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

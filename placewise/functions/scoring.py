@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
-from placewise.functions.columns import banded, clip, lookup
+from placewise.functions.columns import banded, clip, lookup, one_decimal
 from placewise.settings import (
     AGE_BANDS,
     COLOR_BANDS,
@@ -131,13 +131,13 @@ def positive_factors(factors: Column) -> Column:
 
 
 def format_score(score: Column) -> Column:
-    return F.concat(F.lit("Risk Score: "), F.format_string("%.1f", score), F.lit("/10 ("), risk_level(score), F.lit(")"))
+    return F.concat(F.lit("Risk Score: "), one_decimal(score), F.lit("/10 ("), risk_level(score), F.lit(")"))
 
 
 def explain_score(score: Column, contributing: Column, top: int = 3) -> Column:
     lines = F.transform(
         F.slice(contributing, 1, top),
-        lambda f: F.concat(F.lit("- "), f["description"], F.lit(": "), F.format_string("%.1f", f["score"]), F.lit("/10\n")),
+        lambda f: F.concat(F.lit("- "), f["description"], F.lit(": "), one_decimal(f["score"]), F.lit("/10\n")),
     )
     listed = F.concat(F.lit("\n**Key Contributing Factors:**\n"), F.array_join(lines, ""))
     return F.concat(

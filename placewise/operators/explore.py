@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from placewise.operators.features import last_n_rows
 from placewise.operators.position import exact_quantiles
-from placewise.session import materialize
 from placewise.settings import DEFAULT_BUILDING_AGE
 
 
@@ -127,11 +126,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum, the maximum in the last; empty bins included.
 
-    Values are counted first, so the bounds and the bins read the stored distinct values only.
+    One pass for the bounds, one that counts at most `bins` groups on the map side.
     """
-    values = materialize(
-        df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    )
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     low, high = values.agg(F.min("v")).scalar(), values.agg(F.max("v")).scalar()
     flat = F.col("high") == F.col("low")
     start = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low"))
@@ -145,7 +142,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         .when((guess < bins - 1) & (v >= first + (guess + 1) * width), guess + 1)
         .otherwise(guess)
     )
-    filled = edged.groupBy(bin_of.cast("int").alias("bin")).agg(F.sum("n").alias("rows"))
+    filled = edged.groupBy(bin_of.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
     edges = (
         df.sparkSession.range(bins)
         .select(F.col("id").cast("int").alias("bin"), low.alias("low"), high.alias("high"))

@@ -74,22 +74,22 @@ def drop_first_n(df: DataFrame, n: int, key: str = "zip_code", time: str = "date
 def split_by_date(df: DataFrame, train: float = 0.70, val: float = 0.15, time: str = "date") -> DataFrame:
     """Column `split`; a date goes whole to the part in which its last row falls.
 
-    Only one row per distinct date is ranked, so this is the split to use at scale.
+    Only one row per distinct date is ranked, and the two cut-off dates come back as scalars, so the
+    rows themselves are neither sorted nor shuffled. This is the split to use at scale.
     """
     per_date = df.groupBy(time).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        per_date.withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-        .withColumn(
-            "split",
-            F.when(F.col("_upto") <= F.floor(F.col("_all") * train), "train")
-            .when(F.col("_upto") <= F.floor(F.col("_all") * (train + val)), "val")
-            .otherwise("test"),
-        )
-        .select(time, "split")
+    upto = F.sum("_n").over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(Window.partitionBy())
+    ranked = per_date.withColumns({"_upto": upto, "_all": total})
+
+    def last_within(share: float) -> Column:
+        inside = F.col("_upto") <= F.floor(F.col("_all") * share)
+        return ranked.agg(F.max(F.when(inside, F.col(time)))).scalar()
+
+    return df.withColumn(
+        "split",
+        F.when(F.col(time) <= last_within(train), "train").when(F.col(time) <= last_within(train + val), "val").otherwise("test"),
     )
-    return df.join(cut, time)
 
 
 def split_by_position(df: DataFrame, order: Sequence[str], train: float = 0.70, val: float = 0.15) -> DataFrame:

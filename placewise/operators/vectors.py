@@ -18,10 +18,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from placewise.session import scratch_path
 from placewise.settings import TOP_K
 
 # A block of queries held by every task: at most this many bytes of float64.
 BLOCK_BYTES = 64 * 1024 * 1024
+# The driver holds at most this many blocks; further ones go through a table in the shared folder.
+HELD_BLOCKS = 4
+# Search answers of at most this many rows may be broadcast to fetch their payload.
+BROADCAST_ROWS = 1_000_000
 # Distances are compared after rounding, so that equal vectors tie on every engine and batch layout.
 DISTANCE_DIGITS = 9
 
@@ -92,16 +97,24 @@ def vector_search(
     q_arrow = to_arrow_type(queries.schema[query_id].dataType)
     id_type = index.schema[id_col].dataType.simpleString()
     schema = f"query_id {q_type}, id {id_type}, distance double"
-    parts = [
-        pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow), schema)
-        for ids, keys, matrix in _query_blocks(queries, query_id, query_vec, match[1] if match else None)
-    ]
+    spark = index.sparkSession
+    parts, asked, spool = [], 0, None
+    for ids, keys, matrix in _query_blocks(queries, query_id, query_vec, match[1] if match else None):
+        parts.append(pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow), schema))
+        asked += len(ids)
+        if len(parts) == HELD_BLOCKS:
+            spool = spool or scratch_path(spark, "nearest")
+            reduce(DataFrame.union, parts).write.mode("append").parquet(spool)
+            parts = []
+    if spool:
+        parts.append(spark.read.schema(schema).parquet(spool))
     if not parts:
-        return index.sparkSession.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], schema + ", rank int")
     near = reduce(DataFrame.union, parts)
     if max_distance is not None:
         near = near.where(F.col("distance") <= max_distance)
-    return rank_topk(near, k)
+    hits = rank_topk(near, k)
+    return F.broadcast(hits) if asked * k <= BROADCAST_ROWS else hits
 
 
 def rank_topk(hits: DataFrame, k: int, query: str = "query_id", by: Sequence[str] = ("distance", "id")) -> DataFrame:
@@ -161,7 +174,8 @@ def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: b
 
 
 def attach(hits: DataFrame, index: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Payload columns of the hits; the hits are few, so the optimizer ships them to the index scan."""
+    """Payload columns of the hits. Answers of a bounded size carry a broadcast hint, so the index is
+    scanned once more but not shuffled."""
     payload = index.select(F.col(id_col).alias("id"), *columns)
     return hits.join(payload, "id")
 
@@ -225,7 +239,7 @@ def vector_search_approx(
     tables: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate neighbours through random projections of unit vectors.
+    """Approximate neighbours through random projections of unit vectors; a short query list is broadcast.
 
     For unit vectors squared Euclidean distance is twice the cosine distance. Work is the number of
     bucket collisions within `max_distance`, not index x queries; some true neighbours are missed.
@@ -243,6 +257,8 @@ def vector_search_approx(
         inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     )
     model = lsh.fit(base)
+    if asked.count() <= BROADCAST_ROWS // 100:
+        asked = F.broadcast(asked)
     radius = float(np.sqrt(2 * max_distance))
     pairs = model.approxSimilarityJoin(asked, base, radius, distCol="d")
     near = pairs.select(

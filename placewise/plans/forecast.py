@@ -57,12 +57,17 @@ def fit_additive(panel: DataFrame, key: str = "zip_code", time: str = "date", y:
     return line.select(key, "slope", "intercept", season.alias("season"))
 
 
+def additive_value(date: Column) -> Column:
+    """Forecast from the model columns of the same row; 0 when they are missing."""
+    season = F.coalesce(F.try_element_at("season", F.month(date)), F.lit(0.0))
+    value = F.col("intercept") + F.col("slope") * month_index(date) + season
+    return F.coalesce(clip_nonnegative(value), F.lit(0.0))
+
+
 def predict_additive(rows: DataFrame, model: DataFrame, key: str = "zip_code", time: str = "date", output: str = "y_pred") -> DataFrame:
     """Trend plus season, not below 0; a place without a model gets 0."""
     joined = rows.join(model, key, "left")
-    season = F.coalesce(F.try_element_at("season", F.month(time)), F.lit(0.0))
-    value = F.col("intercept") + F.col("slope") * month_index(F.col(time)) + season
-    return joined.withColumn(output, F.coalesce(clip_nonnegative(value), F.lit(0.0))).drop("slope", "intercept", "season")
+    return joined.withColumn(output, additive_value(F.col(time))).drop("slope", "intercept", "season")
 
 
 def additive_forecast(panel: DataFrame, train_before=None) -> DataFrame:
@@ -79,7 +84,7 @@ def forecast_horizon(panel: DataFrame, months: int = 3, stable_share: float = 0.
     last = panel.agg(F.max(F.to_date("date"))).scalar()
     model = fit_additive(panel)
     ahead = F.explode(period_sequence(F.add_months(last, 1), F.add_months(last, months)))
-    future = predict_additive(model.select("zip_code", ahead.alias("date")), model)
+    future = model.select("*", ahead.alias("date")).withColumn("y_pred", additive_value(F.col("date")))
     recent = panel.where(F.col("date") > F.add_months(last, -months)).groupBy("zip_code").agg(F.sum("complaint_count").alias("recent"))
     sums = future.groupBy("zip_code").agg(
         F.max(F.when(F.col("date") == F.add_months(last, 1), F.col("y_pred"))).alias("next_month"),

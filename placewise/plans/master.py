@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from placewise.operators.clean import clean_buildings, clean_complaints, clean_inspections
+from placewise.operators.clean import available, clean_buildings, clean_complaints, clean_inspections, rename_snake
 from placewise.operators.panel import agg_location_period, join_buildings, join_violations, zero_fill
 from placewise.session import materialize
 from placewise.settings import BOROUGH_NAMES
@@ -16,6 +16,10 @@ MASTER_COLUMNS = [
     "building_age_mean", "building_age_median", "building_count", "old_building_pct",
 ]
 
+COMPLAINT_INPUTS = [
+    "unique_key", "created_date", "closed_date", "borough", "incident_zip", "latitude", "longitude",
+]
+
 
 def dense_panel(complaints: DataFrame, location: str = "zip_code", freq: str = "month", tag: str | None = None) -> DataFrame:
     """Cleaned complaints to the dense panel, with one pass over the complaints.
@@ -39,7 +43,10 @@ def create_master(
 
     The optional tables may be None; their columns then take the defaults. Sort only when writing.
     """
-    panel = dense_panel(clean_complaints(complaints, borough_names), tag="borough")
+    # the cleaner keeps one row per key, so only what the panel needs goes through that shuffle
+    named = rename_snake(complaints)
+    needed = clean_complaints(named.select(*available(named, COMPLAINT_INPUTS)), borough_names)
+    panel = dense_panel(needed, tag="borough" if "borough" in needed.columns else None)
     checked = clean_inspections(inspections) if inspections is not None else None
     aged = clean_buildings(buildings, as_of_year) if buildings is not None else None
     panel = join_violations(panel, checked, **violation_options)

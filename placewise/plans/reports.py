@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from placewise.functions.columns import one_decimal
 from placewise.functions.scoring import risk_band3
 from placewise.settings import (
     QUESTION_CLOSING,
@@ -43,7 +44,7 @@ def report_prompt(
     parts = [
         F.lit("Generate a comprehensive rat risk assessment report for the following location:\n"),
         F.concat(F.lit("**Location:** "), location, F.lit("\n")),
-        F.concat(F.lit("**Overall Risk Score:** "), F.format_string("%.1f", score), F.lit("/10\n\n")),
+        F.concat(F.lit("**Overall Risk Score:** "), one_decimal(score), F.lit("/10\n\n")),
         F.lit("## Historical Data\n"),
         _bullet("Total complaints in area", total),
         _bullet("Recent complaints (last 6 months)", recent),
@@ -62,7 +63,7 @@ def report_prompt(
         _bullet("Trend direction", trend),
     ]
     if image_class is not None:
-        percent = F.format_string("%.1f%%", 100 * F.coalesce(image_confidence, F.lit(0.0)))
+        percent = F.concat(one_decimal(100 * F.coalesce(image_confidence, F.lit(0.0))), F.lit("%"))
         flag = F.lit(False) if image_evidence is None else F.coalesce(image_evidence, F.lit(False))
         warning = F.when(flag, F.lit("- **WARNING**: Rat evidence detected in uploaded image\n")).otherwise(F.lit(""))
         parts.append(F.when(image_class.isNotNull(), F.concat(
@@ -78,7 +79,7 @@ def report_prompt(
 def summary_prompt(score: Column, factors: Column) -> Column:
     return F.concat(
         F.lit(f"\n{SUMMARY_OPENING}\n- Risk level: "), risk_band3(score),
-        F.lit(" ("), F.format_string("%.1f", score), F.lit("/10)\n- Key factors: "),
+        F.lit(" ("), one_decimal(score), F.lit("/10)\n- Key factors: "),
         F.array_join(F.slice(factors, 1, 3), ", "), F.lit(f"\n\n{SUMMARY_CLOSING}\n"),
     )
 
