@@ -29,7 +29,9 @@ class Tables:
         zoned = {
             f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)
         }
-        return df.withColumns(zoned) if zoned else df
+        table = df.withColumns(zoned) if zoned else df
+        setattr(self, name, table)
+        return table
 
 
 def tidy(df: DataFrame) -> DataFrame:

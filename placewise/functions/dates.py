@@ -49,13 +49,16 @@ def month_name(month: Column) -> Column:
     return F.try_element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month)
 
 
+UNITS = {"M": "month", "W": "week", "month": "month", "week": "week"}
+
+
 def period_start(ts: Column, freq: str = "month") -> Column:
     """First day of the month or of the Monday-based week, as a date."""
-    return F.trunc(F.to_date(ts), freq)
+    return F.trunc(F.to_date(ts), UNITS[freq])
 
 
 def period_step(freq: str = "month") -> Column:
-    return F.expr("interval 1 month" if freq == "month" else "interval 7 days")
+    return F.expr("interval 1 month" if UNITS[freq] == "month" else "interval 7 days")
 
 
 def period_sequence(first: Column, last: Column, freq: str = "month") -> Column:

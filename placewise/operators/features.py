@@ -90,8 +90,8 @@ def numeric_features(df: DataFrame, lags: Sequence[int] = LAG_PERIODS, windows:
 
 def categories_of(df: DataFrame, column: str) -> list[str]:
     """The distinct values in alphabetical order, null as 'Unknown'; a short list by nature."""
-    rows = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("c")).distinct().orderBy("c").collect()
-    return [r["c"] for r in rows]
+    rows = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("c")).distinct().collect()
+    return sorted(r["c"] for r in rows)
 
 
 def encode(value: Column, categories: Sequence[str]) -> Column:
@@ -168,9 +168,10 @@ def fit_features(
     if train_before is not None:
         base = base.where(F.col("date") < F.lit(train_before))
     model.numeric = numeric_features(base, lags, windows)
-    model.categories = {c: categories_of(base, c) for c in CATEGORICAL if c in base.columns}
-    base = base.select(*[F.col(c).cast("double").alias(c) for c in model.numeric]).persist()
+    listed = [c for c in CATEGORICAL if c in base.columns]
+    base = base.select(*[F.col(c).cast("double").alias(c) for c in model.numeric], *listed).persist()
     try:
+        model.categories = {c: categories_of(base, c) for c in listed}
         middles = exact_quantiles(base, model.numeric, [0.5])
         model.medians = {c: (v[0] if v[0] is not None else 0.0) for c, v in middles.items()}
         model.means, model.scales = scaling_stats(model.fill(base), model.numeric)

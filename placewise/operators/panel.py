@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placewise.functions.dates import period_sequence, period_start, period_step
+from placewise.session import materialize
 from placewise.settings import DEFAULT_BUILDING_AGE, DEFAULT_OLD_SHARE, TRAILING_MONTHS
 
 
@@ -168,7 +169,8 @@ def join_buildings(panel: DataFrame, buildings: DataFrame | None, location: str
             "building_age_mean": F.lit(DEFAULT_BUILDING_AGE),
             "old_building_pct": F.lit(DEFAULT_OLD_SHARE),
         })
-    stats = building_stats(buildings, location)
+    # a row per location, read by the join and by the medians: computed once
+    stats = materialize(building_stats(buildings, location))
     filled = ["building_age_mean", "building_age_median", "old_building_pct"]
     used = stats.join(panel.select(location).distinct(), location, "left_semi")
     medians = {c: used.agg(F.median(c)).scalar() for c in filled}

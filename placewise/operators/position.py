@@ -10,6 +10,8 @@ from placewise.session import materialize
 
 # A broadcast table of partition starts may hold at most this many rows.
 BROADCAST_ROWS = 1_000_000
+# Up to this many values one aggregate buffer holds them all; beyond it quantiles are bracketed first.
+BUFFERED_VALUES = 2_000_000
 
 
 def _columns(items: Sequence[Column | str]) -> list[Column]:
@@ -115,9 +117,9 @@ def split_per_class(df: DataFrame, label: str, order: Sequence[str], train: floa
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated quantiles of many columns in two passes.
+    """Exact, linearly interpolated quantiles of many columns.
 
-    Pass 1 brackets each quantile with approximate ones. Pass 2 counts what lies below a bracket
+    A counted small input takes one aggregate. Otherwise pass 1 brackets each quantile with approximate ones. Pass 2 counts what lies below a bracket
     and aggregates the distinct values inside it, so only a sliver of the rows is ever ranked and a
     repeated value costs one row. The bracket is checked against the exact rank and widened if needed.
     """
@@ -125,6 +127,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     first = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
     counts = {c: first[f"n{i}"] for i, c in enumerate(names)}
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
+    if sum(counts.values()) <= BUFFERED_VALUES:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(names)]).first()
+        return {c: list(row[f"q{i}"]) if counts[c] else found[c] for i, c in enumerate(names)}
     todo = [(c, k) for c in names if counts[c] > 0 for k in range(len(probs))]
     slack = 4.0 / accuracy
     while todo:

@@ -134,7 +134,9 @@ def retrieval_summary(
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= most)
     )
-    listed = F.array_sort(F.collect_list(F.struct("rank", "id", "text")))
+    # texts beyond the listed ones are not carried along
+    kept = F.when(F.col("rank") <= issues, F.col("text")).alias("text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", kept)))
     return hits.groupBy("place").agg(F.count("*").alias("total_complaints"), listed.alias("hits")).select(
         "place",
         "total_complaints",

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placewise.functions import scoring as S
-from placewise.operators.explore import global_stats, location_stats
+from placewise.operators.explore import global_stats, location_stats, location_stats_or_default
 from placewise.settings import CONTRIBUTION_THRESHOLD, DEFAULT_STATS, FACTORS, RISK_WEIGHTS
 
 
@@ -90,14 +90,18 @@ def assess_location(
     forecasts: DataFrame | None = None,
     images: DataFrame | None = None,
     coordinates: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested risk record per place.
+    """One nested risk record per place; `by` is zip_code, borough or any other column of the panel.
 
-    `forecasts` (place, predicted), `images` (place, predicted_class, confidence) and `coordinates`
+    `asked` lists the wanted places; one that the panel does not know is scored from 0 complaints and
+    the default age. `forecasts` (place, predicted), `images` (place, predicted_class, confidence) and `coordinates`
     (place, latitude, longitude) are optional tables keyed by place. A lookup is a filter on the result.
     """
     labels = ["borough"] if by == "zip_code" and "borough" in panel.columns else []
     places = location_stats(panel, by, labels=labels)
+    if asked is not None:
+        places = location_stats_or_default(places, asked.select(by), by)
     if forecasts is not None:
         places = places.join(forecasts.select(by, "predicted"), by, "left")
     if images is not None:

@@ -27,10 +27,15 @@ MASTER_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, timestamp_format: str | None = None) -> DataFrame:
-    """CSV with a header and an explicit schema, so codes such as zips stay text."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str, timestamp_format: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header and an explicit schema, so codes such as zips stay text.
+
+    `multi_line` allows line breaks inside quoted values, at the price of one task per file.
+    """
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    reader = reader.option("multiLine", False).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"')
     if timestamp_format:
         reader = reader.option("timestampFormat", timestamp_format)
     return reader.csv(path)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from placewise.operators import position
 from placewise.operators.position import drop_first_n, exact_quantiles, split_by_date, split_by_position, split_per_class, with_position
 from placewise.sources.readers import with_pages
 
@@ -81,7 +82,9 @@ def test_drop_first_rows(spark):
     assert {(r["zip_code"], r["count"]) for r in kept} == {("a", 3), ("b", 5)}
 
 
-def test_exact_quantiles_with_ties_nulls_and_one_value(spark):
+@pytest.mark.parametrize("buffered", [0, 10**6])
+def test_exact_quantiles_with_ties_nulls_and_one_value(spark, monkeypatch, buffered):
+    monkeypatch.setattr(position, "BUFFERED_VALUES", buffered)
     rng = random.Random(5)
     rows = [
         (0.0 if i % 3 else rng.gauss(0, 100), None if i % 7 == 0 else rng.randrange(5), 4.0, None if i else 2.0, None)

@@ -107,3 +107,9 @@ def test_assess_by_borough_and_with_optional_tables(spark):
     assert got["1"]["factors"]["forecast_risk"] == 10.0 and got["1"]["factors"]["image_evidence"] == 9.0 and got["1"]["location"]["latitude"] == 40.7
     assert got["3"]["factors"]["forecast_risk"] == got["3"]["factors"]["historical_complaints"] and got["3"]["location"]["latitude"] is None
     assert all(1 <= r["risk_score"] <= 10 for r in got.values())
+    wanted = spark.createDataFrame([("3",), ("unknown",)], "zip_code string")
+    some = {r["location"]["zip_code"]: r for r in assess_location(panel, month=7, asked=wanted).collect()}
+    assert set(some) == {"3", "unknown"} and some["3"]["risk_score"] == got["3"]["risk_score"]
+    assert tuple(some["unknown"]["historical_stats"]) == (0, 0, 0.0, 50.0) and some["unknown"]["factors"]["building_age"] == 6.0
+    city = assess_location(panel.withColumn("city", F.lit("all")), "city", month=7).collect()
+    assert len(city) == 1 and city[0]["historical_stats"]["total_complaints"] == 36 * 6 and city[0]["historical_stats"]["recent_complaints"] == 3 * sum(range(3, 9))
