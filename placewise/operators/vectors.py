@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Normalizer, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -230,43 +230,57 @@ def vector_search_approx(
     index: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
-    max_distance: float = 0.75,
+    max_distance: float = 1.0,
     id_col: str = "id",
     vec_col: str = "embedding",
     query_id: str = "query_id",
     query_vec: str = "embedding",
-    bucket_length: float = 1.0,
+    bucket_length: float = 0.25,
     tables: int = 8,
+    width: int = 2,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate neighbours through random projections of unit vectors; a short query list is broadcast.
+    """Approximate neighbours by random projections of the unit vectors, for an index too large to scan per query.
 
-    For unit vectors squared Euclidean distance is twice the cosine distance. Work is the number of
-    bucket collisions within `max_distance`, not index x queries; some true neighbours are missed.
+    Each table buckets a vector by `width` projections cut into steps of `bucket_length`. Only pairs
+    that share a bucket are compared, each in the first table where they meet, so no pair is emitted
+    twice and nothing but the ranked answer needs a shuffle when the query list is short. Some true
+    neighbours are missed; `vector_search` is the exact way.
     """
-    unit = Normalizer(inputCol="raw", outputCol="unit")
-
-    def units(df, ident, vec):
-        raw = df.where(F.col(vec).isNotNull()).select(
-            F.col(ident).alias("key"), array_to_vector(F.col(vec).cast("array<double>")).alias("raw")
+    first = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).first()
+    dim = first[0] if first else 1
+    directions = np.random.default_rng(seed).normal(size=(tables * width, dim))
+
+    def bucketed(df: DataFrame, ident: str, vec: str, prefix: str) -> DataFrame:
+        vector = F.col(vec).cast("array<double>")
+        length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+        steps = F.transform(F.col("_p"), lambda x: F.floor(x / bucket_length))
+        keys = [F.xxhash64(*[F.col("_s")[t * width + w] for w in range(width)]) for t in range(tables)]
+        return (
+            df.where(F.col(vec).isNotNull())
+            .select(F.col(ident).alias(f"{prefix}_id"), vector.alias(f"{prefix}_v"), length.alias(f"{prefix}_n"), similarities(F.col(vec), directions).alias("_p"))
+            .withColumn("_s", steps)
+            .select(f"{prefix}_id", f"{prefix}_v", f"{prefix}_n", F.array(*keys).alias(f"{prefix}_keys"))
         )
-        return unit.transform(raw).where(vector_to_array("unit").isNotNull()).select("key", "unit")
 
-    base, asked = units(index, id_col, vec_col), units(queries, query_id, query_vec)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    model = lsh.fit(base)
-    if asked.count() <= BROADCAST_ROWS // 100:
+    def spread(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select("*", F.posexplode(f"{prefix}_keys").alias("table", "bucket"))
+
+    asked = bucketed(queries, query_id, query_vec, "q")
+    if queries.count() <= BROADCAST_ROWS // 100:
         asked = F.broadcast(asked)
-    radius = float(np.sqrt(2 * max_distance))
-    pairs = model.approxSimilarityJoin(asked, base, radius, distCol="d")
-    near = pairs.select(
-        F.col("datasetA.key").alias("query_id"),
-        F.col("datasetB.key").alias("id"),
-        F.round(F.col("d") * F.col("d") / 2, DISTANCE_DIGITS).alias("distance"),
+    pairs = spread(bucketed(index, id_col, vec_col, "i"), "i").join(spread(asked, "q"), ["table", "bucket"])
+    first_meeting = F.coalesce(*[
+        F.when(F.col("i_keys")[t] == F.col("q_keys")[t], F.lit(t)) for t in range(tables)
+    ])
+    dot = F.aggregate(F.zip_with("i_v", "q_v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    norms = F.col("i_n") * F.col("q_n")
+    near = pairs.where(first_meeting == F.col("table")).select(
+        F.col("q_id").alias("query_id"),
+        F.col("i_id").alias("id"),
+        F.round(1 - F.when(norms > 0, dot / norms).otherwise(F.lit(0.0)), DISTANCE_DIGITS).alias("distance"),
     )
-    return rank_topk(near, k)
+    return rank_topk(near.where(F.col("distance") <= max_distance), k)
 
 
 def pca_2d(df: DataFrame, vec_col: str = "embedding", k: int = 2, keep: Sequence[str] = ()) -> DataFrame:

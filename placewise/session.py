@@ -25,14 +25,14 @@ def get_session(app: str = "placewise", cpus: str | int = "*", shuffle_partition
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known:
+        return known
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="placewise-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="placewise-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

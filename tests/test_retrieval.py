@@ -111,6 +111,21 @@ def test_approximate_search_finds_most(spark):
     exact = set((q, i) for (q, _), i in found(V.vector_search(df, asked, 5)).items())
     near = set((q, i) for (q, _), i in found(V.vector_search_approx(df, asked, 5)).items())
     assert len(exact & near) / len(exact) > 0.8
+    everything = V.vector_search_approx(df, asked, 5, max_distance=2.0, bucket_length=100.0)
+    assert found(everything) == brute(index, centres, 5)
+    plan = near_plan(V.vector_search_approx(df, asked, 5))
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def near_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_payload_comes_by_broadcast(spark):
+    index, queries = vectors(40, 8, 3), vectors(6, 8, 4)
+    df = frame(spark, index, "id")
+    plan = near_plan(V.attach(V.vector_search(df, frame(spark, queries, "query_id")), df, ["place"]))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_pca_equals_numpy(spark):
