@@ -18,10 +18,11 @@ from placewise.operators import texts as X
 from placewise.operators import vectors as V
 from placewise.operators.clean import available
 from placewise.operators.explore import location_stats
-from placewise.plans import forecast as FC
+from placewise.session import scratch_path
+from placewise.sources import readers
+from placewise.plans import answer as A
 from placewise.plans import reports as R
-from placewise.plans.assess import panel_stats, score_places
-from placewise.functions.columns import one_decimal, stringify_metadata
+from placewise.functions.columns import stringify_metadata
 
 
 def asked(t: Tables):
@@ -125,7 +126,7 @@ def retrieval_summary(t: Tables):
     scored, _ = V.class_scores(complaint_index(t).withColumn("label", F.col("zip_code").cast("int")))
     out = X.retrieval_summary(scored, F.round(1 - F.col("scores")[0], 9), F.col("zip_code"))
     return out.select(
-        "place", "total_complaints", F.array_join(F.col("recent_complaints").cast("array<string>"), ",").alias("recent"),
+        "place", "total_complaints", F.array_join(F.col("recent_complaints")["id"].cast("array<string>"), ",").alias("recent"),
         F.array_join("sample_issues", "|").alias("issues"),
     )
 
@@ -242,17 +243,21 @@ def report_prompt(t: Tables):
 @query("full_report")
 def full_report(t: Tables):
     """Assessment, yearly trend, outlook and retrieved context in one prompt per place."""
-    table = master(t)
-    scored = score_places(location_stats(table), panel_stats(table), month=7)
-    rows = scored.join(FC.yoy_trend(table), "zip_code").join(FC.forecast_horizon(table), "zip_code")
     contexts = X.context_string(*ranked(t)).withColumn("zip_code", F.col("query_id").cast("string"))
-    rows = rows.join(contexts, "zip_code", "left")
-    yoy = F.concat(F.when(F.col("yoy_pct") >= 0, "+").otherwise(""), one_decimal(F.col("yoy_pct")), F.lit("%"))
-    prompt = R.report_prompt(
-        F.col("zip_code"), F.col("risk_score"), F.col("total_complaints"), F.col("recent_complaints"), yoy,
-        next_month=one_decimal(F.col("next_month")), next_3_months=one_decimal(F.col("next_3_months")), trend=F.col("trend"), context=F.col("context"),
-    )
-    return rows.select("zip_code", prompt.alias("prompt"))
+    return R.report_table(master(t), contexts, month=7).select("zip_code", "prompt")
+
+
+@query("answer_questions")
+def answer_questions(t: Tables):
+    """Every benchmark text as a question to the orders' descriptors and the documents' chunks."""
+    rows = complaints(t, closed=False)
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("source"), "text")
+    encoder = X.fit_text_embedding(docs)
+    questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("7").alias("place"))
+    indexes = {"complaints": X.build_complaint_index(rows, encoder), "guidelines": X.build_guideline_index(docs, encoder, separator="\n")}
+    stored = {n: readers.read_through_cache(t.spark, scratch_path(t.spark, n), lambda d=d: d) for n, d in indexes.items()}
+    out = A.answer_questions(questions, stored["complaints"], stored["guidelines"], encoder, place="place")
+    return out.select("query_id", "prompt", F.size("sources").alias("sources"))
 
 
 # ---- indexes over text

@@ -364,7 +364,7 @@ def softmax_argmax(t: Tables):
     scored, classes = class_scores(t.embeddings)
     got = scored.select("vec_id", classify(F.col("scores"), [str(c) for c in classes], "9").alias("r"))
     return got.select(
-        "vec_id", "r.predicted_class", "r.confidence", F.col("r.probabilities")["4"].alias("probability_4"), "r.is_evidence"
+        "vec_id", "r.predicted_class", "r.confidence", F.col("r.probabilities")["4"].alias("probability_4"), F.col("r.is_rat_evidence").alias("is_evidence")
     )
 
 

@@ -123,7 +123,7 @@ def document_contains(part: str, text: str = "text") -> Column:
 def retrieval_summary(
     index: DataFrame, distance: Column, place: Column, most: int = 100, recent: int = 5, issues: int = 10
 ) -> DataFrame:
-    """Per place its `most` nearest hits: count, first ids and first texts.
+    """Per place its `most` nearest hits: count, the first hits and the first texts.
 
     The number kept is the size of the search answer, so a place never gathers more than `most` rows.
     """
@@ -135,12 +135,14 @@ def retrieval_summary(
         .where(F.col("rank") <= most)
     )
     # texts beyond the listed ones are not carried along
-    kept = F.when(F.col("rank") <= issues, F.col("text")).alias("text")
-    listed = F.array_sort(F.collect_list(F.struct("rank", "id", kept)))
+    kept = F.when(F.col("rank") <= max(issues, recent), F.col("text")).alias("text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", kept, "distance")))
     return hits.groupBy("place").agg(F.count("*").alias("total_complaints"), listed.alias("hits")).select(
         "place",
         "total_complaints",
-        F.slice("hits", 1, recent)["id"].alias("recent_complaints"),
+        F.transform(
+            F.slice("hits", 1, recent), lambda h: F.struct(h["id"].alias("id"), h["text"].alias("text"), h["distance"].alias("distance"))
+        ).alias("recent_complaints"),
         F.slice("hits", 1, issues)["text"].alias("sample_issues"),
     )
 

@@ -212,7 +212,7 @@ def classify(scores: Column, classes: Sequence, no_evidence=None) -> Column:
         predicted.alias("predicted_class"),
         F.array_max(probabilities).alias("confidence"),
         F.map_from_arrays(names, probabilities).alias("probabilities"),
-        flag.alias("is_evidence"),
+        flag.alias("is_rat_evidence"),
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from placewise.functions.columns import one_decimal
 from placewise.functions.scoring import risk_band3
+from placewise.operators.explore import location_stats
+from placewise.plans.assess import panel_stats, score_places
+from placewise.plans.forecast import forecast_horizon, yoy_trend
 from placewise.settings import (
     QUESTION_CLOSING,
     QUESTION_CONTEXT,
@@ -92,3 +95,33 @@ def question_prompt(question: Column, context: Column, location: Column | None =
         F.lit(f"\n{QUESTION_OPENING}\n\nQuestion: "), question, F.lit("\n\n"), place,
         F.lit(f"\n\n{QUESTION_CONTEXT}\n"), context, F.lit(f"\n\n{QUESTION_CLOSING}\n"),
     )
+
+
+def report_table(
+    panel: DataFrame, contexts: DataFrame | None = None, images: DataFrame | None = None, month: Column | int | None = None
+) -> DataFrame:
+    """One report prompt per zip of the panel: score, history, outlook, and image and context where given.
+
+    `contexts` holds zip_code and context; `images` holds zip_code, predicted_class, confidence and
+    is_rat_evidence. Pass a stored panel: statistics, trend and outlook each read it.
+    """
+    rows = location_stats(panel)
+    image = None
+    if images is not None:
+        rows = rows.join(images.select("zip_code", "predicted_class", "confidence", "is_rat_evidence"), "zip_code", "left")
+        image = ("predicted_class", "confidence")
+    rows = score_places(rows, panel_stats(panel), month, image=image)
+    rows = rows.join(yoy_trend(panel), "zip_code", "left").join(forecast_horizon(panel), "zip_code", "left")
+    if contexts is not None:
+        rows = rows.join(contexts.select("zip_code", "context"), "zip_code", "left")
+    yoy = F.concat(F.when(F.col("yoy_pct") >= 0, "+").otherwise(""), one_decimal(F.col("yoy_pct")), F.lit("%"))
+    prompt = report_prompt(
+        F.col("zip_code"), F.col("risk_score"), F.col("total_complaints"), F.col("recent_complaints"), yoy,
+        next_month=one_decimal(F.col("next_month")), next_3_months=one_decimal(F.col("next_3_months")), trend=F.col("trend"),
+        image_class=F.col("predicted_class") if image else None,
+        image_confidence=F.col("confidence") if image else None,
+        image_evidence=F.col("is_rat_evidence") if image else None,
+        context=F.col("context") if contexts is not None else None,
+    )
+    summary = summary_prompt(F.col("risk_score"), F.transform("contributing_factors", lambda f: f["description"]))
+    return rows.select("zip_code", "risk_score", "risk_level", prompt.alias("prompt"), summary.alias("summary"))

@@ -57,6 +57,17 @@ def read_filtered(
     return out.select(*select) if select else out
 
 
+def read_complaints(table: DataFrame, limit: int = -1) -> DataFrame:
+    """All complaints, or the newest `limit`; a whole read needs no order."""
+    newest = [F.col("created_date").desc(), F.col("unique_key")] if limit >= 0 else None
+    return read_filtered(table, order=newest, limit=limit)
+
+
+def read_inspections(table: DataFrame, limit: int = -1) -> DataFrame:
+    """Inspections with a pest code or a rodent description."""
+    return read_filtered(table, F.col("violation_code").like("04%") | F.col("violation_description").like("%rodent%"), limit=limit)
+
+
 def read_buildings(table: DataFrame, columns: Sequence[str], limit: int = BUILDING_LIMIT) -> DataFrame:
     return read_filtered(table, select=columns, limit=limit)
 

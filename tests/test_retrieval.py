@@ -178,4 +178,31 @@ def test_summary_keeps_the_nearest_per_place(spark):
     df = spark.range(300).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 250, "hot").otherwise("cold").alias("p"))
     got = {r["place"]: r for r in X.retrieval_summary(df, F.col("id") / 10, F.col("p")).collect()}
     assert got["hot"]["total_complaints"] == 100 and got["cold"]["total_complaints"] == 50
-    assert list(got["hot"]["recent_complaints"]) == [0, 1, 2, 3, 4] and got["cold"]["sample_issues"][-1] == "t259"
+    assert [h["id"] for h in got["hot"]["recent_complaints"]] == [0, 1, 2, 3, 4] and got["cold"]["sample_issues"][-1] == "t259"
+
+
+def test_answers_with_and_without_a_place(spark):
+    from placewise.plans.answer import answer_questions
+
+    rows = [(str(i), t, "10001" if i < 5 else "11201") for i, t in enumerate(COMPLAINTS)]
+    df = spark.createDataFrame(rows, "unique_key string, descriptor string, zip_code string")
+    model = X.fit_text_embedding(df, "descriptor", dimension=2048)
+    docs = spark.createDataFrame([("g.txt", "Store garbage in closed bins.\n\nSeal the basement.")], "source string, text string")
+    guides = X.build_guideline_index(docs, model, size=30)
+    asked = spark.createDataFrame([(1, "multiple basement rats", None), (2, "rats near garbage", "11201")], "query_id int, question string, zip string")
+    got = {r["query_id"]: r for r in answer_questions(asked, X.build_complaint_index(df, model), guides, model, "zip").collect()}
+    assert "1. Multiple rats in basement (Location: 11201, Date: N/A)" in got[1]["context"] and "Location: 10001" not in got[2]["context"]
+    assert got[2]["context"].count("(Location: 11201") == 5 and "Location context: 11201" in got[2]["prompt"] and "Location context" not in got[1]["prompt"]
+    assert [s["kind"] for s in got[2]["sources"]] == ["complaint"] * 3 + ["guideline"] * 2
+    assert got[2]["sources"][0]["text"] == COMPLAINTS[3] and got[2]["sources"][3]["text"] == "Store garbage in closed bins."
+
+
+def test_classifier_head_separates_clusters(spark):
+    from placewise.plans.forecast import array_to_vector, fit_embedding_classifier
+
+    rng = np.random.default_rng(3)
+    rows = [([float(x) for x in rng.normal(size=6) * 0.2 + (np.arange(6) == c) * 3], c) for c in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "embedding array<double>, label int")
+    model = fit_embedding_classifier(df, classes=3, hidden=8, max_iter=60)
+    scored = model.transform(df.withColumn("features", array_to_vector("embedding")))
+    assert scored.where("prediction = label").count() >= 115

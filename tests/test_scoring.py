@@ -113,3 +113,17 @@ def test_assess_by_borough_and_with_optional_tables(spark):
     assert tuple(some["unknown"]["historical_stats"]) == (0, 0, 0.0, 50.0) and some["unknown"]["factors"]["building_age"] == 6.0
     city = assess_location(panel.withColumn("city", F.lit("all")), "city", month=7).collect()
     assert len(city) == 1 and city[0]["historical_stats"]["total_complaints"] == 36 * 6 and city[0]["historical_stats"]["recent_complaints"] == 3 * sum(range(3, 9))
+
+
+def test_report_table(spark):
+    import datetime as dt
+
+    rows = [(z, dt.datetime(2022 + m // 12, m % 12 + 1, 1), 10 if m < 12 else 15, 2.0, 30.0) for z in "ab" for m in range(24)]
+    panel = spark.createDataFrame(rows, "zip_code string, date timestamp, complaint_count bigint, restaurant_violations_nearby double, building_age_mean double")
+    contexts = spark.createDataFrame([("a", "CTX")], "zip_code string, context string")
+    images = spark.createDataFrame([("b", "burrow", 0.5, True)], "zip_code string, predicted_class string, confidence double, is_rat_evidence boolean")
+    got = {r["zip_code"]: r for r in R.report_table(panel, contexts, images, month=7).collect()}
+    assert "- Year-over-year trend: +50.0%\n" in got["a"]["prompt"] and "- Total complaints in area: 300\n" in got["a"]["prompt"]
+    assert "CTX" in got["a"]["prompt"] and "Image Analysis" not in got["a"]["prompt"]
+    assert "- Detected evidence: burrow\n- Confidence: 50.0%\n- **WARNING**" in got["b"]["prompt"] and "Retrieved" not in got["b"]["prompt"]
+    assert "- Key factors: Historical complaint volume in the area, Predicted future complaint activity" in got["a"]["summary"]
