@@ -6,8 +6,9 @@ complaint index, joined to `pages` as the guideline index. Queries are the mean
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
 
 from catalog.base import Tables, day, int4, num, nums, query, whole
 from catalog.exploring import SIMS
@@ -30,6 +31,10 @@ def asked(t: Tables):
     return V.mean_vectors(t.embeddings, "label").withColumnRenamed("label", "query_id")
 
 
+def texts(t: Tables):
+    return readers.spread_rows(t.documents, "doc_id")
+
+
 def vectors(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("zip_code"))
 
@@ -251,7 +256,7 @@ def full_report(t: Tables):
 def answer_questions(t: Tables):
     """Every benchmark text as a question to the orders' descriptors and the documents' chunks."""
     rows = complaints(t, closed=False)
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = texts(t).select(F.col("doc_id").cast("string").alias("source"), "text")
     encoder = X.fit_text_embedding(docs)
     questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("7").alias("place"))
     indexes = {"complaints": X.build_complaint_index(rows, encoder), "guidelines": X.build_guideline_index(docs, encoder, separator="\n")}
@@ -263,32 +268,41 @@ def answer_questions(t: Tables):
 # ---- indexes over text
 
 
-def _length(embedding: str = "embedding"):
-    return F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+def _is_unit(embedding: str = "embedding"):
+    """1 when the vector has length 1."""
+
+    @F.arrow_udf(T.IntegerType())
+    def run(v: pa.Array) -> pa.Array:
+        if len(v) == 0:
+            return pa.array([], pa.int32())
+        rows = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        return pa.array((np.abs(np.linalg.norm(rows, axis=1) - 1) < 1e-3).astype(np.int32))
+
+    return run(F.col(embedding))
 
 
 @query("text_embed", "SELECT doc_id, CAST(384 AS INTEGER) AS dimension, CAST(1 AS INTEGER) AS unit FROM documents")
 def text_embed(t: Tables):
-    model = X.fit_text_embedding(t.documents)
-    out = X.text_embed(t.documents.select("doc_id", "text"), model)
-    return out.select("doc_id", F.size("embedding").alias("dimension"), F.round(_length(), 3).cast("int").alias("unit"))
+    model = X.fit_text_embedding(texts(t))
+    out = X.text_embed(texts(t).select("doc_id", "text"), model)
+    return out.select("doc_id", F.size("embedding").alias("dimension"), _is_unit().alias("unit"))
 
 
 @query("build_complaint_index", f"""WITH {COMPLAINTS} SELECT 'complaint_' || unique_key AS id, descriptor AS text, strftime(created_date, '%Y-%m-%d %H:%M:%S') AS created, borough, zip_code, status,
   CAST(1 AS INTEGER) AS unit FROM complaints""")
 def build_complaint_index(t: Tables):
-    rows = complaints(t, closed=False)
+    rows = readers.spread_rows(complaints(t, closed=False), "unique_key")
     index = X.build_complaint_index(rows, X.fit_text_embedding(rows, "descriptor"))
     m = F.col("metadata")
     return index.select(
         "id", "text", m["created_date"].alias("created"), m["borough"].alias("borough"), m["zip_code"].alias("zip_code"), m["status"].alias("status"),
-        F.round(_length(), 3).cast("int").alias("unit"),
+        _is_unit().alias("unit"),
     )
 
 
 @query("build_guideline_index", CHUNKS_SQL.replace("SELECT doc_id, CAST(unnest(range", "SELECT 'guideline_' || doc_id || '_' || chunk_index AS id, text, CAST(chunk_index AS VARCHAR) AS chunk_index, CAST(384 AS INTEGER) AS dimension FROM (SELECT doc_id, CAST(unnest(range") + ")")
 def build_guideline_index(t: Tables):
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("source"), "text")
+    docs = texts(t).select(F.col("doc_id").cast("string").alias("source"), "text")
     index = X.build_guideline_index(docs, X.fit_text_embedding(docs), separator="\n")
     return index.select("id", "text", F.col("metadata")["chunk_index"].alias("chunk_index"), F.size("embedding").alias("dimension"))
 
@@ -296,7 +310,8 @@ def build_guideline_index(t: Tables):
 @query("text_search")
 def text_search(t: Tables):
     """Every benchmark text against all documents by text vectors."""
-    model = X.fit_text_embedding(t.documents)
-    index = X.text_embed(t.documents.select(F.col("doc_id").alias("id"), "text"), model)
+    docs = texts(t)
+    model = X.fit_text_embedding(docs)
+    index = X.text_embed(docs.select(F.col("doc_id").alias("id"), "text"), model)
     queries = X.text_embed(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), model)
     return V.vector_search(index, queries)

@@ -18,6 +18,7 @@ from placewise.operators.texts import chunk_text
 from placewise.operators.vectors import class_scores
 from placewise.plans.assess import assess_location, default_stats, panel_stats, score_places
 from placewise.plans.forecast import classify
+from placewise.sources.readers import spread_rows
 
 # ---- text
 
@@ -85,7 +86,7 @@ CHUNKS_SQL = f"""WITH f AS (SELECT doc_id, list_reduce(
 
 @query("chunk_text", CHUNKS_SQL)
 def chunk_text_query(t: Tables):
-    return chunk_text(t.documents.select("doc_id", "text"), separator="\n")
+    return chunk_text(spread_rows(t.documents, "doc_id").select("doc_id", "text"), separator="\n")
 
 
 # ---- dates and numbers

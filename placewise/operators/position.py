@@ -11,7 +11,7 @@ from placewise.session import materialize
 # A broadcast table of partition starts may hold at most this many rows.
 BROADCAST_ROWS = 1_000_000
 # Up to this many values one aggregate buffer holds them all; beyond it quantiles are bracketed first.
-BUFFERED_VALUES = 2_000_000
+BUFFERED_VALUES = 200_000
 
 
 def _columns(items: Sequence[Column | str]) -> list[Column]:

@@ -72,6 +72,16 @@ def read_buildings(table: DataFrame, columns: Sequence[str], limit: int = BUILDI
     return read_filtered(table, select=columns, limit=limit)
 
 
+def spread_rows(table: DataFrame, *keys: str) -> DataFrame:
+    """A scan's rows over all cores, for CPU-heavy work per row on a table of fewer files than cores.
+
+    One file with one row group is one task however long its texts are. A table of many files is
+    returned as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *keys) if len(table.inputFiles()) < cores else table
+
+
 def count_rows(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("row_count"))
 
