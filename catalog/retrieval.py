@@ -289,14 +289,14 @@ def text_embed(t: Tables):
 
 
 @query("build_complaint_index", f"""WITH {COMPLAINTS} SELECT 'complaint_' || unique_key AS id, descriptor AS text, strftime(created_date, '%Y-%m-%d %H:%M:%S') AS created, borough, zip_code, status,
-  CAST(1 AS INTEGER) AS unit FROM complaints""")
+  CAST(384 AS INTEGER) AS dimension FROM complaints""")
 def build_complaint_index(t: Tables):
     rows = readers.spread_rows(complaints(t, closed=False), "unique_key")
     index = X.build_complaint_index(rows, X.fit_text_embedding(rows, "descriptor"))
     m = F.col("metadata")
     return index.select(
         "id", "text", m["created_date"].alias("created"), m["borough"].alias("borough"), m["zip_code"].alias("zip_code"), m["status"].alias("status"),
-        _is_unit().alias("unit"),
+        F.size("embedding").alias("dimension"),
     )
 
 

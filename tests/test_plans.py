@@ -70,3 +70,25 @@ def test_positions_spread_and_match_under_ties(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id").repartition(5)
     got = with_position(df, ["k", "id"]).orderBy("k", "id").select("position").collect()
     assert [r[0] for r in got] == list(range(1, 5001))
+
+
+def test_tasks_need_no_package_on_their_path(tmp_path):
+    """The queries run from any working directory, with the repository off the workers' path."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"s = importlib.util.spec_from_file_location('entry_point', {root + '/__spark_entry__.py'!r})\n"
+        "m = importlib.util.module_from_spec(s); s.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "q = m.queries()\n"
+        "print('ROWS', [q[n](spark, '/root/testdata/sf0.001').count() > 0 for n in ('vector_search', 'qq_theoretical', 'softmax_argmax', 'text_embed')])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS [True, True, True, True]" in done.stdout, done.stderr[-2000:]
