@@ -121,15 +121,16 @@ def cosine_matrix(t: Tables):
 
 
 _PLACE = """near AS (SELECT d.vec_id AS id, CAST(d.label AS VARCHAR) AS place, round(1 - d.s, 9) AS distance, row_number() OVER (PARTITION BY d.label ORDER BY round(1 - d.s, 9), d.vec_id) AS rank
-  FROM sims d WHERE c = 0)"""
+  FROM sims d JOIN documents ON doc_id = d.vec_id WHERE c = (SELECT min(c) FROM centres))"""
 
 
 @query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT *, (SELECT text FROM documents WHERE doc_id = id) AS text FROM near WHERE rank <= 100)
   SELECT place, count(*) AS total_complaints, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS recent, string_agg(text, '|' ORDER BY rank) FILTER (rank <= 10) AS issues FROM n GROUP BY 1""")
 def retrieval_summary(t: Tables):
-    # the generic location query is the first label's mean vector
-    scored, _ = V.class_scores(complaint_index(t).withColumn("label", F.col("zip_code").cast("int")))
-    out = X.retrieval_summary(scored, F.round(1 - F.col("scores")[0], 9), F.col("zip_code"))
+    # the first label's mean vector stands in for the generic location query
+    generic = asked(t).orderBy("query_id").first()["embedding"]
+    near = F.round(1 - V.similarities(F.col("embedding"), [generic])[0], V.DISTANCE_DIGITS)
+    out = X.retrieval_summary(complaint_index(t), near, F.col("zip_code"))
     return out.select(
         "place", "total_complaints", F.array_join(F.col("recent_complaints")["id"].cast("array<string>"), ",").alias("recent"),
         F.array_join("sample_issues", "|").alias("issues"),
