@@ -30,11 +30,11 @@ def label_encode(t: Tables):
     return keyed(table.withColumns({f"{c}_encoded": W.encode(F.col(c), k) for c, k in lists.items()}), "borough_encoded", "season_encoded")
 
 
-@query("encode_unseen", "SELECT n_nationkey, CAST(CASE r_name WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'EUROPE' THEN 2 WHEN 'MIDDLE EAST' THEN 3 ELSE 4 END AS INTEGER) AS code FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("encode_unseen", "SELECT c_custkey, CAST(CASE r_name WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'EUROPE' THEN 2 WHEN 'MIDDLE EAST' THEN 3 ELSE 4 END AS INTEGER) AS code FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def encode_unseen(t: Tables):
-    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     seen = W.categories_of(named.where("r_name <> 'ASIA'"), "r_name")
-    return named.select("n_nationkey", W.encode(F.col("r_name"), seen).alias("code"))
+    return named.select("c_custkey", W.encode(F.col("r_name"), seen).alias("code"))
 
 
 @query("standard_scale", f"SELECT l_orderkey, l_linenumber, {num('(l_quantity - a) / s', 'l_quantity')}, {num('(l_discount - b) / d', 'l_discount')} FROM lineitem, (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s, avg(l_discount) AS b, stddev_pop(l_discount) AS d FROM lineitem)")

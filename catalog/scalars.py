@@ -28,11 +28,11 @@ def zip5(t: Tables):
     return t.customer.select("c_custkey", C.zip5(F.col("c_name")).alias("zip_code"))
 
 
-@query("norm_borough", """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Manhattan' WHEN 1 THEN 'Brooklyn' WHEN 2 THEN 'Bronx' WHEN 3 THEN 'Staten Island' END AS borough FROM nation""")
+@query("norm_borough", """SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN 'Manhattan' WHEN 1 THEN 'Brooklyn' WHEN 2 THEN 'Bronx' WHEN 3 THEN 'Staten Island' END AS borough FROM customer""")
 def norm_borough(t: Tables):
     names = F.array(*[F.lit(x) for x in ("manhattan", "Brooklyn", "BRONX", "Staten Island", "Hoboken")])
-    raw = F.element_at(names, F.col("n_nationkey") % 5 + 1)
-    return t.nation.select("n_nationkey", C.lookup(F.upper(raw), settings.BOROUGH_NAMES).alias("borough"))
+    raw = F.element_at(names, F.col("c_nationkey") % 5 + 1)
+    return t.customer.select("c_custkey", C.lookup(F.upper(raw), settings.BOROUGH_NAMES).alias("borough"))
 
 
 @query("boro_code", """SELECT c_custkey, CASE c_nationkey WHEN 1 THEN 'Manhattan' WHEN 2 THEN 'Bronx' WHEN 3 THEN 'Brooklyn' WHEN 4 THEN 'Queens' WHEN 5 THEN 'Staten Island' END AS borough FROM customer""")

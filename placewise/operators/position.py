@@ -132,6 +132,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(names)]).first()
         return {c: list(row[f"q{i}"]) if counts[c] else found[c] for i, c in enumerate(names)}
     todo = [(c, k) for c in names if counts[c] > 0 for k in range(len(probs))]
+    # a finer bracket for more rows keeps the values ranked inside it few
+    accuracy = max(accuracy, min(max(counts.values()) // 1_000_000, 1_000_000))
     slack = 4.0 / accuracy
     while todo:
         sides = {
