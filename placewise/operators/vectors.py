@@ -81,11 +81,13 @@ def vector_search(
     where: Column | None = None,
     match: tuple[str, str] | None = None,
     max_distance: float | None = None,
+    hashing: tuple | None = None,
 ) -> DataFrame:
     """Exact k nearest by cosine distance: query_id, id, distance, rank.
 
     `where` filters the index before any distance is computed. `match=(index_col, query_col)` lets a
     query see only the index rows with its own value, such as its zip. A zero vector has distance 1.
+    `hashing` is set by `vector_search_approx`.
     """
     pool = index.where(where) if where is not None else index
     pool = pool.where(F.col(vec_col).isNotNull()).select(
@@ -100,7 +102,7 @@ def vector_search(
     spark = index.sparkSession
     parts, asked, spool = [], 0, None
     for ids, keys, matrix in _query_blocks(queries, query_id, query_vec, match[1] if match else None):
-        parts.append(pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow), schema))
+        parts.append(pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow, hashing), schema))
         asked += len(ids)
         if len(parts) == HELD_BLOCKS:
             spool = spool or scratch_path(spark, "nearest")
@@ -123,9 +125,10 @@ def rank_topk(hits: DataFrame, k: int, query: str = "query_id", by: Sequence[str
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: bool, q_arrow: pa.DataType):
+def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: bool, q_arrow: pa.DataType, hashing: tuple | None):
     """mapInArrow body: the k nearest rows of this task for every query of the block."""
     dim = queries.shape[1]
+    asked_buckets = _buckets(queries, hashing) if hashing else None
     by_key: dict = {}
     for place, key in enumerate(keys):
         by_key.setdefault(key, []).append(place)
@@ -140,6 +143,7 @@ def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: b
             row_ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
             matrix = _matrix(batch.column(1), dim)
             row_keys = np.asarray(batch.column(2).to_pylist(), dtype=object)
+            row_buckets = _buckets(matrix, hashing) if hashing else None
             groups = [(None, slice(None))] if not matched else [
                 (key, np.flatnonzero(row_keys == key)) for key in set(row_keys) & set(by_key) if key is not None
             ]
@@ -148,11 +152,17 @@ def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: b
                 if not len(wanted):
                     continue
                 chosen = list(wanted)
-                distances = np.round(1.0 - queries[chosen] @ matrix[rows].T, DISTANCE_DIGITS)
-                pool_ids = row_ids[rows]
-                for place, d in zip(chosen, distances):
-                    top = _nearest(d, pool_ids, k)
-                    d, i = d[top], pool_ids[top]
+                units, pool_ids = matrix[rows], row_ids[rows]
+                distances = None if hashing else np.round(1.0 - queries[chosen] @ units.T, DISTANCE_DIGITS)
+                meetings = _meetings(row_buckets[rows], asked_buckets[chosen]) if hashing else None
+                for n, place in enumerate(chosen):
+                    if hashing:
+                        met = next(meetings)
+                        d, i = np.round(1.0 - units[met] @ queries[place], DISTANCE_DIGITS), pool_ids[met]
+                    else:
+                        d, i = distances[n], pool_ids
+                    top = _nearest(d, i, k)
+                    d, i = d[top], i[top]
                     if place in best:
                         d = np.concatenate([best[place][0], d])
                         i = np.concatenate([best[place][1], i])
@@ -230,57 +240,37 @@ def vector_search_approx(
     index: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
-    max_distance: float = 1.0,
-    id_col: str = "id",
-    vec_col: str = "embedding",
-    query_id: str = "query_id",
-    query_vec: str = "embedding",
     bucket_length: float = 0.25,
     tables: int = 8,
     width: int = 2,
     seed: int = 42,
+    **search,
 ) -> DataFrame:
-    """Approximate neighbours by random projections of the unit vectors, for an index too large to scan per query.
+    """Approximate neighbours: `vector_search` that only compares pairs sharing a bucket.
 
-    Each table buckets a vector by `width` projections cut into steps of `bucket_length`. Only pairs
-    that share a bucket are compared, each in the first table where they meet, so no pair is emitted
-    twice and nothing but the ranked answer needs a shuffle when the query list is short. Some true
-    neighbours are missed; `vector_search` is the exact way.
+    Each of the `tables` buckets a unit vector by `width` random projections cut into steps of
+    `bucket_length`. Longer steps find more and compare more. Some true neighbours are missed.
     """
-    first = queries.where(F.col(query_vec).isNotNull()).select(F.size(query_vec)).first()
-    dim = first[0] if first else 1
-    directions = np.random.default_rng(seed).normal(size=(tables * width, dim))
-
-    def bucketed(df: DataFrame, ident: str, vec: str, prefix: str) -> DataFrame:
-        vector = F.col(vec).cast("array<double>")
-        length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-        steps = F.transform(F.col("_p"), lambda x: F.floor(x / bucket_length))
-        keys = [F.xxhash64(*[F.col("_s")[t * width + w] for w in range(width)]) for t in range(tables)]
-        return (
-            df.where(F.col(vec).isNotNull())
-            .select(F.col(ident).alias(f"{prefix}_id"), vector.alias(f"{prefix}_v"), length.alias(f"{prefix}_n"), similarities(F.col(vec), directions).alias("_p"))
-            .withColumn("_s", steps)
-            .select(f"{prefix}_id", f"{prefix}_v", f"{prefix}_n", F.array(*keys).alias(f"{prefix}_keys"))
-        )
-
-    def spread(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select("*", F.posexplode(f"{prefix}_keys").alias("table", "bucket"))
-
-    asked = bucketed(queries, query_id, query_vec, "q")
-    if queries.count() <= BROADCAST_ROWS // 100:
-        asked = F.broadcast(asked)
-    pairs = spread(bucketed(index, id_col, vec_col, "i"), "i").join(spread(asked, "q"), ["table", "bucket"])
-    first_meeting = F.coalesce(*[
-        F.when(F.col("i_keys")[t] == F.col("q_keys")[t], F.lit(t)) for t in range(tables)
-    ])
-    dot = F.aggregate(F.zip_with("i_v", "q_v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    norms = F.col("i_n") * F.col("q_n")
-    near = pairs.where(first_meeting == F.col("table")).select(
-        F.col("q_id").alias("query_id"),
-        F.col("i_id").alias("id"),
-        F.round(1 - F.when(norms > 0, dot / norms).otherwise(F.lit(0.0)), DISTANCE_DIGITS).alias("distance"),
-    )
-    return rank_topk(near.where(F.col("distance") <= max_distance), k)
+    return vector_search(index, queries, k, hashing=(bucket_length, tables, width, seed), **search)
+
+
+def _buckets(units: np.ndarray, hashing: tuple) -> np.ndarray:
+    """Bucket number per row and table."""
+    length, tables, width, seed = hashing
+    directions = unit_rows(np.random.default_rng(seed).normal(size=(tables * width, units.shape[1])))
+    steps = np.floor(units @ directions.T / length + 0.5).astype(np.int64).reshape(len(units), tables, width)
+    return steps @ (np.int64(1_000_003) ** np.arange(width, dtype=np.int64))
+
+
+def _meetings(row_buckets: np.ndarray, asked_buckets: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query the rows that share a bucket with it in any table."""
+    orders = np.argsort(row_buckets, axis=0, kind="stable")
+    spans = []
+    for t in range(row_buckets.shape[1]):
+        ordered = row_buckets[orders[:, t], t]
+        spans.append((np.searchsorted(ordered, asked_buckets[:, t], "left"), np.searchsorted(ordered, asked_buckets[:, t], "right")))
+    for q in range(len(asked_buckets)):
+        yield np.unique(np.concatenate([orders[lo[q]:hi[q], t] for t, (lo, hi) in enumerate(spans)]))
 
 
 def pca_2d(df: DataFrame, vec_col: str = "embedding", k: int = 2, keep: Sequence[str] = ()) -> DataFrame:

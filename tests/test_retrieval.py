@@ -111,7 +111,7 @@ def test_approximate_search_finds_most(spark):
     exact = set((q, i) for (q, _), i in found(V.vector_search(df, asked, 5)).items())
     near = set((q, i) for (q, _), i in found(V.vector_search_approx(df, asked, 5)).items())
     assert len(exact & near) / len(exact) > 0.8
-    everything = V.vector_search_approx(df, asked, 5, max_distance=2.0, bucket_length=100.0)
+    everything = V.vector_search_approx(df, asked, 5, bucket_length=100.0)
     assert found(everything) == brute(index, centres, 5)
     plan = near_plan(V.vector_search_approx(df, asked, 5))
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
