@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once. A single longer text is handled whole.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = 0, 1, 2, 3, 255

@@ -14,7 +14,7 @@ import pyarrow as pa
 from placewise.llm import arrays
 
 #: A worker forgets its words beyond this many, which bounds its memory; the ids stay the same.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 300_000
 
 
 def default_path(name: str) -> str:
