@@ -23,7 +23,7 @@ from placewise.llm import arrays, vocabularies
 from placewise.llm.storage import in_batches
 
 #: Text of one block: what the task that reassembles it holds at once (a longer document is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, words binary, n_bytes bigint, ends binary, n_words int, positions binary, n_positions int"
 _ASKED = "bucket int, block bigint, words binary, n_bytes bigint, ends binary, n_words int"
 _ANSWERED = "block bigint, bucket int, ids binary, n_ids bigint, lengths binary, n_words int"
