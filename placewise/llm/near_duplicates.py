@@ -11,8 +11,9 @@ repeated shingles it is the plain Jaccard index.
 3. Each band of the signature is a bucket. Every node of a bucket is paired with the least one only, so pairs grow with
    the nodes. All pairs are verified on whole texts.
 4. Connected components of verified links. Where a bucket still holds several components, links may be missing between
-   nodes that the least one is not similar to: there, nodes are compared across components by signature, in square blocks
-   of bounded size, and what comes near the threshold is verified too.
+   nodes that the least one is not similar to: there, nodes are compared across components in square blocks of bounded
+   size, by signature and, near the threshold, on their shingles. A block gives only links that join components, so its
+   result grows with the nodes.
 
 Nothing is dropped: the only losses are those of 30 bands of 6 components (1 in 10,000 at the threshold itself, less above).
 """
@@ -35,7 +36,7 @@ COMPONENTS = BANDS * ROWS
 #: Five standard errors of the signature's estimate below the threshold.
 NEAR = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
 #: Nodes of one side of a block in step 4.
-BLOCK = 256
+BLOCK = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -130,6 +131,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 def similarity(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Probability Jaccard index of texts 0 and 1, 2 and 3, and so on; 0 if one has no words."""
     owner, keys, weight, _, _ = _shingles(data, bounds)
+    return _alike(owner, keys, weight, (len(bounds) - 1) // 2)
+
+
+def _alike(owner: np.ndarray, keys: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+    """The same from weighted shingles; those of owners 2i and 2i + 1 are compared."""
+    if not len(keys):
+        return np.zeros(count)
     pair, left = owner // 2, owner % 2 == 0
     codes, _, first = arrays.numbered(arrays.mixed(keys + pair.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     a, b = np.zeros(len(first)), np.zeros(len(first))
@@ -137,7 +145,7 @@ def similarity(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     pair = pair[first]
     order = np.lexsort((a / (a + b), pair))
     a, b, pair = a[order], b[order], pair[order]
-    counts = np.bincount(pair, minlength=(len(bounds) - 1) // 2)
+    counts = np.bincount(pair, minlength=count)
     ends = np.cumsum(counts)
     sum_a, sum_b = np.concatenate([[0.0], np.cumsum(a)]), np.concatenate([[0.0], np.cumsum(b)])
     both = np.flatnonzero((a > 0) & (b > 0))
@@ -192,34 +200,63 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of one block whose signatures come near the threshold and whose components differ."""
+    """Verified links of one block between components, no more than join them.
+
+    Only pairs whose signatures come near the threshold, and that share no earlier band, are compared on their shingles.
+    """
     first, second = key[1].as_py(), key[2].as_py()
-    part = table.column("part").to_numpy()
-    nodes, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+    nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+    table = table.take(pa.array(at))
+    part, roots, band = table.column("part").to_numpy(), table.column("root").to_numpy(), table.column("number")[0].as_py()
     marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(-1, COMPONENTS)
     rows, columns = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    a, b = [], []
+    left, right, score = [], [], []
     for i in rows:
-        others = columns[(nodes[columns] > nodes[i]) if first == second else (nodes[columns] != nodes[i])]
+        others = columns[columns > i] if first == second else columns
         others = others[roots[others] != roots[i]]
-        near = others[(marks[others] == marks[i]).mean(1) >= NEAR]
-        a += [nodes[i]] * len(near)
-        b += nodes[near].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _missing(bands: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across the components of a bucket, by signature."""
+        same = marks[others] == marks[i]
+        near = (same.mean(1) >= NEAR) & ~same[:, : band * ROWS].reshape(len(others), band, ROWS).all(2).any(1)
+        left.append(np.full(int(near.sum()), i))
+        right.append(others[near])
+        score.append(same[near].mean(1))
+    found: list[tuple[int, int]] = []
+    if sum(map(len, left)):
+        order = np.argsort(-np.concatenate(score), kind="stable")
+        left, right = np.concatenate(left)[order], np.concatenate(right)[order]
+        column = arrays.strings(table.column("text").combine_chunks())
+        owner, keys, weight, _, _ = _shingles(*arrays.laid_out(column))
+        order = np.argsort(owner, kind="stable")
+        keys, weight = keys[order], weight[order]
+        lengths = np.bincount(owner, minlength=len(nodes))
+        starts = np.cumsum(lengths) - lengths
+        label = np.unique(roots, return_inverse=True)[1]
+        for at in range(0, len(left), 2048):
+            a, b = left[at : at + 2048], right[at : at + 2048]
+            apart = label[a] != label[b]  # the others are joined by now
+            a, b = a[apart], b[apart]
+            two = np.stack([a, b], 1).ravel()
+            sizes = lengths[two]
+            value = _alike(np.repeat(np.arange(len(two)), sizes), arrays.gathered(keys, starts[two], sizes), arrays.gathered(weight, starts[two], sizes), len(a))
+            for i, j in zip(a[value >= THRESHOLD - 1e-9].tolist(), b[value >= THRESHOLD - 1e-9].tolist()):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    found.append((int(nodes[i]), int(nodes[j])))
+    return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+
+def _missing(bands: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) across the components that meet in a bucket. Each pair is compared in the first bucket it shares."""
     shipped(bands.sparkSession)
     members = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.join(nodes, "node")
+    texts = docs.select(row_id(docs).alias("node"), F.col("text").cast("string").alias("text"))
+    dealt = dealt.join(nodes, "node").join(texts, "node")
     squares = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j"))))
-    rows = dealt.select("band", squares.alias("s"), "part", "node", "root", "signature").select("band", "s.i", "s.j", "part", "node", "root", "signature")
-    found = rows.groupBy("band", "i", "j").applyInArrow(_across, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    held = ["part", "number", "node", "root", "signature", "text"]
+    rows = dealt.select("band", squares.alias("s"), *held).select("band", "s.i", "s.j", *held)
+    return rows.groupBy("band", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -233,15 +270,13 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = stored(nodes, "nodes")
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)]
-    bands = nodes.select("node", F.explode(F.array(*keys)).alias("band"))
+    bands = nodes.select("node", F.posexplode(F.array(*keys)).alias("number", "band"))
     full = bands.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     shared = stored(bands.join(full, "band"), "buckets")  # buckets of one node are gone
     pairs = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = stored(verified(pairs, docs), "verified")
     roots = components(links)
-    signs = nodes.select("node", "signature")
-    more = _missing(shared.select("band", "node"), roots, signs).join(pairs, ["a", "b"], "left_anti")
-    extra = stored(verified(more, docs), "verified-more")
+    extra = stored(_missing(shared.select("band", "number", "node"), roots, nodes.select("node", "signature"), docs), "verified-more")
     if extra.take(1):
         roots = components(links.unionAll(extra))
     named = nodes.select("high", "low", "node").join(roots, "node", "left").select("high", "low", F.coalesce("root", "node").alias("class_id"))
