@@ -32,7 +32,7 @@ def asked(t: Tables):
 
 
 def texts(t: Tables):
-    return readers.spread_rows(t.documents, "doc_id")
+    return t.documents
 
 
 def vectors(t: Tables):
@@ -124,7 +124,7 @@ _PLACE = """near AS (SELECT d.vec_id AS id, CAST(d.label AS VARCHAR) AS place, r
   FROM sims d JOIN documents ON doc_id = d.vec_id WHERE c = (SELECT min(c) FROM centres))"""
 
 
-@query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT *, (SELECT text FROM documents WHERE doc_id = id) AS text FROM near WHERE rank <= 100)
+@query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT *, (SELECT text FROM documents WHERE doc_id = id) AS text FROM near)
   SELECT place, count(*) AS total_complaints, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS recent, string_agg(text, '|' ORDER BY rank) FILTER (rank <= 10) AS issues FROM n GROUP BY 1""")
 def retrieval_summary(t: Tables):
     # the first label's mean vector stands in for the generic location query
@@ -229,7 +229,7 @@ def summary_prompt(t: Tables):
 
 @query("report_prompt", f"""{PANEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY date DESC) AS rn FROM dense),
   s AS (SELECT zip_code, max(borough) AS borough, CAST(sum(complaint_count) AS BIGINT) AS total, CAST(sum(complaint_count) FILTER (rn <= 6) AS BIGINT) AS recent FROM r GROUP BY 1)
-  SELECT zip_code, {text_sql('Generate a comprehensive rat risk assessment report for the following location:' + chr(10) + '**Location:** ')} || zip_code || {text_sql(chr(10) + '**Overall Risk Score:** ')}
+  SELECT zip_code, {text_sql('Write a report on the rodent risk at this place. Use only the facts given here.' + chr(10) + '**Location:** ')} || zip_code || {text_sql(chr(10) + '**Overall Risk Score:** ')}
   || printf('%.1f', CAST(total / 60.0 AS DOUBLE)) || {text_sql('/10' + chr(10) * 2 + '## Historical Data' + chr(10) + '- Total complaints in area: ')} || total || {text_sql(chr(10) + '- Recent complaints (last 6 months): ')} || recent
   || {text_sql(chr(10) + '- Year-over-year trend: N/A' + chr(10) + '- Sample complaint descriptions:' + chr(10) + '  - ')} || borough || {text_sql(chr(10) + chr(10) + '## Forecast Data' + chr(10) + '- Predicted complaints (next month): ')} || recent
   || {text_sql(chr(10) + '- Predicted complaints (next 3 months): N/A' + chr(10) + '- Forecast confidence: N/A' + chr(10) + '- Trend direction: N/A' + chr(10))}
@@ -292,7 +292,7 @@ def text_embed(t: Tables):
 @query("build_complaint_index", f"""WITH {COMPLAINTS} SELECT 'complaint_' || unique_key AS id, descriptor AS text, strftime(created_date, '%Y-%m-%d %H:%M:%S') AS created, borough, zip_code, status,
   CAST(384 AS INTEGER) AS dimension FROM complaints""")
 def build_complaint_index(t: Tables):
-    rows = readers.spread_rows(complaints(t, closed=False), "unique_key")
+    rows = complaints(t, closed=False)
     index = X.build_complaint_index(rows, X.fit_text_embedding(rows, "descriptor"))
     m = F.col("metadata")
     return index.select(

@@ -43,8 +43,8 @@ def location_stats(panel: DataFrame, by: str = "zip_code", recent: int = 6, labe
         newest = F.row_number().over(Window.partitionBy(by).orderBy(F.col("date").desc()))
         last = F.sum(F.when(F.col("_rank") <= recent, F.col("complaint_count"))).alias("recent_complaints")
         return panel.withColumn("_rank", newest).groupBy(by).agg(total, last, *means, *tags)
-    last = last_n_rows(panel, recent, by, ["zip_code", "date"]).groupBy(by).agg(F.sum("complaint_count").alias("recent_complaints"))
-    return panel.groupBy(by).agg(total, *means, *tags).join(last, by)
+    last = last_n_rows(panel, recent, by, ["zip_code", "date"]).groupBy(F.col(by).alias("_by")).agg(F.sum("complaint_count").alias("recent_complaints"))
+    return panel.groupBy(by).agg(total, *means, *tags).join(last, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def location_stats_or_default(stats: DataFrame, places: DataFrame, by: str = "zip_code") -> DataFrame:

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placewise.session import materialize
 
-# A broadcast table of partition starts may hold at most this many rows.
-BROADCAST_ROWS = 1_000_000
-# Up to this many values one aggregate buffer holds them all; beyond it quantiles are bracketed first.
-BUFFERED_VALUES = 200_000
-
 
 def _columns(items: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
@@ -48,8 +43,6 @@ def with_position(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(Window.partitionBy(*groups)).alias("_all"),
     )
-    if heads.count() <= BROADCAST_ROWS:
-        starts = F.broadcast(starts)
     same = (F.col("_part") == F.col("_p"))
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
@@ -74,7 +67,7 @@ def drop_first_n(df: DataFrame, n: int, key: str = "zip_code", time: str = "date
 
 
 def split_by_date(df: DataFrame, train: float = 0.70, val: float = 0.15, time: str = "date") -> DataFrame:
-    """Column `split`; a date goes whole to the part in which its last row falls.
+    """Column `split`; a date goes whole to the part in which its last row falls, and the first date always trains.
 
     Only one row per distinct date is ranked, and the two cut-off dates come back as scalars, so the
     rows themselves are neither sorted nor shuffled. This is the split to use at scale.
@@ -90,7 +83,7 @@ def split_by_date(df: DataFrame, train: float = 0.70, val: float = 0.15, time: s
 
     return df.withColumn(
         "split",
-        F.when(F.col(time) <= last_within(train), "train").when(F.col(time) <= last_within(train + val), "val").otherwise("test"),
+        F.when(F.col(time) <= F.coalesce(last_within(train), ranked.agg(F.min(time)).scalar()), "train").when(F.col(time) <= last_within(train + val), "val").otherwise("test"),
     )
 
 
@@ -119,7 +112,7 @@ def split_per_class(df: DataFrame, label: str, order: Sequence[str], train: floa
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of many columns.
 
-    A counted small input takes one aggregate. Otherwise pass 1 brackets each quantile with approximate ones. Pass 2 counts what lies below a bracket
+    Pass 1 brackets each quantile with approximate ones. Pass 2 counts what lies below a bracket
     and aggregates the distinct values inside it, so only a sliver of the rows is ever ranked and a
     repeated value costs one row. The bracket is checked against the exact rank and widened if needed.
     """
@@ -127,10 +120,6 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     first = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
     counts = {c: first[f"n{i}"] for i, c in enumerate(names)}
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
-    if sum(counts.values()) <= BUFFERED_VALUES:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q{i}") for i, c in enumerate(names)]).first()
-        return {c: list(row[f"q{i}"]) if counts[c] else found[c] for i, c in enumerate(names)}
     todo = [(c, k) for c in names if counts[c] > 0 for k in range(len(probs))]
     # a finer bracket for more rows keeps the values ranked inside it few
     accuracy = max(accuracy, min(max(counts.values()) // 1_000_000, 1_000_000))

@@ -121,23 +121,18 @@ def document_contains(part: str, text: str = "text") -> Column:
 
 
 def retrieval_summary(
-    index: DataFrame, distance: Column, place: Column, most: int = 100, recent: int = 5, issues: int = 10
+    index: DataFrame, distance: Column, place: Column, recent: int = 5, issues: int = 10
 ) -> DataFrame:
-    """Per place its `most` nearest hits: count, the first hits and the first texts.
+    """Per place the count of all its rows, its nearest hits and their texts.
 
-    The number kept is the size of the search answer, so a place never gathers more than `most` rows.
+    The count is an aggregate over all rows; only the listed hits are ranked, with a limit in every task first.
     """
     w = Window.partitionBy("place").orderBy("distance", "id")
-    hits = (
-        index.select(place.alias("place"), "id", "text", distance.alias("distance"))
-        .where(F.col("place").isNotNull())
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= most)
-    )
-    # texts beyond the listed ones are not carried along
-    kept = F.when(F.col("rank") <= max(issues, recent), F.col("text")).alias("text")
-    listed = F.array_sort(F.collect_list(F.struct("rank", "id", kept, "distance")))
-    return hits.groupBy("place").agg(F.count("*").alias("total_complaints"), listed.alias("hits")).select(
+    rows = index.select(place.alias("place"), "id", "text", distance.alias("distance")).where(F.col("place").isNotNull())
+    hits = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(issues, recent))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", "text", "distance")))
+    totals = rows.groupBy("place").agg(F.count("*").alias("total_complaints"))
+    return totals.join(hits.groupBy("place").agg(listed.alias("hits")), "place").select(
         "place",
         "total_complaints",
         F.transform(

@@ -25,8 +25,6 @@ from placewise.settings import TOP_K
 BLOCK_BYTES = 64 * 1024 * 1024
 # The driver holds at most this many blocks; further ones go through a table in the shared folder.
 HELD_BLOCKS = 4
-# Search answers of at most this many rows may be broadcast to fetch their payload.
-BROADCAST_ROWS = 1_000_000
 # Distances are compared after rounding, so that equal vectors tie on every engine and batch layout.
 DISTANCE_DIGITS = 9
 
@@ -100,10 +98,9 @@ def vector_search(
     id_type = index.schema[id_col].dataType.simpleString()
     schema = f"query_id {q_type}, id {id_type}, distance double"
     spark = index.sparkSession
-    parts, asked, spool = [], 0, None
+    parts, spool = [], None
     for ids, keys, matrix in _query_blocks(queries, query_id, query_vec, match[1] if match else None):
         parts.append(pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow, hashing), schema))
-        asked += len(ids)
         if len(parts) == HELD_BLOCKS:
             spool = spool or scratch_path(spark, "nearest")
             reduce(DataFrame.union, parts).write.mode("append").parquet(spool)
@@ -115,8 +112,7 @@ def vector_search(
     near = reduce(DataFrame.union, parts)
     if max_distance is not None:
         near = near.where(F.col("distance") <= max_distance)
-    hits = rank_topk(near, k)
-    return F.broadcast(hits) if asked * k <= BROADCAST_ROWS else hits
+    return rank_topk(near, k)
 
 
 def rank_topk(hits: DataFrame, k: int, query: str = "query_id", by: Sequence[str] = ("distance", "id")) -> DataFrame:

@@ -15,6 +15,7 @@ from placewise.functions.columns import clip_nonnegative
 from placewise.functions.dates import month_index, period_sequence
 from placewise.operators.features import FeatureModel, feature_matrix, last_n_rows, location_window, sequences
 from placewise.operators.metrics import weighted_ensemble
+from placewise.session import materialize
 from placewise.settings import BOOSTING, ENSEMBLE_WEIGHTS, SEQUENCE_LENGTH
 
 KEYS = ["zip_code", "date"]
@@ -171,13 +172,10 @@ def ensemble(predictions: DataFrame, weights: Mapping[str, float] = ENSEMBLE_WEI
 
 def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, boosting: Mapping | None = None) -> dict:
     """Fits all models on rows before `train_before`; returns the models and long predictions for later rows."""
-    table = features.apply(panel).persist()
-    try:
-        train = table.where(F.col("date") < F.lit(train_before))
-        trees = fit_boosted(train, features.names, **(boosting or {}))
-        reader = fit_sequence(train, features.numeric)
-    finally:
-        table.unpersist()
+    table = materialize(features.apply(panel))
+    train = table.where(F.col("date") < F.lit(train_before))
+    trees = fit_boosted(train, features.names, **(boosting or {}))
+    reader = fit_sequence(train, features.numeric)
     later = F.col("date") >= F.lit(train_before)
     parts = [
         baseline_lag1(panel),
@@ -188,7 +186,7 @@ def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, bo
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
-    long = long.where(later)
+    long = materialize(long.where(later))  # read by the ensemble and by the caller
     return {"boosted": trees, "sequence": reader, "predictions": long.unionByName(ensemble(long))}
 
 

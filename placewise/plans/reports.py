@@ -14,6 +14,7 @@ from placewise.settings import (
     QUESTION_CONTEXT,
     QUESTION_OPENING,
     REPORT_INSTRUCTIONS,
+    REPORT_OPENING,
     SUMMARY_CLOSING,
     SUMMARY_OPENING,
 )
@@ -45,7 +46,7 @@ def report_prompt(
 ) -> Column:
     """One report prompt per row; optional sections appear only where their data exist."""
     parts = [
-        F.lit("Generate a comprehensive rat risk assessment report for the following location:\n"),
+        F.lit(REPORT_OPENING),
         F.concat(F.lit("**Location:** "), location, F.lit("\n")),
         F.concat(F.lit("**Overall Risk Score:** "), one_decimal(score), F.lit("/10\n\n")),
         F.lit("## Historical Data\n"),

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placewise.operators.position import with_position
-from placewise.settings import BUILDING_LIMIT, IMAGE_CLASSES, PAGE_SIZE
+from placewise.settings import IMAGE_CLASSES, PAGE_SIZE
 
 COMPLAINT_SCHEMA = (
     "unique_key string, created_date string, closed_date string, due_date string, borough string, "
@@ -68,18 +68,9 @@ def read_inspections(table: DataFrame, limit: int = -1) -> DataFrame:
     return read_filtered(table, F.col("violation_code").like("04%") | F.col("violation_description").like("%rodent%"), limit=limit)
 
 
-def read_buildings(table: DataFrame, columns: Sequence[str], limit: int = BUILDING_LIMIT) -> DataFrame:
-    return read_filtered(table, select=columns, limit=limit)
-
-
-def spread_rows(table: DataFrame, *keys: str) -> DataFrame:
-    """A scan's rows over all cores, for CPU-heavy work per row on a table of fewer files than cores.
-
-    One file with one row group is one task however long its texts are. A table of many files is
-    returned as it is, without a shuffle.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, *keys) if len(table.inputFiles()) < cores else table
+def read_buildings(table: DataFrame, columns: Sequence[str], limit: int = -1) -> DataFrame:
+    """All buildings; with a limit the first ones in the order of the columns, so that the same rows stay on every run."""
+    return read_filtered(table, select=columns, order=[F.col(c) for c in columns] if limit >= 0 else None, limit=limit)
 
 
 def count_rows(table: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators import position
 from placewise.operators.position import drop_first_n, exact_quantiles, split_by_date, split_by_position, split_per_class, with_position
 from placewise.sources.readers import with_pages
 
@@ -82,9 +81,7 @@ def test_drop_first_rows(spark):
     assert {(r["zip_code"], r["count"]) for r in kept} == {("a", 3), ("b", 5)}
 
 
-@pytest.mark.parametrize("buffered", [0, 10**6])
-def test_exact_quantiles_with_ties_nulls_and_one_value(spark, monkeypatch, buffered):
-    monkeypatch.setattr(position, "BUFFERED_VALUES", buffered)
+def test_exact_quantiles_with_ties_nulls_and_one_value(spark):
     rng = random.Random(5)
     rows = [
         (0.0 if i % 3 else rng.gauss(0, 100), None if i % 7 == 0 else rng.randrange(5), 4.0, None if i else 2.0, None)
@@ -97,3 +94,8 @@ def test_exact_quantiles_with_ties_nulls_and_one_value(spark, monkeypatch, buffe
         values = [r[i] for r in rows if r[i] is not None]
         assert got[c] == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
     assert got["e"] == [None] * len(probs)
+
+
+def test_first_date_trains_whatever_its_share(spark):
+    df = spark.createDataFrame([(1,)] * 9 + [(2,)], "date int")
+    assert {(r["date"], r["split"]) for r in split_by_date(df).collect()} == {(1, "train"), (2, "test")}

@@ -206,3 +206,9 @@ def test_classifier_head_separates_clusters(spark):
     model = fit_embedding_classifier(df, classes=3, hidden=8, max_iter=60)
     scored = model.transform(df.withColumn("features", array_to_vector("embedding")))
     assert scored.where("prediction = label").count() >= 115
+
+
+def test_summary_counts_every_row_of_a_place(spark):
+    df = spark.range(250).select("id", F.lit("p").alias("p"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    row = X.retrieval_summary(df, F.col("id") / 10, F.col("p")).first()
+    assert row["total_complaints"] == 250 and len(row["recent_complaints"]) == 5 and len(row["sample_issues"]) == 10
