@@ -1,11 +1,14 @@
 """Vector search, contexts, prompts, text indexes.
 
-The vectors of `embeddings` stand in for an encoder's output: joined to `documents` they act as the
-complaint index, joined to `pages` as the guideline index. Queries are the mean vectors per label.
+The vectors of `embeddings` stand in for an encoder's output: a text takes the vector with its number, and numbers
+beyond the last vector start again, so every row of `documents` (complaint index) and `pages` (guideline index) has one.
+Queries are the mean vectors per label.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
@@ -26,6 +29,11 @@ from placewise.plans import reports as R
 from placewise.functions.columns import stringify_metadata
 
 
+# SQL compares rounded distances, so that equal vectors tie on both sides.
+DIGITS = 9
+search = partial(V.vector_search, digits=DIGITS)
+
+
 def asked(t: Tables):
     """One query vector per label."""
     return V.mean_vectors(t.embeddings, "label").withColumnRenamed("label", "query_id")
@@ -40,33 +48,40 @@ def vectors(t: Tables):
 
 
 def complaint_hits(t: Tables, k: int = 5, **options):
-    return V.vector_search(complaint_index(t), asked(t), k, **options)
+    return search(complaint_index(t), asked(t), k, **options)
+
+
+def with_vector(t: Tables, rows):
+    """Each row of (id, ...) with the vector of its number."""
+    number = F.pmod("id", t.embeddings.agg(F.count("*")).scalar())
+    return rows.withColumn("vec", number).join(vectors(t).withColumnRenamed("id", "vec"), "vec").drop("vec")
 
 
 def complaint_index(t: Tables):
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
-    return vectors(t).join(docs, "id").select(
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang")
+    return with_vector(t, docs).select(
         "id", "text", "embedding", stringify_metadata(["zip_code", "lang"]).alias("metadata"), "zip_code", "lang"
     )
 
 
 def guideline_index(t: Tables):
-    return vectors(t).join(t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text")), "id").select("id", "text", "embedding")
+    return with_vector(t, t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))).select("id", "text", "embedding")
 
 
 # distances are rounded before ranking, on both sides
 def hits_sql(name: str, k: int, source: str = "", where: str = "TRUE") -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT c AS query_id, s.vec_id AS id, round(1 - s, 9) AS distance, s.label, {'x.*,' if source else ''}
-    row_number() OVER (PARTITION BY c ORDER BY round(1 - s, 9), s.vec_id) AS rank FROM sims s {source} WHERE {where}) WHERE rank <= {k})"""
+    number = "x.id" if source else "s.vec_id"
+    return f"""{name} AS (SELECT * FROM (SELECT c AS query_id, {number} AS id, round(1 - s, 9) AS distance, s.label, {'x.* EXCLUDE (id, vec),' if source else ''}
+    row_number() OVER (PARTITION BY c ORDER BY round(1 - s, 9), {number}) AS rank FROM sims s {source} WHERE {where}) WHERE rank <= {k})"""
 
 
-_DOCS = "JOIN (SELECT doc_id, text, lang FROM documents) x ON x.doc_id = s.vec_id"
-_PAGES = "JOIN (SELECT page_id, html AS text FROM pages) x ON x.page_id = s.vec_id"
+_DOCS = "JOIN (SELECT doc_id AS id, doc_id % (SELECT count(*) FROM embeddings) AS vec, text, lang FROM documents) x ON x.vec = s.vec_id"
+_PAGES = "JOIN (SELECT page_id AS id, page_id % (SELECT count(*) FROM embeddings) AS vec, html AS text FROM pages) x ON x.vec = s.vec_id"
 
 
 @query("vector_search", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
 def vector_search(t: Tables):
-    return V.vector_search(vectors(t), asked(t))
+    return search(vectors(t), asked(t))
 
 
 @query("rank_topk", f"WITH {SIMS}, {hits_sql('h', 3)} SELECT query_id, id, {int4('rank')} FROM h")
@@ -84,7 +99,7 @@ def vector_search_filtered(t: Tables):
 @query("vector_search_location", f"WITH {SIMS}, {hits_sql('h', 5, where='s.label = c')} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
 def vector_search_location(t: Tables):
     queries = asked(t).withColumn("place", F.col("query_id").cast("string"))
-    return V.vector_search(vectors(t), queries, match=("zip_code", "place"))
+    return search(vectors(t), queries, match=("zip_code", "place"))
 
 
 @query("vector_search_text", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS, 'contains(x.text, ' + chr(39) + 'tion' + chr(39) + ')')} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h")
@@ -94,7 +109,7 @@ def vector_search_text(t: Tables):
 
 @query("vector_search_threshold", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM h WHERE distance <= 0.3")
 def vector_search_threshold(t: Tables):
-    return V.vector_search(vectors(t), asked(t), max_distance=0.3)
+    return search(vectors(t), asked(t), max_distance=0.3)
 
 
 @query("vector_search_approx")
@@ -105,13 +120,13 @@ def vector_search_approx(t: Tables):
 @query("join_query_docs", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS)} SELECT query_id, id, lang, text, {num('1 - distance', 'similarity')} FROM h")
 def join_query_docs(t: Tables):
     index = complaint_index(t)
-    hits = V.attach(V.vector_search(index, asked(t)), index, ["lang", "text"])
+    hits = V.attach(search(index, asked(t)), index, ["lang", "text"])
     return hits.select("query_id", "id", "lang", "text", (1 - F.col("distance")).alias("similarity"))
 
 
 @query("similarity_score", f"WITH {SIMS}, {hits_sql('h', 5)} SELECT query_id, id, {num('1 - distance', 'similarity')} FROM h")
 def similarity_score(t: Tables):
-    return V.vector_search(vectors(t), asked(t)).select("query_id", "id", (1 - F.col("distance")).alias("similarity"))
+    return search(vectors(t), asked(t)).select("query_id", "id", (1 - F.col("distance")).alias("similarity"))
 
 
 @query("cosine_matrix", f"""WITH {SIMS} SELECT a.c AS id_a, b.c AS id_b, {num('sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m)))', 'similarity')}
@@ -120,16 +135,16 @@ def cosine_matrix(t: Tables):
     return V.cosine_matrix(asked(t), "query_id")
 
 
-_PLACE = """near AS (SELECT d.vec_id AS id, CAST(d.label AS VARCHAR) AS place, round(1 - d.s, 9) AS distance, row_number() OVER (PARTITION BY d.label ORDER BY round(1 - d.s, 9), d.vec_id) AS rank
-  FROM sims d JOIN documents ON doc_id = d.vec_id WHERE c = (SELECT min(c) FROM centres))"""
+_PLACE = f"""near AS (SELECT x.id, CAST(s.label AS VARCHAR) AS place, x.text, round(1 - s.s, 9) AS distance, row_number() OVER (PARTITION BY s.label ORDER BY round(1 - s.s, 9), x.id) AS rank
+  FROM sims s {_DOCS} WHERE c = (SELECT min(c) FROM centres))"""
 
 
-@query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT *, (SELECT text FROM documents WHERE doc_id = id) AS text FROM near)
+@query("retrieval_summary", f"""WITH {SIMS}, {_PLACE}, n AS (SELECT * FROM near)
   SELECT place, count(*) AS total_complaints, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 5) AS recent, string_agg(text, '|' ORDER BY rank) FILTER (rank <= 10) AS issues FROM n GROUP BY 1""")
 def retrieval_summary(t: Tables):
     # the first label's mean vector stands in for the generic location query
     generic = asked(t).orderBy("query_id").first()["embedding"]
-    near = F.round(1 - V.similarities(F.col("embedding"), [generic])[0], V.DISTANCE_DIGITS)
+    near = F.round(1 - V.similarities(F.col("embedding"), [generic])[0], DIGITS)
     out = X.retrieval_summary(complaint_index(t), near, F.col("zip_code"))
     return out.select(
         "place", "total_complaints", F.array_join(F.col("recent_complaints")["id"].cast("array<string>"), ",").alias("recent"),
@@ -142,8 +157,8 @@ def ranked(t: Tables, k: int = 5, g: int = 3):
     c, p = complaint_index(t), guideline_index(t)
     queries = asked(t)
     return (
-        V.attach(V.vector_search(c, queries, k), c, ["text", "metadata"]),
-        V.attach(V.vector_search(p, queries, g), p, ["text"]),
+        V.attach(search(c, queries, k), c, ["text", "metadata"]),
+        V.attach(search(p, queries, g), p, ["text"]),
     )
 
 
@@ -171,7 +186,7 @@ def union_sources(t: Tables):
 
 def judged(t: Tables):
     """Hits of the label's mean vector; a hit is relevant when it carries the label."""
-    hits = V.vector_search(vectors(t), asked(t))
+    hits = search(vectors(t), asked(t))
     return V.attach(hits, vectors(t), ["zip_code"]).withColumn("is_relevant", F.col("zip_code") == F.col("query_id").cast("string"))
 
 
@@ -211,10 +226,10 @@ def text_sql(value: str) -> str:
 
 @query("question_prompt", f"""WITH {_CONTEXT} SELECT n_nationkey, {text_sql(chr(10) + settings.QUESTION_OPENING + chr(10) * 2 + 'Question: ')} || n_name || {text_sql(chr(10) * 2 + 'Location context: ')} || CAST(query_id AS VARCHAR)
   || {text_sql(chr(10) * 2 + settings.QUESTION_CONTEXT + chr(10))} || context || {text_sql(chr(10) * 2 + settings.QUESTION_CLOSING + chr(10))} AS prompt
-  FROM nation JOIN context c ON n_nationkey = c.query_id""")
+  FROM nation JOIN context c ON n_nationkey % 10 = c.query_id""")
 def question_prompt(t: Tables):
-    # the nation with the query's number stands in for the question
-    rows = t.nation.join(X.context_string(*ranked(t)), F.col("n_nationkey") == F.col("query_id"))
+    # nations stand in for the questions; the ten labels' contexts serve them in turn
+    rows = t.nation.join(X.context_string(*ranked(t)), F.pmod("n_nationkey", F.lit(10)) == F.col("query_id"))
     return rows.select("n_nationkey", R.question_prompt(F.col("n_name"), F.col("context"), F.col("query_id").cast("string")).alias("prompt"))
 
 
@@ -249,17 +264,18 @@ def report_prompt(t: Tables):
 @query("full_report")
 def full_report(t: Tables):
     """Assessment, yearly trend, outlook and retrieved context in one prompt per place."""
-    contexts = X.context_string(*ranked(t)).withColumn("zip_code", F.col("query_id").cast("string"))
+    places = t.nation.select(F.col("n_nationkey").cast("string").alias("zip_code"), F.pmod("n_nationkey", F.lit(10)).alias("query_id"))
+    contexts = places.join(X.context_string(*ranked(t)), "query_id")
     return R.report_table(master(t), contexts, month=7).select("zip_code", "prompt")
 
 
 @query("answer_questions")
 def answer_questions(t: Tables):
-    """Every benchmark text as a question to the orders' descriptors and the documents' chunks."""
+    """Every benchmark text as a question to the orders' descriptors and the documents' chunks; every other one names a place."""
     rows = complaints(t, closed=False)
     docs = texts(t).select(F.col("doc_id").cast("string").alias("source"), "text")
     encoder = X.fit_text_embedding(docs)
-    questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("7").alias("place"))
+    questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(F.pmod("item_id", F.lit(2)) == 1, F.pmod("item_id", F.lit(25)).cast("string")).alias("place"))
     indexes = {"complaints": X.build_complaint_index(rows, encoder), "guidelines": X.build_guideline_index(docs, encoder, separator="\n")}
     stored = {n: readers.read_through_cache(t.spark, scratch_path(t.spark, n), lambda d=d: d) for n, d in indexes.items()}
     out = A.answer_questions(questions, stored["complaints"], stored["guidelines"], encoder, place="place")

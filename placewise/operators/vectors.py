@@ -1,32 +1,32 @@
 """Exact and approximate cosine search over an embedding column.
 
-The query side is small by nature; it is read in blocks of a checked size and each block makes one
-pass over the index. Within a task NumPy multiplies a batch of index rows with the block and keeps
-the k nearest per query, so a task emits at most k rows per query and no pair table ever exists.
+A query side of a checked size is held by every task, and one pass over the index answers it. A larger one stays
+distributed: queries and index rows are dealt to cells (a part of the index, a block of the queries), so that a task holds
+one part and one block. Either way NumPy multiplies a bounded number of pairs at a time and a task emits at most k rows
+per query it saw; no pair table ever exists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from placewise.session import scratch_path
 from placewise.settings import TOP_K
 
-# A block of queries held by every task: at most this many bytes of float64.
+# Queries held by every task, and either side of a cell: at most this many bytes of float64.
 BLOCK_BYTES = 64 * 1024 * 1024
-# The driver holds at most this many blocks; further ones go through a table in the shared folder.
-HELD_BLOCKS = 4
-# Distances are compared after rounding, so that equal vectors tie on every engine and batch layout.
-DISTANCE_DIGITS = 9
+# Classes whose mean vectors are held on the driver and by every task.
+MOST_CLASSES = 10_000
+# Distances computed at a time.
+DISTANCES = 1 << 21
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -40,32 +40,15 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return unit_rows(flat.reshape(-1, dim))
 
 
-def _query_blocks(queries: DataFrame, qid: str, vec: str, match: str | None) -> Iterator[tuple[list, list, np.ndarray]]:
-    """The queries as (ids, match values, unit matrix) blocks, streamed to the driver one partition at a time."""
-    names = [F.col(qid).alias("q"), F.col(vec).cast("array<double>").alias("v")]
-    names.append((F.col(match) if match else F.lit(None).cast("string")).cast("string").alias("m"))
-    ids, keys, rows, held = [], [], [], 0
-    for row in queries.where(F.col(vec).isNotNull()).select(*names).toLocalIterator():
-        ids.append(row["q"])
-        keys.append(row["m"])
-        rows.append(row["v"])
-        held += 8 * len(row["v"])
-        if held >= BLOCK_BYTES:
-            yield ids, keys, unit_rows(np.asarray(rows, dtype=np.float64))
-            ids, keys, rows, held = [], [], [], 0
-    if rows:
-        yield ids, keys, unit_rows(np.asarray(rows, dtype=np.float64))
-
-
-def _nearest(distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k smallest distances, ties by id."""
-    if len(distances) > k:
-        bound = np.partition(distances, k - 1)[k - 1]
-        rows = np.flatnonzero(distances <= bound)
-    else:
-        rows = np.arange(len(distances))
-    rows = rows[np.argsort(ids[rows], kind="stable")]
-    return rows[np.argsort(distances[rows], kind="stable")][:k]
+def _asked(queries: DataFrame, qid: str, vec: str, match: str | None) -> DataFrame:
+    key = (F.col(match) if match else F.lit(None).cast("string")).cast("string")
+    return queries.where(F.col(vec).isNotNull()).select(F.col(qid).alias("q"), F.col(vec).cast("array<double>").alias("v"), key.alias("m"))
+
+
+def _blocks(vectors: DataFrame) -> int:
+    """How many blocks of BLOCK_BYTES the column `v` fills; 0 without rows."""
+    seen = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    return -(-8 * seen["n"] * max(seen["dim"] or 0, 1) // BLOCK_BYTES)
 
 
 def vector_search(
@@ -80,12 +63,13 @@ def vector_search(
     match: tuple[str, str] | None = None,
     max_distance: float | None = None,
     hashing: tuple | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact k nearest by cosine distance: query_id, id, distance, rank.
 
     `where` filters the index before any distance is computed. `match=(index_col, query_col)` lets a
     query see only the index rows with its own value, such as its zip. A zero vector has distance 1.
-    `hashing` is set by `vector_search_approx`.
+    Distances are compared in full, or rounded to `digits` first. `hashing` is set by `vector_search_approx`.
     """
     pool = index.where(where) if where is not None else index
     pool = pool.where(F.col(vec_col).isNotNull()).select(
@@ -93,95 +77,132 @@ def vector_search(
         F.col(vec_col).cast("array<double>").alias("v"),
         (F.col(match[0]) if match else F.lit(None).cast("string")).cast("string").alias("m"),
     )
-    q_type = queries.schema[query_id].dataType.simpleString()
+    asked = _asked(queries, query_id, query_vec, match[1] if match else None)
     q_arrow = to_arrow_type(queries.schema[query_id].dataType)
-    id_type = index.schema[id_col].dataType.simpleString()
-    schema = f"query_id {q_type}, id {id_type}, distance double"
-    spark = index.sparkSession
-    parts, spool = [], None
-    for ids, keys, matrix in _query_blocks(queries, query_id, query_vec, match[1] if match else None):
-        parts.append(pool.mapInArrow(_local_search(ids, keys, matrix, k, match is not None, q_arrow, hashing), schema))
-        if len(parts) == HELD_BLOCKS:
-            spool = spool or scratch_path(spark, "nearest")
-            reduce(DataFrame.union, parts).write.mode("append").parquet(spool)
-            parts = []
-    if spool:
-        parts.append(spark.read.schema(schema).parquet(spool))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    near = reduce(DataFrame.union, parts)
+    id_arrow = to_arrow_type(index.schema[id_col].dataType)
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, id {index.schema[id_col].dataType.simpleString()}, distance double"
+    options = {"k": k, "matched": match is not None, "types": (q_arrow, id_arrow), "hashing": hashing, "digits": digits}
+    blocks = _blocks(asked)
+    if blocks == 0:
+        return index.sparkSession.createDataFrame([], schema + ", rank int")
+    if blocks == 1:
+        near = pool.mapInArrow(_local_search(asked.toArrow(), **options), schema)
+    else:
+        empty = pa.schema([("query_id", q_arrow), ("id", id_arrow), ("distance", pa.float64())]).empty_table()
+
+        def nearest(rows: pa.Table, block: pa.Table) -> pa.Table:
+            found = _local_search(block, **options)(iter(rows.to_batches()))
+            return pa.concat_tables([empty, *(pa.Table.from_batches([b]) for b in found)])
+
+        near = _in_cells(pool, asked, nearest, schema, empty)
     if max_distance is not None:
         near = near.where(F.col("distance") <= max_distance)
     return rank_topk(near, k)
 
 
+def _in_cells(pool: DataFrame, asked: DataFrame, own: Callable[[pa.Table, pa.Table], pa.Table], schema: str, none: pa.Table) -> DataFrame:
+    """`own` on every part of the pool (id, v, m) with every block of the queries (q, v, m); `none` where one is empty.
+
+    Cells hold equal shares whatever the match values are, as rows are dealt by a hash of id and vector.
+    """
+    parts, blocks = max(_blocks(pool), 1), max(_blocks(asked), 1)
+
+    def dealt(rows: DataFrame, key: str, kept: str, count: int, other: str, other_count: int) -> DataFrame:
+        turn = F.pmod(F.xxhash64(key, "v"), F.lit(count)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
+        return rows.select(key, "v", "m", F.lit(key == "q").alias("asks"), turn.alias(kept), copies.alias(other))
+
+    def cell(table: pa.Table) -> pa.Table:
+        asks = table.column("asks")
+        rows, block = table.filter(pa.compute.invert(asks)), table.filter(asks)
+        if not (rows.num_rows and block.num_rows):
+            return none
+        return own(rows.select(["id", "v", "m"]), block.select(["q", "v", "m"]))
+
+    # one table of both sides, as two sides of one lineage confuse a cogroup's columns
+    left, right = dealt(pool, "id", "part", parts, "block", blocks), dealt(asked, "q", "block", blocks, "part", parts)
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.groupBy("part", "block").applyInArrow(cell, schema)
+
+
 def rank_topk(hits: DataFrame, k: int, query: str = "query_id", by: Sequence[str] = ("distance", "id")) -> DataFrame:
     """Rank per query, k best kept; the limit runs in every task before the shuffle."""
     w = Window.partitionBy(query).orderBy(*by)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _local_search(ids: list, keys: list, queries: np.ndarray, k: int, matched: bool, q_arrow: pa.DataType, hashing: tuple | None):
-    """mapInArrow body: the k nearest rows of this task for every query of the block."""
-    dim = queries.shape[1]
+def _local_search(asked: pa.Table, k: int, matched: bool, types: tuple, hashing: tuple | None, digits: int | None):
+    """mapInArrow body: the k nearest rows of this task for every query of the block, ties by id."""
+    vectors = asked.column("v").combine_chunks()
+    dim = len(vectors.flatten()) // len(vectors)
+    queries = _matrix(vectors, dim)
     asked_buckets = _buckets(queries, hashing) if hashing else None
+    ids = asked.column("q").combine_chunks()
     by_key: dict = {}
-    for place, key in enumerate(keys):
+    for place, key in enumerate(asked.column("m").to_pylist() if matched else []):
         by_key.setdefault(key, []).append(place)
+    by_key.pop(None, None)
+
+    def groups(keys: pa.Array, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) that see each other."""
+        if not matched:
+            yield np.arange(len(queries)), np.arange(count)
+            return
+        coded = keys.dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy()
+        for code, key in enumerate(coded.dictionary.to_pylist()):
+            if key in by_key:
+                yield np.asarray(by_key[key]), np.flatnonzero(codes == code)
+
+    def best(found: list[pa.Table]) -> pa.Table:
+        """The first k of each query by distance and id."""
+        table = pa.concat_tables(found)
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[("q", "ascending"), ("d", "ascending"), ("id", "ascending")]))
+        q = table.column("q").to_numpy()
+        return table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        id_type = None
+        held = [pa.schema([("q", pa.int64()), ("d", pa.float64()), ("id", types[1])]).empty_table()]
+        waiting = 0
+        bound = np.full(len(queries), np.inf)  # no row beyond it is among the first k
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            id_type = batch.schema.field(0).type
-            row_ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
             matrix = _matrix(batch.column(1), dim)
-            row_keys = np.asarray(batch.column(2).to_pylist(), dtype=object)
             row_buckets = _buckets(matrix, hashing) if hashing else None
-            groups = [(None, slice(None))] if not matched else [
-                (key, np.flatnonzero(row_keys == key)) for key in set(row_keys) & set(by_key) if key is not None
-            ]
-            for key, rows in groups:
-                wanted = by_key.get(key, []) if matched else range(len(ids))
-                if not len(wanted):
-                    continue
-                chosen = list(wanted)
-                units, pool_ids = matrix[rows], row_ids[rows]
-                distances = None if hashing else np.round(1.0 - queries[chosen] @ units.T, DISTANCE_DIGITS)
-                meetings = _meetings(row_buckets[rows], asked_buckets[chosen]) if hashing else None
-                for n, place in enumerate(chosen):
+            for places, rows in groups(batch.column(2), batch.num_rows):
+                step = max(1, DISTANCES // len(places))
+                for part in (rows[at : at + step] for at in range(0, len(rows), step)):
                     if hashing:
-                        met = next(meetings)
-                        d, i = np.round(1.0 - units[met] @ queries[place], DISTANCE_DIGITS), pool_ids[met]
+                        q, r = _meetings(row_buckets[part], asked_buckets[places])
+                        d = 1.0 - np.einsum("ij,ij->i", queries[places[q]], matrix[part[r]])
+                        d = d if digits is None else np.round(d, digits)
+                        near = d <= bound[places[q]]
+                        q, r, d = q[near], r[near], d[near]
                     else:
-                        d, i = distances[n], pool_ids
-                    top = _nearest(d, i, k)
-                    d, i = d[top], i[top]
-                    if place in best:
-                        d = np.concatenate([best[place][0], d])
-                        i = np.concatenate([best[place][1], i])
-                        top = _nearest(d, i, k)
-                        d, i = d[top], i[top]
-                    best[place] = (d, i)
-        if best:
-            q = [ids[p] for p, (d, _) in best.items() for _ in d]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(q, type=q_arrow),
-                    pa.array([x for _, i in best.values() for x in i], type=id_type),
-                    pa.array(np.concatenate([d for d, _ in best.values()])),
-                ],
-                names=["query_id", "id", "distance"],
-            )
+                        every = 1.0 - queries[places] @ matrix[part].T
+                        every = every if digits is None else np.round(every, digits)
+                        limit = bound[places]
+                        if len(part) > k:
+                            limit = np.minimum(limit, np.partition(every, k - 1, axis=1)[:, k - 1])
+                            bound[places] = limit
+                        q, r = np.nonzero(every <= limit[:, None])
+                        d = every[q, r]
+                    held.append(pa.table({"q": places[q], "d": d, "id": batch.column(0).take(pa.array(part[r], pa.int64()))}))
+                    waiting += len(q)
+                    if waiting > max(DISTANCES // 4, 2 * k * len(queries)):
+                        held, waiting = [best(held)], 0
+                        held_q, held_d = held[0].column("q").to_numpy(), held[0].column("d").to_numpy()
+                        full = np.flatnonzero(np.arange(len(held_q)) - np.searchsorted(held_q, held_q) == k - 1)
+                        bound[held_q[full]] = np.minimum(bound[held_q[full]], held_d[full])
+        table = best(held)
+        if table.num_rows:
+            table = pa.table({"query_id": ids.take(table.column("q").combine_chunks()).cast(types[0]), "id": table.column("id"), "distance": table.column("d")})
+            yield from table.to_batches()
 
     return run
 
 
 def attach(hits: DataFrame, index: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Payload columns of the hits. Answers of a bounded size carry a broadcast hint, so the index is
-    scanned once more but not shuffled."""
+    """Payload columns of the hits."""
     payload = index.select(F.col(id_col).alias("id"), *columns)
     return hits.join(payload, "id")
 
@@ -204,19 +225,22 @@ def cosine_matrix(items: DataFrame, id_col: str = "id", vec_col: str = "embeddin
     """Similarity of every item to every item: id_a, id_b, similarity.
 
     The answer has a row per pair by definition, so it is meant for a short list such as a few texts
-    or one mean vector per class. The list is taken in blocks; each block makes one pass.
+    or one mean vector per class. Parts of the list meet in cells.
     """
+    kind = to_arrow_type(items.schema[id_col].dataType)
     id_type = items.schema[id_col].dataType.simpleString()
-    parts = []
-    for ids, _, matrix in _query_blocks(items, id_col, vec_col, None):
-        named = F.arrays_zip(
-            F.lit(ids).cast(f"array<{id_type}>").alias("b"), similarities(F.col(vec_col), matrix).alias("s")
-        )
-        parts.append(
-            items.where(F.col(vec_col).isNotNull())
-            .select(F.col(id_col).alias("id_a"), F.inline(named).alias("id_b", "similarity"))
-        )
-    return reduce(DataFrame.union, parts)
+
+    def pairs(rows: pa.Table, block: pa.Table) -> pa.Table:
+        left, right = rows.column("id").combine_chunks(), block.column("q").combine_chunks()
+        a, b = np.repeat(np.arange(len(left)), len(right)), np.tile(np.arange(len(right)), len(left))
+        first, second = rows.column("v").combine_chunks(), block.column("v").combine_chunks()
+        dim = len(first.flatten()) // len(first)
+        value = (_matrix(first, dim) @ _matrix(second, dim).T).ravel()
+        return pa.table({"id_a": left.take(pa.array(a, pa.int64())).cast(kind), "id_b": right.take(pa.array(b, pa.int64())).cast(kind), "similarity": value})
+
+    listed = _asked(items, id_col, vec_col, None)
+    none = pa.schema([("id_a", kind), ("id_b", kind), ("similarity", pa.float64())]).empty_table()
+    return _in_cells(listed.withColumnRenamed("q", "id"), listed, pairs, f"id_a {id_type}, id_b {id_type}, similarity double", none)
 
 
 def mean_vectors(df: DataFrame, group: str, vec_col: str = "embedding") -> DataFrame:
@@ -227,7 +251,9 @@ def mean_vectors(df: DataFrame, group: str, vec_col: str = "embedding") -> DataF
 
 def class_scores(df: DataFrame, label: str = "label", vec_col: str = "embedding", output: str = "scores") -> tuple[DataFrame, list]:
     """Similarity to each class's mean vector, and the class list; one mean vector per class is held."""
-    rows = mean_vectors(df, label, vec_col).orderBy(label).collect()
+    rows = mean_vectors(df, label, vec_col).orderBy(label).limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} values")
     matrix = np.asarray([r["embedding"] for r in rows])
     return df.withColumn(output, similarities(F.col(vec_col), matrix)), [r[label] for r in rows]
 
@@ -258,15 +284,18 @@ def _buckets(units: np.ndarray, hashing: tuple) -> np.ndarray:
     return steps @ (np.int64(1_000_003) ** np.arange(width, dtype=np.int64))
 
 
-def _meetings(row_buckets: np.ndarray, asked_buckets: np.ndarray) -> Iterator[np.ndarray]:
-    """For each query the rows that share a bucket with it in any table."""
-    orders = np.argsort(row_buckets, axis=0, kind="stable")
-    spans = []
+def _meetings(row_buckets: np.ndarray, asked_buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that share a bucket in any table, each once."""
+    found = []
     for t in range(row_buckets.shape[1]):
-        ordered = row_buckets[orders[:, t], t]
-        spans.append((np.searchsorted(ordered, asked_buckets[:, t], "left"), np.searchsorted(ordered, asked_buckets[:, t], "right")))
-    for q in range(len(asked_buckets)):
-        yield np.unique(np.concatenate([orders[lo[q]:hi[q], t] for t, (lo, hi) in enumerate(spans)]))
+        order = np.argsort(row_buckets[:, t], kind="stable")
+        ordered = row_buckets[order, t]
+        low, high = np.searchsorted(ordered, asked_buckets[:, t], "left"), np.searchsorted(ordered, asked_buckets[:, t], "right")
+        met = high - low
+        spot = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(low, met)
+        found.append(np.repeat(np.arange(len(met)), met) * len(order) + order[spot])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // max(len(row_buckets), 1), pairs % max(len(row_buckets), 1)
 
 
 def pca_2d(df: DataFrame, vec_col: str = "embedding", k: int = 2, keep: Sequence[str] = ()) -> DataFrame:

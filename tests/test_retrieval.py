@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def found(df):
 def test_search_equals_brute_force_with_copies(spark):
     index, queries = vectors(700, 16, 1, copies=250), vectors(9, 16, 2)
     index[5], queries[0] = 0.0, index[0]
-    got = V.vector_search(frame(spark, index, "id").repartition(7), frame(spark, queries, "query_id"), 12)
+    got = V.vector_search(frame(spark, index, "id").repartition(7), frame(spark, queries, "query_id"), 12, digits=9)
     assert found(got) == brute(index, queries, 12)
 
 
@@ -82,18 +83,40 @@ def test_search_with_match_filter_and_small_index(spark):
 
 def test_search_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_BYTES", 8 * 8)
-    monkeypatch.setattr(V, "HELD_BLOCKS", 2)
     index, queries = vectors(50, 8, 5), vectors(7, 8, 6)
     got = V.vector_search(frame(spark, index, "id"), frame(spark, queries, "query_id"), 4)
     assert found(got) == brute(index, queries, 4)
+    got = V.vector_search(frame(spark, index, "id"), frame(spark, queries, "query_id"), 4, match=("place", "place"))
+    assert found(got) == brute(index, queries, 4, lambda q, i: q % 3 == i % 3)
     pairs = V.cosine_matrix(frame(spark, queries, "id")).collect()
     assert len(pairs) == 49 and all(abs(r["similarity"] - 1) < 1e-12 for r in pairs if r["id_a"] == r["id_b"])
 
 
+def test_search_computes_few_distances_at_a_time(spark, monkeypatch):
+    index, queries = vectors(300, 8, 15, copies=100), vectors(7, 8, 16)
+    df, asked = frame(spark, index, "id").coalesce(2), frame(spark, queries, "query_id")
+    table = V._asked(asked, "query_id", "embedding", None).toArrow()
+    batches = df.select("id", "embedding", F.lit(None).cast("string")).toArrow().to_batches()
+    monkeypatch.setattr(V, "DISTANCES", 20)
+    run = V._local_search(table, 9, False, (pa.int64(), pa.int64()), None, 9)
+    got = {}
+    for batch in run(iter(batches)):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append(r["id"])
+    assert {(q, n + 1): i for q, ids in got.items() for n, i in enumerate(ids)} == brute(index, queries, 9)
+
+
+def test_near_distances_are_compared_in_full(spark):
+    turn = [1e-4, 1.00001e-4, 0.99999e-4]  # distances differ in the 14th digit
+    index = np.array([[np.cos(a), np.sin(a)] for a in turn])
+    got = V.vector_search(frame(spark, index, "id"), frame(spark, np.array([[1.0, 0.0]]), "query_id"), 3)
+    assert found(got) == {(0, 1): 2, (0, 2): 0, (0, 3): 1}
+
+
 def test_search_by_text_ids(spark):
     index, queries = vectors(60, 4, 7, copies=30), vectors(2, 4, 8)
     df = frame(spark, index, "n").withColumn("id", F.format_string("d%03d", "n"))
-    got = found(V.vector_search(df, frame(spark, queries, "query_id"), 6))
+    got = found(V.vector_search(df, frame(spark, queries, "query_id"), 6, digits=9))
     assert {k: int(v[1:]) for k, v in got.items()} == brute(index, queries, 6)
 
 
@@ -180,7 +203,7 @@ def test_numbered_ids(spark):
 def test_summary_keeps_the_nearest_per_place(spark):
     df = spark.range(300).select(F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 250, "hot").otherwise("cold").alias("p"))
     got = {r["place"]: r for r in X.retrieval_summary(df, F.col("id") / 10, F.col("p")).collect()}
-    assert got["hot"]["total_complaints"] == 100 and got["cold"]["total_complaints"] == 50
+    assert got["hot"]["total_complaints"] == 250 and got["cold"]["total_complaints"] == 50
     assert [h["id"] for h in got["hot"]["recent_complaints"]] == [0, 1, 2, 3, 4] and got["cold"]["sample_issues"][-1] == "t259"
 
 
