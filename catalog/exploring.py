@@ -15,6 +15,7 @@ from placewise.operators.features import location_window, rolling_columns
 from placewise.operators.position import exact_quantiles
 from placewise.operators.vectors import class_scores
 from placewise.plans.forecast import additive_forecast, as_predictions, baseline_lag1
+from placewise.session import materialize
 
 ADDITIVE = """timed AS (SELECT zip_code, date, CAST(complaint_count AS DOUBLE) AS y, CAST(year(date) * 12 + month(date) - 1 AS DOUBLE) AS t, month(date) AS m FROM dense),
 fit AS (SELECT zip_code, coalesce(regr_slope(y, t), 0) AS slope, avg(y) - coalesce(regr_slope(y, t), 0) * avg(t) AS intercept FROM timed GROUP BY 1),
@@ -40,7 +41,7 @@ predicted AS (SELECT vec_id, label, arg_max(c, s) AS pred FROM sims GROUP BY 1,
 
 def predictions(t: Tables):
     """Three SQL-expressible forecasts in the long form."""
-    table = panel(t)
+    table = materialize(panel(t))  # read by each of them
     rolling = rolling_columns(F.col("complaint_count"), location_window(), [3])["rolling_mean_3"]
     parts = [
         baseline_lag1(table),
@@ -209,7 +210,15 @@ def qq_points(t: Tables):
     return keyed(points, "ordered", "position")
 
 
-@query("qq_theoretical")
+def _ratio_sql(coefficients, x: str) -> str:
+    return "(" + ") / (".join(" + ".join(f"{c!r}::DOUBLE * power({x}, {7 - i})" for i, c in enumerate(side)) for side in coefficients) + ")"
+
+
+@query("qq_theoretical", f"""{PREDICTIONS}, placed AS (SELECT e, row_number() OVER (ORDER BY e, zip_code, date) AS i, count(*) OVER () AS n
+    FROM (SELECT zip_code, date, y - y_pred AS e FROM predictions WHERE model = 'baseline')),
+  spots AS (SELECT *, CASE WHEN i = n THEN power(0.5, 1.0 / n) WHEN i = 1 THEN 1 - power(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS p FROM placed),
+  tails AS (SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS t FROM spots)
+  SELECT i AS position, {num('e', 'ordered')}, {num(f"CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql(M.NORMAL_CENTRE, '(0.180625 - q * q)')} WHEN t <= 5 THEN sign(q) * {_ratio_sql(M.NORMAL_TAIL, '(t - 1.6)')} ELSE sign(q) * {_ratio_sql(M.NORMAL_FAR_TAIL, '(t - 5)')} END", 'theoretical')} FROM tails""")
 def qq_theoretical(t: Tables):
     points = M.qq_points(M.residuals(baseline_lag1(panel(t))), "residual", ["zip_code", "date"])
     return points.select("position", "ordered", "theoretical")

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from placewise.functions.columns import clip_nonnegative
 from placewise.functions.scoring import normalize_weights
@@ -79,12 +77,34 @@ def residuals(predictions: DataFrame, y: str = "y", pred: str = "y_pred") -> Dat
     return predictions.withColumn("residual", F.col(y) - F.col(pred))
 
 
-@pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the standard normal distribution; Spark has no such function."""
-    from statistics import NormalDist
-
-    return p.map(NormalDist().inv_cdf)
+# Coefficients of algorithm AS 241 (Wichura 1988), highest power first: (numerator, denominator) of the
+# centre, of the tails up to sqrt(-ln p) = 5, and of the far tails.
+NORMAL_CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+NORMAL_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+NORMAL_FAR_TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+
+
+def _ratio(coefficients: tuple[Sequence[float], Sequence[float]], x: Column) -> Column:
+    top, bottom = (reduce(lambda value, c: value * x + F.lit(c), rest, F.lit(first)) for first, *rest in coefficients)
+    return top / bottom
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution, exact to about 16 digits; null outside (0, 1)."""
+    q = p - 0.5
+    t = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tail = F.when(t <= 5, _ratio(NORMAL_TAIL, t - 1.6)).otherwise(_ratio(NORMAL_FAR_TAIL, t - 5))
+    value = F.when(F.abs(q) <= 0.425, q * _ratio(NORMAL_CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * tail)
+    return F.when((p > 0) & (p < 1), value)
 
 
 def qq_points(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
