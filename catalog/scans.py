@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, day, moment, num, nums, query
+from catalog.exploring import SIMS
 from catalog.standins import MASTER_SQL, PANEL_SQL, master, panel
 from placewise.operators.features import fit_features
 from placewise.operators.metrics import compare_models
 from placewise.operators.panel import join_buildings, join_violations
+from placewise.operators.vectors import class_scores
+from placewise.plans import assess
 from placewise.plans.forecast import baseline_lag1, fit_boosted, load_models, save_models
 from placewise.session import scratch_path
 from placewise.sources import readers, writers
@@ -43,6 +46,20 @@ def scan_filtered(t: Tables):
     )
 
 
+@query("scan_limited", f"SELECT l_orderkey, l_linenumber, {num('l_extendedprice')} FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 1000")
+def scan_limited(t: Tables):
+    """The source's own row limit, after a total order."""
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]
+    return readers.read_filtered(t.lineitem, select=["l_orderkey", "l_linenumber", "l_extendedprice"], order=order, limit=1000)
+
+
+@query("scan_json", f"SELECT o_orderkey, o_orderstatus, {num('o_totalprice')}, {moment('o_orderdate')} FROM orders")
+def scan_json(t: Tables):
+    path = scratch_path(t.spark, "orders-json")
+    t.orders.write.json(path)
+    return readers.read_json(t.spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp")
+
+
 @query("scan_count", "SELECT count(*) AS row_count FROM lineitem")
 def scan_count(t: Tables):
     return readers.count_rows(t.lineitem)
@@ -60,7 +77,7 @@ def scan_paged(t: Tables):
 @query("scan_wholetext", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def scan_wholetext(t: Tables):
     path = scratch_path(t.spark, "texts")
-    t.documents.select("source", "text").write.partitionBy("source").text(path)
+    t.documents.select("source", "text").write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)  # a file a document
     docs = readers.read_documents(t.spark, path)
     source = F.regexp_extract("file_path", r"source=([^/]+)/", 1)
     return docs.groupBy(source.alias("source")).agg(F.sum(F.length("text")).alias("chars"))
@@ -73,11 +90,30 @@ def scan_images(t: Tables):
     # the given tables hold no images: files below class folders stand in for them
     path = scratch_path(t.spark, "images")
     folder = F.when(F.col("o_orderstatus") == "F", "rat").when(F.col("o_orderstatus") == "O", "burrow").otherwise("no_evidence")
-    t.orders.select(folder.alias("kind"), F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("kind").text(path)
+    t.orders.select(folder.alias("kind"), F.col("o_orderkey").cast("string").alias("value")).write.option("maxRecordsPerFile", 1000).partitionBy("kind").text(path)
     files = readers.read_images(t.spark, path, pattern="*.txt", folder_prefix="kind=")
     return files.groupBy("class_name", "label").agg(F.sum(F.length("content")).cast("bigint").alias("bytes"))
 
 
+@query("image_evidence", f"""WITH {SIMS}, scored AS (SELECT doc_id AS id, CAST(doc_id % 25 AS VARCHAR) AS zip_code, c, s FROM documents JOIN sims ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+  found AS (SELECT id, zip_code, arg_max(c, s) AS kind, max(exp(s)) / sum(exp(s)) AS confidence FROM scored GROUP BY 1, 2),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY kind <> 9 DESC, confidence DESC, id DESC) AS n FROM found)
+  SELECT zip_code, 'class_' || kind AS predicted_class, {num('confidence')}, CAST(kind <> 9 AS INTEGER) AS is_rat_evidence FROM ranked WHERE n = 1""")
+def image_evidence(t: Tables):
+    # a file a document below class folders; its content names the stored vector
+    path = scratch_path(t.spark, "image-files")
+    number = F.col("doc_id").cast("string").alias("value")
+    t.documents.select(F.lit("rat").alias("kind"), number).write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
+    files = readers.read_images(t.spark, path, pattern="*.txt", folder_prefix="kind=")
+    listed = files.withColumn("doc_id", F.trim(F.regexp_replace(F.decode("content", "UTF-8"), "\n", "")).cast("bigint"))
+    stored = listed.select("path", "doc_id").withColumn("vec_id", F.pmod("doc_id", t.embeddings.agg(F.count("*")).scalar()))
+    scored, classes = class_scores(t.embeddings)
+    vectors = stored.join(scored.select("vec_id", "scores"), "vec_id").select("doc_id", "scores")
+    places = listed.select("doc_id", F.pmod("doc_id", F.lit(25)).cast("string").alias("zip_code"))
+    names = [f"class_{c}" for c in classes]
+    return assess.image_evidence(places, vectors, "scores", key="doc_id", classes=names, no_evidence=names[-1])
+
+
 @query("optional_source", f"{PANEL_SQL} SELECT zip_code, {day('date')}, complaint_count, {num('0', 'restaurant_violations_nearby')}, {num('50', 'building_age_mean')}, {num('0.5', 'old_building_pct')} FROM dense")
 def optional_source(t: Tables):
     missing = scratch_path(t.spark, "absent")
@@ -116,7 +152,7 @@ def model_store(t: Tables):
     """Fitted features and a boosted model, saved, loaded and applied to the whole panel."""
     table, path = master(t), scratch_path(t.spark, "models")
     features = fit_features(table)
-    trees = fit_boosted(features.apply(table), features.names, maxIter=3, maxDepth=3)
+    trees = fit_boosted(features.apply(table), features.names)
     save_models(features, trees, t.spark, path)
     loaded, pipeline = load_models(t.spark, path)
     return pipeline.transform(loaded.apply(table)).select("zip_code", "date", "complaint_count", "y_pred")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placewise.functions import scoring as S
 from placewise.operators.explore import global_stats, location_stats, location_stats_or_default
-from placewise.settings import CONTRIBUTION_THRESHOLD, DEFAULT_STATS, FACTORS, RISK_WEIGHTS
+from placewise.plans.forecast import classify
+from placewise.settings import CONTRIBUTION_THRESHOLD, DEFAULT_STATS, FACTORS, IMAGE_CLASSES, RISK_WEIGHTS
 
 
 def default_stats() -> dict[str, Column]:
@@ -83,6 +84,23 @@ def score_places(
     }).drop("f")
 
 
+def image_evidence(
+    files: DataFrame, vectors: DataFrame, scores: Column | str, by: str = "zip_code", key: str = "path",
+    classes: Sequence = IMAGE_CLASSES, no_evidence="no_evidence",
+) -> DataFrame:
+    """The strongest finding of every place, as `assess_location(images=...)` takes it.
+
+    `files` lists images (key, place), for example from `read_images`; `vectors` holds key and what `scores`, the raw
+    class scores, needs. Evidence goes before no evidence, then the higher confidence, then the larger key; a file without
+    a vector counts for nothing. Each place's rows collapse on the map side.
+    """
+    raw = F.col(scores) if isinstance(scores, str) else scores
+    seen = files.select(F.col(key).alias("_key"), by).join(vectors.withColumnRenamed(key, "_key"), "_key")
+    found = seen.select(by, "_key", classify(raw, classes, no_evidence).alias("c"))
+    best = F.max(F.struct("c.is_rat_evidence", "c.confidence", "_key", "c.predicted_class")).alias("b")
+    return found.groupBy(by).agg(best).select(by, "b.predicted_class", "b.confidence", "b.is_rat_evidence")
+
+
 def assess_location(
     panel: DataFrame,
     by: str = "zip_code",

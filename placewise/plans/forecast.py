@@ -82,6 +82,7 @@ def forecast_horizon(panel: DataFrame, months: int = 3, stable_share: float = 0.
 
     The grid is extended by `months`; the change counts as stable within `stable_share`.
     """
+    panel = materialize(panel.select("zip_code", "date", "complaint_count"))  # read three times
     last = panel.agg(F.max(F.to_date("date"))).scalar()
     model = fit_additive(panel)
     ahead = F.explode(period_sequence(F.add_months(last, 1), F.add_months(last, months)))
@@ -111,12 +112,18 @@ def yoy_trend(panel: DataFrame, y: str = "complaint_count") -> DataFrame:
     return sums.select("zip_code", "last_12", "previous_12", change.alias("yoy_pct"))
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], y: str = "complaint_count", **params) -> GBTRegressionModel:
-    """Gradient-boosted trees on the scaled feature vector."""
-    rows = feature_matrix(train, features).select("features", F.col(y).cast("double").alias("y"))
+def fit_boosted(
+    train: DataFrame, features: Sequence[str], y: str = "complaint_count", validation: Column | None = None, **params
+) -> GBTRegressionModel:
+    """Gradient-boosted trees on the scaled feature vector.
+
+    Rows where `validation` holds are not learnt from; boosting stops when the error on them no longer falls.
+    """
+    held = [] if validation is None else [F.coalesce(validation, F.lit(False)).alias("held")]
+    rows = feature_matrix(train, features).select("features", F.col(y).cast("double").alias("y"), *held)
     trees = GBTRegressor(
         featuresCol="features", labelCol="y", predictionCol="y_pred", featureSubsetStrategy="0.8", minInstancesPerNode=3,
-        cacheNodeIds=False, **(BOOSTING | params),
+        cacheNodeIds=False, **({"validationIndicatorCol": "held"} if held else {}), **(BOOSTING | params),
     )
     return trees.fit(rows)
 
@@ -166,15 +173,22 @@ def predict_location(
 
 
 def ensemble(predictions: DataFrame, weights: Mapping[str, float] = ENSEMBLE_WEIGHTS) -> DataFrame:
-    """Weighted mean per (place, date), over the keys that every weighted model covers best aligned."""
+    """Weighted mean per (place, date), over the models that have the key; see `weighted_ensemble`."""
     return weighted_ensemble(predictions, weights)
 
 
-def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, boosting: Mapping | None = None) -> dict:
-    """Fits all models on rows before `train_before`; returns the models and long predictions for later rows."""
+def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, boosting: Mapping | None = None, validate_before=None) -> dict:
+    """Fits all models on rows before `train_before`; returns the models and long predictions for later rows.
+
+    With `validate_before`, the rows from `train_before` up to it decide when boosting stops.
+    """
     table = materialize(features.apply(panel))
     train = table.where(F.col("date") < F.lit(train_before))
-    trees = fit_boosted(train, features.names, **(boosting or {}))
+    if validate_before is None:
+        trees = fit_boosted(train, features.names, **(boosting or {}))
+    else:
+        seen = table.where(F.col("date") < F.lit(validate_before))
+        trees = fit_boosted(seen, features.names, validation=F.col("date") >= F.lit(train_before), **(boosting or {}))
     reader = fit_sequence(train, features.numeric)
     later = F.col("date") >= F.lit(train_before)
     parts = [

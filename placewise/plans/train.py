@@ -21,13 +21,21 @@ from placewise.sources import readers
 from placewise.sources.writers import write_predictions, write_table
 
 
-def load_raw(spark: SparkSession, raw: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Complaints, and inspections and buildings where they exist."""
+def load_raw(
+    spark: SparkSession, raw: str, fmt: str = "csv", multi_line: bool = True
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Complaints, and inspections and buildings where they exist.
+
+    Line breaks inside quoted CSV values need `multi_line`, which reads each file in one task; use it with many files, or
+    switch it off where no value holds a line break.
+    """
 
     def optional(name: str) -> DataFrame | None:
         try:
             reader = spark.read.format(fmt)
-            return (reader.option("header", True).option("escape", '"') if fmt == "csv" else reader).load(f"{raw}/{name}")
+            if fmt == "csv":  # all columns are text; a quoted value may hold line breaks
+                reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
+            return reader.load(f"{raw}/{name}")
         except readers.AnalysisException as missing:
             if "PATH_NOT_FOUND" in (missing.getCondition() or ""):
                 return None
@@ -46,7 +54,8 @@ def train_forecasting(spark: SparkSession, raw: str, out: str, as_of_year: int,
     first = {r["split"]: r["first"] for r in cuts}
     train_before = first.get("val", first["test"])
     features = fit_features(master, train_before=train_before, trend_shift=1)
-    trained = train_forecasters(master, features, train_before, boosting)
+    held = first["test"] if "val" in first and "test" in first else None
+    trained = train_forecasters(master, features, train_before, boosting, validate_before=held)
     save_models(features, trained["boosted"], spark, f"{out}/models")
     write_table(feature_importance(spark, trained["boosted"], features.names), f"{out}/feature_importance")
     write_predictions(trained["predictions"], f"{out}/predictions")

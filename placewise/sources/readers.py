@@ -41,6 +41,11 @@ def read_csv(
     return reader.csv(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Row records as JSON, one a line (or, with `multi_line`, a file as one array); absent fields are null."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
 def read_filtered(
     table: DataFrame,
     where: Column | str | None = None,
@@ -127,11 +132,11 @@ def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
 
 
 def read_through_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at `path`; built and written on the first call."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in (missing.getCondition() or ""):
-            raise
-    build().write.mode("errorifexists").parquet(path)
+    """The Parquet table at `path`; built and written on the first call.
+
+    A folder without the mark of a finished write, left by a job that failed, is written anew.
+    """
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

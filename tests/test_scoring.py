@@ -84,12 +84,12 @@ def test_report_sections(spark):
     assert "**Overall Risk Score:** 6.2/10\n\n## Historical Data\n- Total complaints in area: N/A\n" in row["bare"]
     assert "Image Analysis" not in row["bare"] and "Retrieved Context" not in row["bare"] and "Sample complaint" not in row["bare"]
     assert "- Sample complaint descriptions:\n  - a\n  - b\n  - c\n\n## Forecast Data" in row["full"] and "  - d" not in row["full"]
-    assert "- Confidence: 87.5%\n- **WARNING**: Rat evidence" in row["full"] and "\n## Retrieved Context\nCTX\n\n## Instructions" in row["full"]
+    assert "- Confidence: 87.5%\n- **WARNING**: Rat evidence" in row["full"] and "\n## Retrieved Context\nCTX\n\n## What to write" in row["full"]
 
 
 def test_question_prompt_location_is_optional(spark):
     row = one(spark, a=R.question_prompt(F.lit("Q"), F.lit("C")), b=R.question_prompt(F.lit("Q"), F.lit("C"), F.lit("Z")))
-    assert "Question: Q\n\n\n\nRelevant information" in row["a"] and "\n\nLocation context: Z\n\n" in row["b"]
+    assert "Question: Q\n\n\n\nWhat our records and guidelines say:" in row["a"] and "\n\nLocation context: Z\n\n" in row["b"]
 
 
 def test_assess_by_borough_and_with_optional_tables(spark):
@@ -115,6 +115,22 @@ def test_assess_by_borough_and_with_optional_tables(spark):
     assert len(city) == 1 and city[0]["historical_stats"]["total_complaints"] == 36 * 6 and city[0]["historical_stats"]["recent_complaints"] == 3 * sum(range(3, 9))
 
 
+def test_images_reach_the_record(spark):
+    from placewise.plans.assess import assess_location, image_evidence
+
+    files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("lost", "2")], "path string, zip_code string")
+    stored = spark.createDataFrame([("a", [9.0, 0.0, 0.0]), ("b", [2.0, 0.0, 5.0]), ("c", [0.0, 0.0, 8.0]), ("d", [0.0, 0.0, 9.0])], "path string, s array<double>")
+    found = image_evidence(files, stored, "s", classes=["rat", "burrow", "no_evidence"])
+    got = {r["zip_code"]: r for r in found.collect()}
+    assert got["1"]["predicted_class"] == "rat" and got["1"]["confidence"] > 0.99 and got["1"]["is_rat_evidence"]
+    assert got["2"]["predicted_class"] == "no_evidence" and not got["2"]["is_rat_evidence"]
+    rows = [(z, "2020-01-01", 5, 1.0, 30.0) for z in ("1", "2", "3")]
+    schema = "zip_code string, date string, complaint_count bigint, restaurant_violations_nearby double, building_age_mean double"
+    panel = spark.createDataFrame(rows, schema).withColumn("date", F.to_timestamp("date"))
+    records = {r["location"]["zip_code"]: r["factors"]["image_evidence"] for r in assess_location(panel, month=1, images=found).collect()}
+    assert records["1"] > 0 and records["2"] == 0 and records["3"] == 0
+
+
 def test_report_table(spark):
     import datetime as dt
 

@@ -6,6 +6,7 @@ from placewise.operators.texts import text_embed
 from placewise.operators.vectors import attach, vector_search
 from placewise.plans.forecast import load_models
 from placewise.plans.train import build_indexes, train_forecasting
+from placewise.sources.readers import read_through_cache
 
 
 def write_raw(spark, folder):
@@ -14,7 +15,7 @@ def write_raw(spark, folder):
     day = F.date_add(F.lit("2018-01-01").cast("date"), (n % 1461).cast("int"))
     boroughs = F.array(*[F.lit(b) for b in ("MANHATTAN", "BROOKLYN", "BRONX", "QUEENS")])
     zips = F.array(*[F.lit(z) for z in ("10001", "11201", "10451", "11101")])
-    words = F.array(*[F.lit(w) for w in ("Rat sighting near garbage", "Mouse droppings in kitchen", "Burrow, backyard \"deep\"")])
+    words = F.array(*[F.lit(w) for w in ("Rat sighting near garbage", "Mouse droppings in kitchen", "Burrow, backyard \"deep\"\nand wide")])
     spark.range(6000).select(
         n.cast("string").alias("Unique Key"), F.date_format(day, "yyyy-MM-dd HH:mm:ss").alias("Created Date"),
         F.date_format(F.date_add(day, 5), "yyyy-MM-dd HH:mm:ss").alias("Closed Date"),
@@ -30,6 +31,14 @@ def write_raw(spark, folder):
     spark.createDataFrame(guides, "value string").coalesce(1).write.text(f"{folder}/guidelines")
 
 
+def test_cache_rebuilds_an_unfinished_table(spark, tmp_path):
+    path = str(tmp_path / "cached")
+    (tmp_path / "cached").mkdir()
+    (tmp_path / "cached" / "part-0.tmp").write_text("left by a failed job")
+    assert read_through_cache(spark, path, lambda: spark.range(3)).count() == 3
+    assert read_through_cache(spark, path, lambda: spark.range(5)).count() == 3
+
+
 def test_train_and_search(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     write_raw(spark, raw)
