@@ -16,8 +16,6 @@ from placewise.operators.vectors import pca_2d
 from placewise.plans import forecast as FC
 
 TRAIN_BEFORE = "2000-01-01"
-# Short training for the registered queries; the library defaults are longer.
-BOOSTING = {"maxIter": 8, "maxDepth": 4}
 
 
 @query("label_encode", f"""{PANEL_SQL}, b AS (SELECT borough, row_number() OVER (ORDER BY borough) - 1 AS i FROM (SELECT DISTINCT borough FROM dense)),
@@ -106,7 +104,7 @@ def _trained(t: Tables):
     table = master(t)
     features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
     rows = features.apply(table)
-    trees = FC.fit_boosted(rows.where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names, **BOOSTING)
+    trees = FC.fit_boosted(rows.where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names)
     return table, features, rows, trees
 
 
@@ -144,7 +142,7 @@ def train_all_compare(t: Tables):
     """Every model and the ensemble, trained on the earlier dates and compared on the later ones."""
     table = master(t)
     features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
-    return compare_models(FC.train_forecasters(table, features, TRAIN_BEFORE, BOOSTING)["predictions"])
+    return compare_models(FC.train_forecasters(table, features, TRAIN_BEFORE)["predictions"])
 
 
 @query("baseline_lag1", f"{PREDICTIONS} SELECT zip_code, {day('date')}, {nums('y y_pred')} FROM predictions WHERE model = 'baseline'")
@@ -189,7 +187,7 @@ def yoy_trend(t: Tables):
 @query("embedding_classifier")
 def embedding_classifier(t: Tables):
     """Dense head on the stored vectors; predicted class against label for every vector."""
-    model = FC.fit_embedding_classifier(t.embeddings, classes=10, hidden=32, max_iter=20)
+    model = FC.fit_embedding_classifier(t.embeddings, classes=10)
     rows = t.embeddings.select("vec_id", "label", FC.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return model.transform(rows.withColumnRenamed("label", "y")).select("vec_id", "y", F.col("prediction").cast("int").alias("pred"))
 

@@ -20,7 +20,7 @@ REGIONS = {"AFRICA": "Africa", "AMERICA": "America", "ASIA": "Asia", "EUROPE": "
 BAD_ZIP_BELOW = -900
 
 
-def complaints(t: Tables, closed: bool = True) -> DataFrame:
+def complaints(t: Tables, closed: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     base = (
         t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -33,6 +33,7 @@ def complaints(t: Tables, closed: bool = True) -> DataFrame:
         F.col("r_name").alias("borough"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("descriptor"),
+        *extra,
     ]
     if not closed:
         return base.select(*cols)
@@ -70,9 +71,7 @@ def master(t: Tables) -> DataFrame:
 
 
 def raw_complaints(t: Tables) -> DataFrame:
-    c = complaints(t).join(
-        t.orders.select(F.col("o_orderkey").cast("string").alias("k"), "o_totalprice", "o_custkey"), F.col("unique_key") == F.col("k")
-    ).join(t.customer.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    c = complaints(t, extra=("o_totalprice", "c_acctbal"))
     stamp = "yyyy-MM-dd HH:mm:ss"
     return c.select(
         F.col("unique_key").alias("Unique Key"),

@@ -38,7 +38,9 @@ def dedup_key(df: DataFrame, key: str = "unique_key", newest: str | None = "crea
     """One row per key, the newest; a plain distinct when the key column is missing.
 
     A max over a struct combines on the map side, so a key with very many copies does not
-    gather in one task as it would under a row_number window.
+    gather in one task as it would under a row_number window. Spark plans it as a sort aggregate: each task
+    sorts its own rows by key and ships one row a key. (A hash aggregate of key and newest date would have to
+    be joined back, which shuffles all copies of all rows.)
     """
     if key not in df.columns:
         return df.distinct()

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from placewise.functions.columns import lookup
 from placewise.functions.dates import is_summer, month_cos, month_sin, season
 from placewise.operators.position import drop_first_n, exact_quantiles
+from placewise.session import materialize
 from placewise.settings import LAG_PERIODS, ROLLING_WINDOWS, SEQUENCE_LENGTH
 
 EXTERNAL = ["restaurant_violations_nearby", "building_age_mean", "old_building_pct"]
 CATEGORICAL = ["borough", "season"]
+# Category lists are held on the driver and as literals: longer ones are refused.
+MOST_CATEGORIES = 10_000
 
 
 def location_window(key: str = "zip_code", time: str = "date"):
@@ -89,8 +92,10 @@ def numeric_features(df: DataFrame, lags: Sequence[int] = LAG_PERIODS, windows:
 
 
 def categories_of(df: DataFrame, column: str) -> list[str]:
-    """The distinct values in alphabetical order, null as 'Unknown'; a short list by nature."""
-    rows = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("c")).distinct().collect()
+    """The distinct values in alphabetical order, null as 'Unknown'; more than MOST_CATEGORIES are an error."""
+    rows = df.select(F.coalesce(F.col(column), F.lit("Unknown")).alias("c")).distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(rows) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} values")
     return sorted(r["c"] for r in rows)
 
 
@@ -169,14 +174,11 @@ def fit_features(
         base = base.where(F.col("date") < F.lit(train_before))
     model.numeric = numeric_features(base, lags, windows)
     listed = [c for c in CATEGORICAL if c in base.columns]
-    base = base.select(*[F.col(c).cast("double").alias(c) for c in model.numeric], *listed).persist()
-    try:
-        model.categories = {c: categories_of(base, c) for c in listed}
-        middles = exact_quantiles(base, model.numeric, [0.5])
-        model.medians = {c: (v[0] if v[0] is not None else 0.0) for c, v in middles.items()}
-        model.means, model.scales = scaling_stats(model.fill(base), model.numeric)
-    finally:
-        base.unpersist()
+    base = materialize(base.select(*[F.col(c).cast("double").alias(c) for c in model.numeric], *listed))  # read several times
+    model.categories = {c: categories_of(base, c) for c in listed}
+    middles = exact_quantiles(base, model.numeric, [0.5])
+    model.medians = {c: (v[0] if v[0] is not None else 0.0) for c, v in middles.items()}
+    model.means, model.scales = scaling_stats(model.fill(base), model.numeric)
     return model
 
 

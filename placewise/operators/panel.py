@@ -47,8 +47,8 @@ def agg_location_period(
 
 def cross_grid(cells: DataFrame, location: str = "zip_code", freq: str = "month") -> DataFrame:
     """Every location with every period from the first to the last: one row per pair."""
-    first = cells.agg(F.min("period")).scalar()
-    last = cells.agg(F.max("period")).scalar()
+    ends = cells.agg(F.struct(F.min("period").alias("first"), F.max("period").alias("last"))).scalar()  # one row, computed once
+    first, last = ends["first"], ends["last"]
     return (
         cells.select(location).distinct()
         .select(location, F.explode(period_sequence(first, last, freq)).alias("period"))
@@ -173,9 +173,9 @@ def join_buildings(panel: DataFrame, buildings: DataFrame | None, location: str
     stats = materialize(building_stats(buildings, location))
     filled = ["building_age_mean", "building_age_median", "old_building_pct"]
     used = stats.join(panel.select(location).distinct(), location, "left_semi")
-    medians = {c: used.agg(F.median(c)).scalar() for c in filled}
+    medians = used.agg(F.struct(*[F.median(c).alias(c) for c in filled])).scalar()
     joined = panel.join(stats, location, "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), m) for c, m in medians.items()})
+    return joined.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in filled})
 
 
 def fill_median(df: DataFrame, medians: dict[str, float | Column | None]) -> DataFrame:

@@ -178,6 +178,29 @@ def test_histogram_like_numpy(spark):
     assert [r["rows"] for r in flat] == list(np.histogram([2.0, 2.0], bins=4)[0])
 
 
+def test_normal_quantile_equals_the_library(spark):
+    from statistics import NormalDist
+
+    spots = [1e-300, 1e-20, 1e-9, 0.001, 0.075, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-12]
+    rows = spark.createDataFrame([(p,) for p in [*spots, 0.0, 1.0]], "p double").select("p", M.normal_quantile(F.col("p")).alias("z")).collect()
+    assert [r["z"] for r in rows[:-2]] == pytest.approx([NormalDist().inv_cdf(p) for p in spots], rel=1e-12, abs=1e-15)
+    assert [r["z"] for r in rows[-2:]] == [None, None]
+
+
+def test_boosting_stops_on_validation_rows(spark):
+    rng = random.Random(8)
+    rows = [(float(i % 7), float(rng.random()), i % 4 == 0) for i in range(400)]  # nothing to learn
+    table = spark.createDataFrame(rows, "x double, complaint_count double, held boolean")
+    free = FC.fit_boosted(table.where("NOT held"), ["x"], maxIter=12, maxDepth=3)
+    held = FC.fit_boosted(table, ["x"], validation=F.col("held"), maxIter=12, maxDepth=3)
+    assert held.getNumTrees < free.getNumTrees == 12
+
+
+def test_too_many_categories_are_refused(spark):
+    with pytest.raises(ValueError):
+        W.categories_of(spark.range(W.MOST_CATEGORIES + 5).select(F.col("id").cast("string").alias("c")), "c")
+
+
 def test_boosted_and_sequence_models_learn(spark):
     days = pd.date_range("2012-01-01", periods=96, freq="MS")
     rng = random.Random(4)
