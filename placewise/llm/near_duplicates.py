@@ -35,8 +35,9 @@ BANDS, ROWS = 30, 6
 COMPONENTS = BANDS * ROWS
 #: Five standard errors of the signature's estimate below the threshold.
 NEAR = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5
-#: Nodes of one side of a block in step 4.
+#: Nodes and bytes of text of one side of a block in step 4, about; a longer text is a side of its own.
 BLOCK = 1024
+BLOCK_BYTES = 16 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -107,7 +108,7 @@ def _identity(words: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     return arrays.mixed((sums[ends] - sums[ends - counts]) * inverse[ends - counts] + counts.astype(np.uint64))
 
 
-_SIGNED = "row bigint, doc_id bigint, high bigint, low bigint, signature binary"
+_SIGNED = "row bigint, doc_id bigint, high bigint, low bigint, signature binary, bytes bigint"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +120,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = probminhash(owner, keys, weight, rows).astype("<u2")
             ids = [pa.array(_identity(words, counts, seed).view(np.int64)) for seed in (1, 2)]
             marks = pa.array([s.tobytes() if c else None for s, c in zip(short, counts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), *ids, marks], [c.split()[0] for c in _SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), *ids, marks, pa.array(np.diff(bounds), pa.int64())], [c.split()[0] for c in _SIGNED.split(", ")])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """row, doc_id, identity of the words (high, low) and signature of every row; null signature without words."""
+    """row, doc_id, identity of the words (high, low), signature and bytes of every row; null signature without words."""
     rows = docs.select(row_id(docs).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return in_batches(rows, _sign, _SIGNED)
 
@@ -199,6 +200,16 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
+def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, weight) in the order of the texts, made a piece at a time."""
+    found = []
+    for at, rows in arrays.pieces(texts):
+        owner, keys, weight, _, _ = _shingles(*arrays.laid_out(texts.slice(at, rows)))
+        order = np.argsort(owner, kind="stable")
+        found.append((owner[order] + at, keys[order], weight[order]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def _across(key: tuple, table: pa.Table) -> pa.Table:
     """Verified links of one block between components, no more than join them.
 
@@ -223,10 +234,9 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
     if sum(map(len, left)):
         order = np.argsort(-np.concatenate(score), kind="stable")
         left, right = np.concatenate(left)[order], np.concatenate(right)[order]
-        column = arrays.strings(table.column("text").combine_chunks())
-        owner, keys, weight, _, _ = _shingles(*arrays.laid_out(column))
-        order = np.argsort(owner, kind="stable")
-        keys, weight = keys[order], weight[order]
+        used = np.unique(np.concatenate([left, right]))  # the other texts are not read
+        owner, keys, weight = _bags(arrays.strings(table.column("text").combine_chunks()).take(pa.array(used)))
+        owner = used[owner]
         lengths = np.bincount(owner, minlength=len(nodes))
         starts = np.cumsum(lengths) - lengths
         label = np.unique(roots, return_inverse=True)[1]
@@ -247,12 +257,13 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
 def _missing(bands: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) across the components that meet in a bucket. Each pair is compared in the first bucket it shares."""
     shipped(bands.sparkSession)
-    members = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "bytes"), "node")
+    filled = [F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")]
+    mixed = members.groupBy("band").agg(*filled).where("least <> most")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int")
+    dealt = members.drop("bytes").join(mixed.select("band", parts.alias("parts")), "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     texts = docs.select(row_id(docs).alias("node"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.join(nodes, "node").join(texts, "node")
+    dealt = dealt.join(nodes.drop("bytes"), "node").join(texts, "node")
     squares = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j"))))
     held = ["part", "number", "node", "root", "signature", "text"]
     rows = dealt.select("band", squares.alias("s"), *held).select("band", "s.i", "s.j", *held)
@@ -266,7 +277,7 @@ def classes(docs: DataFrame) -> DataFrame:
     one document; a row with a null doc_id goes by a hash of its text. Other columns are not read.
     """
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.where("signature IS NOT NULL").groupBy("high", "low").agg(F.min("row").alias("node"), F.first("signature").alias("signature"))
+    nodes = signed.where("signature IS NOT NULL").groupBy("high", "low").agg(F.min("row").alias("node"), F.first("signature").alias("signature"), F.max("bytes").alias("bytes"))
     nodes = stored(nodes, "nodes")
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)]
@@ -276,7 +287,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = stored(verified(pairs, docs), "verified")
     roots = components(links)
-    extra = stored(_missing(shared.select("band", "number", "node"), roots, nodes.select("node", "signature"), docs), "verified-more")
+    extra = stored(_missing(shared.select("band", "number", "node"), roots, nodes.select("node", "signature", "bytes"), docs), "verified-more")
     if extra.take(1):
         roots = components(links.unionAll(extra))
     named = nodes.select("high", "low", "node").join(roots, "node", "left").select("high", "low", F.coalesce("root", "node").alias("class_id"))

@@ -191,6 +191,23 @@ def test_near_duplicates(spark, small):
     assert {r.doc_id: r.class_id for r in QUERIES["op9_near_duplicates"](spark, small).collect()} == brute_classes(docs)
 
 
+@pytest.mark.parametrize("nodes, size", [(3, 1 << 20), (1024, 2500)])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, nodes, size):
+    """Two stars of texts that meet in buckets: links between them must be found across blocks, by count or by bytes."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", nodes)
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", size)
+    rng = random.Random(6)
+    base, texts = [f"w{rng.randint(0, 10**6)}" for _ in range(200)], []
+    for k in range(40):
+        changed = list(base)
+        for at in rng.sample(range(200), 1 if k % 2 else 3):
+            changed[at] = f"n{k}x{at}"
+        texts.append(" ".join(changed))
+    docs = table(spark, texts)
+    expected = brute_classes({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()} == expected
+
+
 def test_near_duplicates_chain_and_odd_rows(spark):
     rng = random.Random(5)
     text, chain = [f"w{rng.randint(0, 10**6)}" for _ in range(120)], []
