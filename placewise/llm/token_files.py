@@ -90,7 +90,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, block_tokens: int = B
     """Encode every whole text, append the end id and write the blocks to `path`, in ascending doc_id order.
 
     One range shuffle of (doc_id, text); repeated ids are spread by the text's hash. A null doc_id comes first, a null
-    text is an empty one (the end id alone), strings of special tokens are ordinary text, other columns are not read.
+    text is an empty one (the end id alone), strings of the file's added tokens get their ids as in the library's encoding
+    of the whole text, other columns are not read.
     Blocks are written through Spark, so a lost executor's files are made again or never seen.
     """
     bits = width(vocabularies.LibraryWords(vocabulary).size)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ def _visible() -> list[str]:
 
 
 class LibraryWords:
-    """Words by the model of a `tokenizers` file whose splitting is the byte-level pattern."""
+    """Words by the model of a `tokenizers` file whose splitting is the byte-level pattern, and its added tokens.
+
+    Added tokens are cut out of a text first, as the library does: leftmost, of those the longest, and those that match
+    normalised text after the others. A file with tokens that take in blanks or match whole words only is refused.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,18 +48,48 @@ class LibraryWords:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.table = dict(enumerate(_visible()))
-        self.size = self.whole.get_vocab_size()
+        tokens = {i: t for i, t in self.whole.get_added_tokens_decoder().items() if t.content}
+        if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"added tokens of {path} strip blanks or match whole words only: {odd}")
+        self.added = {t.content.encode(): i for i, t in tokens.items()}
+        self.size = max(self.whole.get_vocab_size(), *(i + 1 for i in tokens), 0)
+        contents = [sorted((t.content.encode() for t in tokens.values() if t.normalized == late), key=len, reverse=True) for late in (False, True)]
+        self.patterns = [re.compile(b"|".join(map(re.escape, c))) for c in contents if c]
 
     def __call__(self, word: bytes) -> list[int]:
+        if word in self.added:
+            return [self.added[word]]
         return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.table))]
 
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte start, byte end and text of every word; an added token is one, and the text on each side is split on its own."""
+        raw = data.tobytes()
+        edges, begins = bounds, np.zeros(0, np.int64)
+        for pattern in self.patterns:
+            if not pattern.search(raw):
+                continue
+            taken = set(begins.tolist())
+            parts = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if a not in taken]
+            found = np.array([m.span() for a, b in parts for m in pattern.finditer(raw, a, b)], np.int64).reshape(-1, 2)
+            edges = np.unique(np.concatenate([edges, found.ravel()]))
+            begins = np.concatenate([begins, found[:, 0]])
+        if not len(begins):
+            return arrays.pretokens(data, bounds)
+        starts, ends, part = arrays.pretokens(data, edges)
+        whole = np.isin(edges[:-1], begins)[part]
+        kept = ~whole | (starts == edges[part])
+        starts, ends = starts[kept], np.where(whole, edges[part + 1], ends)[kept]
+        return starts, ends, arrays.owner(starts, bounds)
+
     def lengths(self) -> np.ndarray:
-        """Bytes of every id; special ids have none, as they never come from a text."""
+        """Bytes of every id."""
         known = set(_visible())
         lengths = np.zeros(self.size, np.int64)
         for token, number in self.model_vocab():
             if set(token) <= known:
                 lengths[number] = len(token)
+        for content, number in self.added.items():
+            lengths[number] = len(content)
         return lengths
 
     def model_vocab(self) -> list[tuple[str, int]]:
@@ -75,6 +110,9 @@ class RankWords:
         number = self.ranks.get(word)
         return [number] if number is not None else self.encoding.encode_ordinary(word.decode("utf-8"))
 
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return arrays.pretokens(data, bounds)
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -107,7 +145,7 @@ class Memory:
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
-        starts, ends, text = arrays.pretokens(data, bounds)
+        starts, ends, text = self.encode.words(data, bounds)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
         codes, distinct, first = arrays.numbered(arrays.hashes(data, starts, ends))

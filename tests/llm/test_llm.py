@@ -14,6 +14,7 @@ import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
 from oracle_check import compare, connect
@@ -100,6 +101,37 @@ def test_token_files(spark, small, encoding, tmp_path):
     assert token_files.digests(spark, str(tmp_path / "none")).count() == 0
 
 
+MARK = "<|endoftext|>"
+MARKED = [MARK, f"a{MARK}b", f"it {MARK}{MARK}'s  {MARK}  \n{MARK}", f"é{MARK}\U0001f600 \n", MARK[:7], MARK[7:], None, f"<{MARK}|>", f"<|{MARK[1:]}", "plain  words"]
+
+
+def test_added_tokens_as_in_the_library(spark, tmp_path):
+    library = Tokenizer.from_file(LIBRARY)
+    rng = random.Random(5)
+    texts = MARKED + ["".join(rng.choice([MARK, MARK[:5], MARK[5:], *"a1 é\n'", "  ", "'s"]) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    expected = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert expected[1] == [64, 50256, 65]
+    token_files.write_ids(table(spark, texts).coalesce(1), str(tmp_path / "marked"), LIBRARY, block_tokens=50)
+    assert {r.doc_id: r.ids for r in token_files.read_ids(spark, str(tmp_path / "marked")).collect()} == expected
+    rows = token_counts.count_tokens(table(spark, texts).coalesce(1), token_counts.heading_body_close(F.col("text")), LIBRARY, "first").collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(x) for i, x in expected.items()}
+    sections = {(r.doc_id, r.section): r.n_section for r in token_counts.count_tokens(table(spark, [f"a{MARK}\nb{MARK}c\n{MARK}"]), token_counts.heading_body_close(F.col("text")), LIBRARY).collect()}
+    assert sections == {(0, "heading"): 2, (0, "body"): 5, (0, "close"): 1}
+
+
+def test_added_tokens_of_other_files(tmp_path):
+    library = Tokenizer.from_file(LIBRARY)
+    library.add_tokens([AddedToken("<|end", normalized=False), AddedToken("of the", normalized=True), AddedToken("the", normalized=False), AddedToken("é<", normalized=True)])
+    library.save(str(tmp_path / "more.json"))
+    texts = ["one of the <|end<|endoftext|>é<|end", "of the", "é<é", "", "of of thé< the"]
+    ids, lengths = vocabularies.Memory(vocabularies.LibraryWords(str(tmp_path / "more.json"))).ids(*arrays.laid_out(arrays.strings(pa.array(texts))))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    library.add_tokens([AddedToken("blank", lstrip=True)])
+    library.save(str(tmp_path / "odd.json"))
+    with pytest.raises(ValueError, match="blank"):
+        vocabularies.LibraryWords(str(tmp_path / "odd.json"))
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, encoding, rule):
     docs = table(spark, ODD + ["ab cd\nefgh\nij kl"])
