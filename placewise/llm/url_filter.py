@@ -1,8 +1,10 @@
 """URL filter: rules on hosts and paths, and for the rest trust and distrust that travel along links between hosts.
 
 Trust starts at hosts whose pages the rules allow and follows links; distrust starts at hosts whose pages they block and
-follows links backwards. Both are personalised PageRank over host edges: each round a host hands `DAMPING` of its score on,
-in proportion to the pages that link. A host is blocked when its distrust exceeds its trust and `LEAST`.
+follows links backwards. Trust is personalised PageRank over host edges: each round a host hands `DAMPING` of its score on,
+in proportion to the pages that link. Distrust is the other end of the same walk: the chance that a reader who starts at the
+host, goes on with `DAMPING` and else stops, stops at a blocked page. It depends on where a host's own links go, not on how
+many others link there too. A host is blocked when its distrust exceeds its trust and is `LEAST` or more.
 
 Pages are reduced to distinct host pairs with map-side counts before anything iterates; both walks share one edge table,
 one join and one aggregate a round, and scores are stored every round, which cuts the lineage. All of it is DataFrame code.
@@ -16,7 +18,7 @@ from placewise.llm.storage import stored
 
 DAMPING = 0.85
 ROUNDS = 10
-#: As much distrust as an unlinked host has that the rules block in half of its pages.
+#: As much distrust as an unlinked host has that the rules block in half of its pages, or a host with no pages blocked that sends 59% of its links to wholly blocked hosts.
 LEAST = 0.5 * (1 - DAMPING)
 #: Host rows (host, its rules, scores) that may be broadcast: some 200 bytes each.
 BROADCAST_HOSTS = 200_000
@@ -82,14 +84,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """host, trust and distrust after `rounds` rounds from seeds (host, trust, distrust).
 
-    An edge hands trust to its target in shares of the origin's links, and distrust to its origin in shares of the target's.
+    An edge hands trust to its target and distrust to its origin, both in shares of the origin's links: a host's distrust is
+    the mean of its targets', so any number of hosts that link alike get the same.
     Hosts that only appear in links start at zero. Ends early when nothing moves.
     """
-    forward = edges.select(F.lit(0).alias("walk"), F.col("origin").alias("a"), F.col("target").alias("b"), "pages")
-    backward = edges.select(F.lit(1).alias("walk"), F.col("target").alias("a"), F.col("origin").alias("b"), "pages")
-    both = forward.unionAll(backward)
-    total = both.groupBy("walk", "a").agg(F.sum("pages").alias("all"))
-    moves = stored(both.join(total, ["walk", "a"]).select("walk", "a", "b", (F.col("pages") / F.col("all")).alias("share")), "host-moves")
+    total = edges.groupBy("origin").agg(F.sum("pages").alias("all"))
+    shares = edges.join(total, "origin").select("origin", "target", (F.col("pages") / F.col("all")).alias("share"))
+    ways = F.array(*[F.struct(F.lit(i).alias("walk"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate((("origin", "target"), ("target", "origin")))])
+    moves = stored(shares.select(F.inline(ways), "share"), "host-moves")
     start = seeds.select(F.col("host").alias("a"), F.explode(F.array(F.struct(F.lit(0).alias("walk"), F.col("trust").alias("seed")), F.struct(F.lit(1).alias("walk"), F.col("distrust").alias("seed")))).alias("s"))
     start = start.select("s.walk", "a", ((1 - damping) * F.col("s.seed")).alias("seed")).unionAll(moves.select("walk", F.col("b").alias("a"), F.lit(0.0).alias("seed")).distinct())
     start = stored(start.groupBy("walk", "a").agg(F.sum("seed").alias("seed")), "host-seeds")

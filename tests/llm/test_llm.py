@@ -285,6 +285,19 @@ def test_distrust_travels_back(spark):
     assert found["other.org"].verdict == "allow"
 
 
+def test_distrust_does_not_shrink_with_linkers(spark):
+    bad, fine = '<a href="http://bad.net/es/">', '<a href="http://other.org/">'
+    rows = [("http://bad.net/es/", ""), ("http://other.org/", ""), *((f"http://friend{i}.org/", bad) for i in range(1000))]
+    rows += [("http://hub.org/", bad + "".join(f'<a href="http://fine{i}.org/">' for i in range(99))), ("http://half.org/", bad + fine)]
+    rows += [("http://com.com/", '<a href="http://trusted.org/">'), ("http://trusted.org/", bad)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    found = {r.host: r for r in url_filter.judged(pages, url_filter.rule_table(spark)).collect()}
+    assert {(found[f"friend{i}.org"].verdict, round(found[f"friend{i}.org"].distrust, 9)) for i in range(1000)} == {("block", 0.1275)}
+    assert found["hub.org"].distrust == pytest.approx(0.001275) and found["half.org"].distrust == pytest.approx(0.06375)
+    assert found["trusted.org"].trust == pytest.approx(0.1275)
+    assert [found[h].verdict for h in ("hub.org", "half.org", "other.org")] == ["allow"] * 3
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|close|>\n \\<|turn:x|>"), (1, 1, "assistant", None), (2, 0, "assistant", "a|>b\\"), (3, 0, "odd<|role|>", "t"), (3, 0, "odd<|role|>", "t")]
     made = chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
