@@ -6,6 +6,8 @@ in proportion to the pages that link. Distrust is the other end of the same walk
 host, goes on with `DAMPING` and else stops, stops at a blocked page. It depends on where a host's own links go, not on how
 many others link there too. A host is blocked when its distrust exceeds its trust and is `LEAST` or more.
 
+Hosts that have no page of their own but are linked to count too: the rules are applied to the paths of those links.
+
 Pages are reduced to distinct host pairs with map-side counts before anything iterates; both walks share one edge table,
 one join and one aggregate a round, and scores are stored every round, which cuts the lineage. All of it is DataFrame code.
 """
@@ -32,7 +34,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s>]+)([^?#"'\s>]*)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,20 +67,32 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule and rule_verdict (null without a rule) of every page."""
     host, path = host_and_path(F.col("url").cast("string"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    return with_rules(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
+
+
+def with_rules(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of `parsed` (host, path and others) with rule and rule_verdict."""
     known = stored(host_rules(parsed.select("host").distinct(), rules), "host-rules")
     found = parsed.join(_small(known, BROADCAST_HOSTS), "host", "left")
     best = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(0))
-    return found.select("page_id", "host", "path", best["rule"].alias("rule"), best["rule_verdict"].alias("rule_verdict"))
+    return found.select(*parsed.columns, best["rule"].alias("rule"), best["rule_verdict"].alias("rule_verdict"))
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """origin, target and pages of every pair of different hosts joined by a link with a host of its own."""
+def host_links(pages: DataFrame) -> DataFrame:
+    """Links with a host of their own, of pages of other hosts, in one pass over the texts: rows of two kinds.
+
+    With a null path: origin, target and pages of every pair of hosts. With a null origin: every target and path once.
+    """
     host, _ = host_and_path(F.col("url").cast("string"))
     pieces = F.split(F.coalesce(F.col("html").cast("string"), F.lit("")), r"""(?i)href\s*=\s*["']?""")
-    targets = F.array_distinct(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.translate(F.regexp_extract(p, _LINK, 1), _UPPER, _LOWER)))
-    links = pages.select(host.alias("origin"), F.explode(targets).alias("target"))
-    return links.where("origin <> '' AND target <> '' AND origin <> target").groupBy("origin", "target").agg(F.count("*").alias("pages"))
+    named = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.struct(F.translate(F.regexp_extract(p, _LINK, 1), _UPPER, _LOWER).alias("target"), F.regexp_extract(p, _LINK, 2).alias("path")))
+    named = F.array_distinct(F.filter(named, lambda t: (t["target"] != "") & (t["target"] != F.col("origin"))))
+    kind = lambda origin, target, path: F.struct(origin.cast("string").alias("origin"), target.alias("target"), path.cast("string").alias("path"))
+    pairs = F.transform(F.array_distinct(F.transform("named", lambda t: t["target"])), lambda t: kind(F.col("origin"), t, F.lit(None)))
+    places = F.transform("named", lambda t: kind(F.lit(None), t["target"], t["path"]))
+    texts = pages.select(host.alias("origin"), "html").where("origin <> ''")
+    rows = texts.select("origin", named.alias("named")).where(F.size("named") > 0).select(F.inline(F.concat(pairs, places)))
+    return rows.groupBy("origin", "target", "path").agg(F.count("*").alias("pages"))
 
 
 def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -86,7 +100,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping
 
     An edge hands trust to its target and distrust to its origin, both in shares of the origin's links: a host's distrust is
     the mean of its targets', so any number of hosts that link alike get the same.
-    Hosts that only appear in links start at zero. Ends early when nothing moves.
+    Hosts that are not in `seeds` start at zero. Ends early when nothing moves.
     """
     total = edges.groupBy("origin").agg(F.sum("pages").alias("all"))
     shares = edges.join(total, "origin").select("origin", "target", (F.col("pages") / F.col("all")).alias("share"))
@@ -111,12 +125,16 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page.
 
     A page without a host is allowed unless a rule says otherwise; null html has no links; repeated rows are judged each;
-    columns besides page_id, url and html are not read.
+    columns besides page_id, url and html are not read. A host without a page is known by the distinct paths that others link to.
     """
     found = ruled(pages, rules)
+    links = stored(host_links(pages), "host-links")
+    edges = links.where("path IS NULL").select("origin", "target", "pages")
+    linked = links.where("origin IS NULL").select(F.col("target").alias("host"), "path").join(found.select("host").distinct(), "host", "left_anti")
+    known = found.where("host <> ''").select("host", "rule_verdict").unionAll(with_rules(linked, rules).select("host", "rule_verdict"))
     share = lambda v: F.avg(F.when(F.col("rule_verdict") == v, 1.0).otherwise(0.0))
-    seeds = found.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = stored(propagated(seeds, stored(host_edges(pages), "host-edges")), "host-trust")
+    seeds = known.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    scores = stored(propagated(seeds, edges), "host-trust")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= LEAST)
     verdict = F.coalesce("rule_verdict", F.when(bad, "block"), F.lit("allow"))
     return found.join(_small(scores, BROADCAST_HOSTS), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

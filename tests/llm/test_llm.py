@@ -298,6 +298,22 @@ def test_distrust_does_not_shrink_with_linkers(spark):
     assert [found[h].verdict for h in ("hub.org", "half.org", "other.org")] == ["allow"] * 3
 
 
+def test_distrust_of_hosts_without_pages(spark):
+    rows = [
+        ("http://a.org/", "<a href='HTTP://Bad.net/es/1?q'><a href=//bad.net/es/2#x><a href='http://bad.net/fr/'>"),
+        ("http://b.org/", '<a href="http://mixed.net/es/"><a href="http://mixed.net/en/"><a href="http://mixed.net">'),
+        ("http://c.org/", '<a href="http://own.net/es/">'),
+        ("http://own.net/en/", '<a href="/es/">'),
+        ("http://e.org/", '<a href="http://e.org/es/"><a href="http://www.example.com/en/">'),
+        ("nonsense", '<a href="http://bad.net/good/"><a href="http://mixed.net/es/2">'),
+    ]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    found = {r.host: (r.verdict, round(r.distrust, 9)) for r in url_filter.judged(pages, url_filter.rule_table(spark)).collect() if r.host}
+    assert found == {"a.org": ("block", 0.1275), "b.org": ("allow", 0.0425), "c.org": ("allow", 0), "own.net": ("allow", 0), "e.org": ("allow", 0)}
+    counted = url_filter.host_links(pages.unionAll(pages)).where("path IS NULL").collect()
+    assert {(r.origin, r.target): r.pages for r in counted} == {("a.org", "bad.net"): 2, ("b.org", "mixed.net"): 2, ("c.org", "own.net"): 2, ("e.org", "www.example.com"): 2}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|close|>\n \\<|turn:x|>"), (1, 1, "assistant", None), (2, 0, "assistant", "a|>b\\"), (3, 0, "odd<|role|>", "t"), (3, 0, "odd<|role|>", "t")]
     made = chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
