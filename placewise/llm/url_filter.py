@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from placewise.llm.storage import stored
 
 DAMPING = 0.85
+#: Rounds of the SQL.
 ROUNDS = 10
+#: The walks end when no score moves by this much; what they leave out of a distrust is less than six times it.
+TOLERANCE = 1e-6
 #: As much distrust as an unlinked host has that the rules block in half of its pages, or a host with no pages blocked that sends 59% of its links to wholly blocked hosts.
 LEAST = 0.5 * (1 - DAMPING)
 #: Host rows (host, its rules, scores) that may be broadcast: some 200 bytes each.
@@ -95,12 +98,13 @@ def host_links(pages: DataFrame) -> DataFrame:
     return rows.groupBy("origin", "target", "path").agg(F.count("*").alias("pages"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust and distrust after `rounds` rounds from seeds (host, trust, distrust).
+def propagated(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust and distrust from seeds (host, trust, distrust), iterated until no score moves by `tolerance`.
 
     An edge hands trust to its target and distrust to its origin, both in shares of the origin's links: a host's distrust is
     the mean of its targets', so any number of hosts that link alike get the same.
-    Hosts that are not in `seeds` start at zero. Ends early when nothing moves.
+    Hosts that are not in `seeds` start at zero. The moves of all hosts together shrink by `damping` a round or faster, so the
+    loop ends.
     """
     total = edges.groupBy("origin").agg(F.sum("pages").alias("all"))
     shares = edges.join(total, "origin").select("origin", "target", (F.col("pages") / F.col("all")).alias("share"))
@@ -110,14 +114,13 @@ def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping
     start = start.select("s.walk", "a", ((1 - damping) * F.col("s.seed")).alias("seed")).unionAll(moves.select("walk", F.col("b").alias("a"), F.lit(0.0).alias("seed")).distinct())
     start = stored(start.groupBy("walk", "a").agg(F.sum("seed").alias("seed")), "host-seeds")
     scores = start.withColumnRenamed("seed", "score")
-    for _ in range(rounds):
+    moved = tolerance
+    while moved >= tolerance:
         handed = moves.join(scores, ["walk", "a"]).groupBy("walk", F.col("b").alias("a")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         after = start.join(handed, ["walk", "a"], "left").select("walk", "a", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         after = stored(after, "host-scores")
-        moved = after.join(scores.withColumnRenamed("score", "old"), ["walk", "a"]).agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        moved = after.join(scores.withColumnRenamed("score", "old"), ["walk", "a"]).agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         scores = after
-        if not moved or moved < 1e-12:
-            break
     return scores.groupBy(F.col("a").alias("host")).agg(*[F.max(F.when(F.col("walk") == i, F.col("score"))).alias(n) for i, n in enumerate(("trust", "distrust"))])
 
 

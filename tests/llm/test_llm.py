@@ -314,6 +314,23 @@ def test_distrust_of_hosts_without_pages(spark):
     assert {(r.origin, r.target): r.pages for r in counted} == {("a.org", "bad.net"): 2, ("b.org", "mixed.net"): 2, ("c.org", "own.net"): 2, ("e.org", "www.example.com"): 2}
 
 
+def test_scores_reach_the_end_of_a_chain(spark):
+    names = ["h.com", *(f"h{i}.org" for i in range(1, 13)), "h.net"]
+    rows = [(i, f"http://{h}/es/", f'<a href="http://{names[i + 1]}/es/">' if i < 13 else "") for i, h in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.host: r for r in url_filter.judged(pages, url_filter.rule_table(spark)).collect()}
+    for i, h in enumerate(names):
+        assert found[h].trust == pytest.approx(0.15 * 0.85**i) and found[h].distrust == pytest.approx(0.15 * 0.85 ** (13 - i))
+
+
+def test_scores_of_a_circle_settle(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "origin string, target string, pages long")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0)], "host string, trust double, distrust double")
+    found = {r.host: (r.trust, r.distrust) for r in url_filter.propagated(seeds, edges, tolerance=0.01).collect()}
+    near, far = 0.15 / (1 - 0.85**2), 0.85 * 0.15 / (1 - 0.85**2)
+    assert np.allclose([*found["a"], *found["b"]], [near, far, far, near], atol=0.06)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<|close|>\n \\<|turn:x|>"), (1, 1, "assistant", None), (2, 0, "assistant", "a|>b\\"), (3, 0, "odd<|role|>", "t"), (3, 0, "odd<|role|>", "t")]
     made = chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
