@@ -297,11 +297,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns unchanged, with one row of each class: the one with the least id."""
-    lost = classes(docs).where("row <> class_id").select("row").distinct()
+    """The rows of `docs`, all columns unchanged, with one row of each class: the one with the least id.
+
+    A row is known by a hash of its id and its text, so different texts that share a doc_id are classed and kept each.
+    """
     row, turn = free_name(docs, "row_of_class"), free_name(docs, "turn_of_row")
-    marked = docs.withColumn(row, row_id(docs))
-    left = marked.join(lost.withColumnRenamed("row", row), row, "left_anti")
+    marked = docs.withColumn(row, F.xxhash64(row_id(docs), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    alike = classes(marked.select(F.col(row).alias("doc_id"), "text")).select("row", "class_id").distinct()
+    named = marked.select(F.col(row).alias("row"), row_id(docs).alias("id")).distinct()
+    least = alike.join(named, "row").groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("least"))
+    left = marked.join(least.select(F.col("least.row").alias(row)), row, "left_semi")
     once = left.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))).where(F.col(turn) == 1)
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -254,6 +254,17 @@ def test_near_duplicates_chain_and_odd_rows(spark):
     assert near_duplicates.keep_one(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_kept_each(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = ([f"w{rng.randint(0, 10**6)}" for _ in range(120)] for _ in range(5))
+    near = lambda text: [*text[:-1], "changed"]
+    rows = [(3, b), (5, a), (5, b), (5, a), (7, c), (7, d), (6, near(c)), (8, near(d)), (None, e), (9, e), (10, ["x"]), (10, ["y"])]
+    texts, ids = [" ".join(t) for _, t in rows], [i for i, _ in rows]
+    kept = near_duplicates.keep_one(table(spark, texts, ids)).collect()
+    expected = [(3, b), (5, a), (6, near(c)), (7, d), (None, e), (10, ["x"]), (10, ["y"])]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), " ".join(t)) for i, t in expected)
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, SENTENCE), (12, "Short item"), (3, None), (4, "!!"), (None, "lone words here")], "item_id bigint, text string")
     docs = table(spark, [None, "", "a SHORT, item b", "before " + SENTENCE.upper() + " after", "lone words here", "clean", "clean"], [0, 1, 2, 3, 4, 5, 5])
