@@ -3,10 +3,12 @@
 from placewise.llm.byte_bpe import op10_byte_bpe
 from placewise.llm.chat_format import OP6_SQL, op6_chat_format
 from placewise.llm.decontamination import OP1_SQL, op1_decontamination
+from placewise.llm.merkle import op13_merkle_manifest
 from placewise.llm.near_duplicates import op9_near_duplicates
 from placewise.llm.quality_crf import op3_quality
 from placewise.llm.quality_rules import OP7_SQL, op7_quality_rules
 from placewise.llm.sharding import op8_sharding
+from placewise.llm.simhash import op11_simhash
 from placewise.llm.token_counts import op4_token_counts
 from placewise.llm.token_files import op2_token_files
 from placewise.llm.url_filter import OP5_SQL, op5_url_filter
@@ -24,6 +26,8 @@ QUERIES = {
         op8_sharding,
         op9_near_duplicates,
         op10_byte_bpe,
+        op11_simhash,
+        op13_merkle_manifest,
     )
 }
 ORACLES = {"op1_decontamination": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_quality_rules": OP7_SQL}
