@@ -1,5 +1,6 @@
 """The registered queries of these operators, and their SQL where SQL can say it."""
 
+from placewise.llm.alignment import op12_token_alignment
 from placewise.llm.byte_bpe import op10_byte_bpe
 from placewise.llm.chat_format import OP6_SQL, op6_chat_format
 from placewise.llm.decontamination import OP1_SQL, op1_decontamination
@@ -27,6 +28,7 @@ QUERIES = {
         op9_near_duplicates,
         op10_byte_bpe,
         op11_simhash,
+        op12_token_alignment,
         op13_merkle_manifest,
     )
 }

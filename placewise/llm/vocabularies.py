@@ -39,16 +39,17 @@ class LibraryWords:
     """Words by the model of a `tokenizers` file whose splitting is the byte-level pattern, and its added tokens.
 
     Added tokens are cut out of a text first, as the library does: leftmost, of those the longest, and those that match
-    normalised text after the others. A file with tokens that take in blanks or match whole words only is refused.
+    normalised text after the others. A file with tokens that take in blanks or match whole words only is refused. Without
+    `special`, strings of special tokens are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.table = dict(enumerate(_visible()))
-        tokens = {i: t for i, t in self.whole.get_added_tokens_decoder().items() if t.content}
+        tokens = {i: t for i, t in self.whole.get_added_tokens_decoder().items() if t.content and (special or not t.special)}
         if odd := [t.content for t in tokens.values() if t.lstrip or t.rstrip or t.single_word]:
             raise ValueError(f"added tokens of {path} strip blanks or match whole words only: {odd}")
         self.added = {t.content.encode(): i for i, t in tokens.items()}
@@ -83,19 +84,56 @@ class LibraryWords:
 
     def lengths(self) -> np.ndarray:
         """Bytes of every id."""
-        known = set(_visible())
-        lengths = np.zeros(self.size, np.int64)
+        return np.array([len(t) for t in self.tokens()], np.int64)
+
+    def tokens(self) -> list[bytes]:
+        """Bytes of every id; none of an entry that is no byte-level spelling."""
+        value = {shown: bytes([byte]) for byte, shown in enumerate(_visible())}
+        tokens = [b""] * self.size
         for token, number in self.model_vocab():
-            if set(token) <= known:
-                lengths[number] = len(token)
+            if set(token) <= value.keys():
+                tokens[number] = b"".join(map(value.__getitem__, token))
         for content, number in self.added.items():
-            lengths[number] = len(content)
-        return lengths
+            tokens[number] = content
+        return tokens
 
     def model_vocab(self) -> list[tuple[str, int]]:
         return list(self.whole.get_vocab(with_added_tokens=False).items())
 
 
+class PieceWords:
+    """Words by a `sentencepiece` file, of texts that begin with the blank that the library puts in front of them.
+
+    A word is a run of blanks with what follows up to the next blank. Pieces never hold a blank behind another sign (a file
+    where they do is refused), so no merge reaches from one word into the next. The sign U+2581 itself, which the library
+    takes for a blank, is not one here: texts that hold it may be cut otherwise.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if odd := [p for p in self.pieces if "\u2581" in p.lstrip("\u2581")]:
+            raise ValueError(f"pieces of {path} hold blanks inside: {odd[:5]}")
+
+    def __call__(self, word: bytes) -> list[int]:
+        # the library puts the first blank there again, except before nothing
+        return self.model.encode(word[1:].decode("utf-8"), num_threads=1) if len(word) > 1 else [self.model.piece_to_id("\u2581")]
+
+    def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        begins = data == 0x20
+        begins[1:] &= ~begins[:-1]
+        begins |= arrays.marked(bounds, len(data))
+        starts = np.flatnonzero(begins)
+        return starts, np.append(starts[1:], len(data))[: len(starts)], arrays.owner(starts, bounds)
+
+    def tokens(self) -> list[bytes]:
+        """Bytes of every id."""
+        one = re.compile("<0x([0-9A-F]{2})>")
+        return [bytes.fromhex(m[1]) if (m := one.fullmatch(p)) else p.replace("\u2581", " ").encode() for p in self.pieces]
+
+
 class RankWords:
     """Words by the ranks of a `tiktoken` file, without special tokens."""
 
@@ -127,6 +165,10 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
+    return _table(tokens)
+
+
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(t) for t in tokens], np.int64)
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
@@ -170,7 +212,14 @@ class Memory:
 @functools.lru_cache(maxsize=4)
 def memory(kind: str, path: str) -> Memory:
     """One memory for each worker process and file."""
-    return Memory({"tokenizers": LibraryWords, "ranks": RankWords}[kind](path))
+    kinds = {"tokenizers": LibraryWords, "plain tokenizers": functools.partial(LibraryWords, special=False), "pieces": PieceWords, "ranks": RankWords}
+    return Memory(kinds[kind](path))
+
+
+@functools.lru_cache(maxsize=4)
+def token_bytes(kind: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes end to end, start and length of each id."""
+    return _table(memory(kind, path).encode.tokens())
 
 
 def encoded(kind: str, path: str, column: pa.Array):
