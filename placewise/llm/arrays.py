@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once. A single longer text is handled whole.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = 0, 1, 2, 3, 255
@@ -89,29 +89,44 @@ def _byte_values() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 
 
-_POWERS: list[np.ndarray] = []
+#: Bytes hashed at once; a single longer range is hashed whole.
+HASH_BYTES = 1 << 17
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0xD1342543DE82EF95
-        size = max(n, PIECE_BYTES + 1024)
-        tables = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            table = np.full(size, factor, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        _POWERS[:] = tables
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2**64."""
+    base = 0xD1342543DE82EF95
+    tables = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        table = np.full(size, factor, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
+
+
+@functools.lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * HASH_BYTES)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte range, from prefix sums of a polynomial; equal ranges get equal hashes."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULTIPLIER)
+    """A 64-bit hash of every byte range, from prefix sums of a polynomial; equal ranges get equal hashes.
+
+    The ranges are in order and do not overlap; they are taken a stretch at a time, each with sums of its own.
+    """
+    found = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        stop = max(int(np.searchsorted(ends, begin + HASH_BYTES, "right")), at + 1)
+        part = data[begin : int(ends[stop - 1])]
+        up, down = _usual_powers() if len(part) < 2 * HASH_BYTES else _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte_values()[part] * up[: len(part)], out=sums[1:])
+        first, last = starts[at:stop] - begin, ends[at:stop] - begin
+        found[at:stop] = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _MULTIPLIER)
+        at = stop
+    return found
 
 
 def windows(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +153,8 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each key, distinct keys by first occurrence, index of the first occurrence)."""
-    import pandas as pd
-
-    codes, distinct = pd.factorize(keys)
+    found = pa.array(keys).dictionary_encode()
+    codes, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
     first = np.empty(len(distinct), np.int64)
     first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
     return codes, distinct, first
@@ -159,13 +173,14 @@ def _classes() -> np.ndarray:
     """White space, letter, number or other, of every code point."""
     import regex
 
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    every = "".join(map(chr, points))
-    place = np.array(points)
     table = np.full(0x110000, _OTHER, np.uint8)
-    for pattern, kind in ((r"\p{White_Space}+", _SPACE), (r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
-        for found in regex.finditer(pattern, every):
-            table[place[found.start() : found.end()]] = kind
+    for start in range(0, 0x110000, 1 << 11):
+        if 0xD800 <= start < 0xE000:
+            continue
+        every = "".join(map(chr, range(start, start + (1 << 11))))
+        for pattern, kind in ((r"\p{White_Space}+", _SPACE), (r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
+            for found in regex.finditer(pattern, every):
+                table[start + found.start() : start + found.end()] = kind
     return table
 
 

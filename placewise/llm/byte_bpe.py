@@ -24,6 +24,8 @@ from placewise.llm.storage import in_batches
 
 #: Text of one block: what the task that reassembles it holds at once (a longer document is a block of its own).
 BLOCK_BYTES = 8 << 20
+#: Words whose ids are put together at once, in whole documents.
+WORDS = 1 << 18
 _BLOCKS = "block bigint, doc_ids array<bigint>, counts array<int>, words binary, n_bytes bigint, ends binary, n_words int, positions binary, n_positions int"
 _ASKED = "bucket int, block bigint, words binary, n_bytes bigint, ends binary, n_words int"
 _ANSWERED = "block bigint, bucket int, ids binary, n_ids bigint, lengths binary, n_words int"
@@ -54,13 +56,19 @@ def _row(schema: str, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _kinds(schema))], _names(schema))
 
 
+def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows, made one at a time."""
+    for i in range(table.num_rows):
+        yield {name: table.column(name)[i].as_py() for name in table.schema.names}
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = 0
     docs, counts, positions, words, known, held = [], [], [], [], {}, 0
 
     def cut() -> pa.RecordBatch:
         raw = b"".join(words)
-        at = np.concatenate(positions).astype(np.int32)
+        at = np.concatenate(positions)
         ends = np.array([len(w) for w in words], np.int32)
         key = (TaskContext.get().partitionId() << 32) | number
         return _row(_BLOCKS, key, docs, counts, pa.compress(raw, codec="zstd", asbytes=True), len(raw), _shrunk(ends), len(words), _shrunk(at), len(at))
@@ -72,7 +80,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, text = arrays.pretokens(data, bounds)
             codes, distinct, first = arrays.numbered(arrays.hashes(data, starts, ends))
             raw = data.tobytes()
-            place = np.empty(len(distinct), np.int64)
+            place = np.empty(len(distinct), np.int32)
             for i, (key, s, e) in enumerate(zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist())):
                 own = known.get(key)
                 if own is None:
@@ -99,7 +107,7 @@ def _buckets(raw: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
 def _ask(count: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["block", "words", "n_bytes", "ends", "n_words"]).to_pylist():
+            for row in _rows(batch):
                 raw = np.frombuffer(pa.decompress(row["words"], row["n_bytes"], codec="zstd", asbytes=True), np.uint8)
                 lengths = _grown(row["ends"], row["n_words"], np.int32).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
@@ -118,7 +126,7 @@ def _answer(path: str):
         encode = vocabularies.RankWords(path)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 raw = pa.decompress(row["words"], row["n_bytes"], codec="zstd", asbytes=True)
                 found, at = [], 0
                 for size in _grown(row["ends"], row["n_words"], np.int32).tolist():
@@ -139,21 +147,27 @@ def _answer(path: str):
 
 def _reassemble(count: int):
     def reassemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in blocks.to_pylist():
+        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
+        for row in _rows(blocks):
             raw = np.frombuffer(pa.decompress(row["words"], row["n_bytes"], codec="zstd", asbytes=True), np.uint8)
             order = np.argsort(_buckets(raw, _grown(row["ends"], row["n_words"], np.int32).astype(np.int64), count), kind="stable")
-            given = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
+            given = sorted(_rows(answers), key=lambda a: a["bucket"])
             flat = np.concatenate([_grown(a["ids"], a["n_ids"], np.int32) for a in given] or [np.zeros(0, np.int32)])
-            sizes = np.concatenate([_grown(a["lengths"], a["n_words"], np.int32) for a in given] or [np.zeros(0, np.int32)]).astype(np.int64)
-            lengths, starts = np.empty_like(sizes), np.empty_like(sizes)
-            lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
-            at, many = _grown(row["positions"], row["n_positions"], np.int32), np.array(row["counts"], np.int64)
-            stops = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(many)])]
-            ids = arrays.gathered(flat, starts[at], lengths[at])
-            lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids, pa.int32()))
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": lists}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+            sizes = np.concatenate([_grown(a["lengths"], a["n_words"], np.int32) for a in given] or [np.zeros(0, np.int32)])
+            lengths, starts = np.empty_like(sizes), np.empty(len(sizes), np.int64)
+            lengths[order], starts[order] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
+            places, ends = _grown(row["positions"], row["n_positions"], np.int32), np.cumsum(row["counts"], dtype=np.int64)
+            first = 0
+            while first < len(ends):  # documents of a bounded number of words at a time
+                begin = int(ends[first - 1]) if first else 0
+                last = max(int(np.searchsorted(ends, begin + WORDS, "right")), first + 1)
+                at = places[begin : int(ends[last - 1])]
+                stops = np.append(0, np.cumsum(lengths[at], dtype=np.int64))[np.append(0, ends[first:last] - begin)]
+                ids = arrays.gathered(flat, starts[at], lengths[at])
+                lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids, pa.int32()))
+                out.append(pa.table({"doc_id": pa.array(row["doc_ids"][first:last], pa.int64()), "ids": lists}))
+                first = last
+        return pa.concat_tables(out)
 
     return reassemble
 
@@ -168,7 +182,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = in_batches(rows, _split, _BLOCKS).repartition("block")
-    asked = in_batches(blocks, _ask(buckets), _ASKED).repartition("bucket")
+    asked = in_batches(blocks.select("block", "words", "n_bytes", "ends", "n_words"), _ask(buckets), _ASKED).repartition("bucket")
     answers = in_batches(asked, _answer(ranks), _ANSWERED)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(buckets), "doc_id bigint, ids array<int>")
 
