@@ -18,6 +18,7 @@ from catalog.exploring import SIMS
 from catalog.scalars import CHUNKS_SQL, score_col
 from catalog.standins import COMPLAINTS, MASTER_SQL, PANEL_SQL, complaints, master, panel
 from placewise import settings
+from placewise.operators import inverted as I
 from placewise.operators import texts as X
 from placewise.operators import vectors as V
 from placewise.operators.clean import available
@@ -32,6 +33,8 @@ from placewise.functions.columns import stringify_metadata
 # SQL compares rounded distances, so that equal vectors tie on both sides.
 DIGITS = 9
 search = partial(V.vector_search, digits=DIGITS)
+# Lists that the approximate search reads for a query.
+PROBES = 12
 
 
 def asked(t: Tables):
@@ -112,9 +115,45 @@ def vector_search_threshold(t: Tables):
     return search(vectors(t), asked(t), max_distance=0.3)
 
 
+# every twentieth row against all rows
+_TWENTIETHS = """sims20 AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 9) AS distance
+    FROM embeddings q JOIN embeddings x ON q.vec_id % 20 = 0),
+  hits20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM sims20) WHERE rank <= 5)"""
+_HITS20 = f"WITH {_TWENTIETHS} SELECT query_id, id, {num('distance')}, {int4('rank')} FROM hits20"
+
+
+def inverted_file(t: Tables) -> I.InvertedFile:
+    """As many lists as the square root of the rows."""
+    return I.build(vectors(t), max(1, int(t.embeddings.count() ** 0.5)))
+
+
+def twentieths(t: Tables):
+    return t.embeddings.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @query("vector_search_approx")
 def vector_search_approx(t: Tables):
-    return V.vector_search_approx(vectors(t), asked(t))
+    return I.search(inverted_file(t), twentieths(t), probes=PROBES, digits=DIGITS)
+
+
+@query("vector_search_all_lists", _HITS20)
+def vector_search_all_lists(t: Tables):
+    file = inverted_file(t)
+    return I.search(file, twentieths(t), probes=len(file.centres), digits=DIGITS)
+
+
+@query("vector_search_recall", f"WITH {_TWENTIETHS} SELECT count(DISTINCT query_id) AS queries, 1 AS enough FROM hits20")
+def vector_search_recall(t: Tables):
+    """Whether the approximate search finds nine tenths of the exact neighbours."""
+    file, queries = inverted_file(t), twentieths(t)
+    found = I.recall(I.search(file, queries, probes=PROBES, digits=DIGITS), search(vectors(t), queries))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("vector_search_skipping", _HITS20)
+def vector_search_skipping(t: Tables):
+    """Exact search that leaves out the parts of the index that cannot hold a neighbour."""
+    return I.exact_search(inverted_file(t), twentieths(t), digits=DIGITS).drop("parts_read")
 
 
 @query("join_query_docs", f"WITH {SIMS}, {hits_sql('h', 5, _DOCS)} SELECT query_id, id, lang, text, {num('1 - distance', 'similarity')} FROM h")

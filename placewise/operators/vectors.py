@@ -1,4 +1,4 @@
-"""Exact and approximate cosine search over an embedding column.
+"""Exact cosine search over an embedding column.
 
 A query side of a checked size is held by every task, and one pass over the index answers it. A larger one stays
 distributed: queries and index rows are dealt to cells (a part of the index, a block of the queries), so that a task holds
@@ -62,14 +62,13 @@ def vector_search(
     where: Column | None = None,
     match: tuple[str, str] | None = None,
     max_distance: float | None = None,
-    hashing: tuple | None = None,
     digits: int | None = None,
 ) -> DataFrame:
     """Exact k nearest by cosine distance: query_id, id, distance, rank.
 
     `where` filters the index before any distance is computed. `match=(index_col, query_col)` lets a
     query see only the index rows with its own value, such as its zip. A zero vector has distance 1.
-    Distances are compared in full, or rounded to `digits` first. `hashing` is set by `vector_search_approx`.
+    Distances are compared in full, or rounded to `digits` first.
     """
     pool = index.where(where) if where is not None else index
     pool = pool.where(F.col(vec_col).isNotNull()).select(
@@ -81,7 +80,7 @@ def vector_search(
     q_arrow = to_arrow_type(queries.schema[query_id].dataType)
     id_arrow = to_arrow_type(index.schema[id_col].dataType)
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, id {index.schema[id_col].dataType.simpleString()}, distance double"
-    options = {"k": k, "matched": match is not None, "types": (q_arrow, id_arrow), "hashing": hashing, "digits": digits}
+    options = {"k": k, "matched": match is not None, "types": (q_arrow, id_arrow), "digits": digits}
     blocks = _blocks(asked)
     if blocks == 0:
         return index.sparkSession.createDataFrame([], schema + ", rank int")
@@ -131,12 +130,11 @@ def rank_topk(hits: DataFrame, k: int, query: str = "query_id", by: Sequence[str
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _local_search(asked: pa.Table, k: int, matched: bool, types: tuple, hashing: tuple | None, digits: int | None):
+def _local_search(asked: pa.Table, k: int, matched: bool, types: tuple, digits: int | None):
     """mapInArrow body: the k nearest rows of this task for every query of the block, ties by id."""
     vectors = asked.column("v").combine_chunks()
     dim = len(vectors.flatten()) // len(vectors)
     queries = _matrix(vectors, dim)
-    asked_buckets = _buckets(queries, hashing) if hashing else None
     ids = asked.column("q").combine_chunks()
     by_key: dict = {}
     for place, key in enumerate(asked.column("m").to_pylist() if matched else []):
@@ -167,25 +165,17 @@ def _local_search(asked: pa.Table, k: int, matched: bool, types: tuple, hashing:
         bound = np.full(len(queries), np.inf)  # no row beyond it is among the first k
         for batch in batches:
             matrix = _matrix(batch.column(1), dim)
-            row_buckets = _buckets(matrix, hashing) if hashing else None
             for places, rows in groups(batch.column(2), batch.num_rows):
                 step = max(1, DISTANCES // len(places))
                 for part in (rows[at : at + step] for at in range(0, len(rows), step)):
-                    if hashing:
-                        q, r = _meetings(row_buckets[part], asked_buckets[places])
-                        d = 1.0 - np.einsum("ij,ij->i", queries[places[q]], matrix[part[r]])
-                        d = d if digits is None else np.round(d, digits)
-                        near = d <= bound[places[q]]
-                        q, r, d = q[near], r[near], d[near]
-                    else:
-                        every = 1.0 - queries[places] @ matrix[part].T
-                        every = every if digits is None else np.round(every, digits)
-                        limit = bound[places]
-                        if len(part) > k:
-                            limit = np.minimum(limit, np.partition(every, k - 1, axis=1)[:, k - 1])
-                            bound[places] = limit
-                        q, r = np.nonzero(every <= limit[:, None])
-                        d = every[q, r]
+                    every = 1.0 - queries[places] @ matrix[part].T
+                    every = every if digits is None else np.round(every, digits)
+                    limit = bound[places]
+                    if len(part) > k:
+                        limit = np.minimum(limit, np.partition(every, k - 1, axis=1)[:, k - 1])
+                        bound[places] = limit
+                    q, r = np.nonzero(every <= limit[:, None])
+                    d = every[q, r]
                     held.append(pa.table({"q": places[q], "d": d, "id": batch.column(0).take(pa.array(part[r], pa.int64()))}))
                     waiting += len(q)
                     if waiting > max(DISTANCES // 4, 2 * k * len(queries)):
@@ -258,46 +248,6 @@ def class_scores(df: DataFrame, label: str = "label", vec_col: str = "embedding"
     return df.withColumn(output, similarities(F.col(vec_col), matrix)), [r[label] for r in rows]
 
 
-def vector_search_approx(
-    index: DataFrame,
-    queries: DataFrame,
-    k: int = TOP_K,
-    bucket_length: float = 0.25,
-    tables: int = 8,
-    width: int = 2,
-    seed: int = 42,
-    **search,
-) -> DataFrame:
-    """Approximate neighbours: `vector_search` that only compares pairs sharing a bucket.
-
-    Each of the `tables` buckets a unit vector by `width` random projections cut into steps of
-    `bucket_length`. Longer steps find more and compare more. Some true neighbours are missed.
-    """
-    return vector_search(index, queries, k, hashing=(bucket_length, tables, width, seed), **search)
-
-
-def _buckets(units: np.ndarray, hashing: tuple) -> np.ndarray:
-    """Bucket number per row and table."""
-    length, tables, width, seed = hashing
-    directions = unit_rows(np.random.default_rng(seed).normal(size=(tables * width, units.shape[1])))
-    steps = np.floor(units @ directions.T / length + 0.5).astype(np.int64).reshape(len(units), tables, width)
-    return steps @ (np.int64(1_000_003) ** np.arange(width, dtype=np.int64))
-
-
-def _meetings(row_buckets: np.ndarray, asked_buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs that share a bucket in any table, each once."""
-    found = []
-    for t in range(row_buckets.shape[1]):
-        order = np.argsort(row_buckets[:, t], kind="stable")
-        ordered = row_buckets[order, t]
-        low, high = np.searchsorted(ordered, asked_buckets[:, t], "left"), np.searchsorted(ordered, asked_buckets[:, t], "right")
-        met = high - low
-        spot = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(low, met)
-        found.append(np.repeat(np.arange(len(met)), met) * len(order) + order[spot])
-    pairs = np.unique(np.concatenate(found))
-    return pairs // max(len(row_buckets), 1), pairs % max(len(row_buckets), 1)
-
-
 def pca_2d(df: DataFrame, vec_col: str = "embedding", k: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """Projection of the mean-centred vectors to k components; each component's largest loading is positive."""
     vectors = df.where(F.col(vec_col).isNotNull()).select(

@@ -126,24 +126,6 @@ def test_rank_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
 
 
-def test_approximate_search_finds_most(spark):
-    rng = np.random.default_rng(9)
-    centres = rng.normal(size=(8, 16))
-    index = np.concatenate([c + 0.15 * rng.normal(size=(40, 16)) for c in centres])
-    df, asked = frame(spark, index, "id"), frame(spark, centres, "query_id")
-    exact = set((q, i) for (q, _), i in found(V.vector_search(df, asked, 5)).items())
-    near = set((q, i) for (q, _), i in found(V.vector_search_approx(df, asked, 5)).items())
-    assert len(exact & near) / len(exact) > 0.8
-    everything = V.vector_search_approx(df, asked, 5, bucket_length=100.0)
-    assert found(everything) == brute(index, centres, 5)
-    plan = near_plan(V.vector_search_approx(df, asked, 5))
-    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
-
-
-def near_plan(df):
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
-
-
 def test_payload_join_is_left_to_the_optimizer(spark):
     index, queries = vectors(40, 8, 3), vectors(6, 8, 4)
     df = frame(spark, index, "id")
