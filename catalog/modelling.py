@@ -14,10 +14,11 @@ from placewise.operators import features as W
 from placewise.operators.metrics import compare_models
 from placewise.operators.vectors import pca_2d
 from placewise.plans import forecast as FC
+from placewise.session import scratch_path
 
 TRAIN_BEFORE = "2000-01-01"
-# Short boosting for the registered queries; the library defaults are longer.
-BOOSTING = {"maxIter": 8, "maxDepth": 4}
+# One training for all queries that need its models: (application, folder) -> where they are stored.
+_STORED: dict[tuple[str, str], str] = {}
 
 
 @query("label_encode", f"""{PANEL_SQL}, b AS (SELECT borough, row_number() OVER (ORDER BY borough) - 1 AS i FROM (SELECT DISTINCT borough FROM dense)),
@@ -103,33 +104,54 @@ def feature_matrix(t: Tables):
 
 
 def _trained(t: Tables):
-    table = master(t)
-    features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
-    rows = features.apply(table)
-    trees = FC.fit_boosted(rows.where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names, **BOOSTING)
-    return table, features, rows, trees
+    """Master table, and the models that were trained on its earlier dates with the library's parameters, once a folder."""
+    table, key = master(t), (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        path = scratch_path(t.spark, "trained")
+        features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
+        trees = FC.fit_boosted(features.apply(table).where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names)
+        FC.save_models(features, trees, t.spark, path)
+        _STORED[key] = path
+    return table, *FC.load_models(t.spark, _STORED[key])
 
 
 @query("gbt_forecast")
 def gbt_forecast(t: Tables):
-    _, features, rows, trees = _trained(t)
-    return FC.predict_boosted(rows.where(F.col("date") >= F.lit(TRAIN_BEFORE)), trees, features.names)
+    table, features, trees = _trained(t)
+    return FC.predict_boosted(features.apply(table).where(F.col("date") >= F.lit(TRAIN_BEFORE)), trees)
 
 
 @query("feature_importance")
 def feature_importance(t: Tables):
-    _, features, _, trees = _trained(t)
-    return FC.feature_importance(t.spark, trees, features.names)
+    return FC.feature_importance(t.spark, _trained(t)[2])
 
 
 @query("predict_location")
 def predict_location(t: Tables):
     """Fitted values for the last three rows of every asked place; parts that are no place get zeros."""
-    table, features, _, trees = _trained(t)
+    table, features, trees = _trained(t)
     asked = t.part.select(F.col("p_partkey").cast("string").alias("zip_code"))
     return FC.predict_location(table, features, trees, 3, asked)
 
 
+@query("boosted_fit_quality", f"{MASTER_SQL} SELECT count(*) AS row_count, 1 AS better_than_mean FROM master WHERE date >= TIMESTAMP '{TRAIN_BEFORE}'")
+def boosted_fit_quality(t: Tables):
+    """Whether the trees beat the mean of the earlier dates on the later ones, by squared error."""
+    table, features, trees = _trained(t)
+    early, late = F.col("date") < F.lit(TRAIN_BEFORE), F.col("date") >= F.lit(TRAIN_BEFORE)
+    mean = table.where(early).agg(F.avg("complaint_count")).scalar()
+    errors = FC.predict_boosted(features.apply(table).where(late), trees).withColumn("mean", mean)
+    better = F.sum((F.col("y") - F.col("y_pred")) ** 2) < F.sum((F.col("y") - F.col("mean")) ** 2)
+    return errors.agg(F.count("*").alias("row_count"), better.alias("better_than_mean"))
+
+
+@query("model_store")
+def model_store(t: Tables):
+    """The stored features and trees, loaded and applied to the whole panel."""
+    table, features, trees = _trained(t)
+    return trees.transform(features.apply(table)).select("zip_code", "date", "complaint_count", "y_pred")
+
+
 @query("sequence_forecast")
 def sequence_forecast(t: Tables):
     table = master(t)
@@ -142,9 +164,8 @@ def sequence_forecast(t: Tables):
 @query("train_all_compare")
 def train_all_compare(t: Tables):
     """Every model and the ensemble, trained on the earlier dates and compared on the later ones."""
-    table = master(t)
-    features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
-    return compare_models(FC.train_forecasters(table, features, TRAIN_BEFORE, BOOSTING)["predictions"])
+    table, features, trees = _trained(t)
+    return compare_models(FC.train_forecasters(table, features, TRAIN_BEFORE, trees=trees)["predictions"])
 
 
 @query("baseline_lag1", f"{PREDICTIONS} SELECT zip_code, {day('date')}, {nums('y y_pred')} FROM predictions WHERE model = 'baseline'")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from placewise.functions.columns import clip_nonnegative
 from placewise.functions.dates import month_index, period_sequence
-from placewise.operators.features import FeatureModel, feature_matrix, last_n_rows, location_window, sequences
+from placewise.operators import boosting
+from placewise.operators.boosting import BoostedTrees
+from placewise.operators.features import FeatureModel, last_n_rows, location_window, sequences
 from placewise.operators.metrics import weighted_ensemble
 from placewise.session import materialize
-from placewise.settings import BOOSTING, ENSEMBLE_WEIGHTS, SEQUENCE_LENGTH
+from placewise.settings import ENSEMBLE_WEIGHTS, SEQUENCE_LENGTH
 
 KEYS = ["zip_code", "date"]
 
@@ -112,30 +112,21 @@ def yoy_trend(panel: DataFrame, y: str = "complaint_count") -> DataFrame:
     return sums.select("zip_code", "last_12", "previous_12", change.alias("yoy_pct"))
 
 
-def fit_boosted(
-    train: DataFrame, features: Sequence[str], y: str = "complaint_count", validation: Column | None = None, **params
-) -> GBTRegressionModel:
-    """Gradient-boosted trees on the scaled feature vector.
+def fit_boosted(train: DataFrame, features: Sequence[str], y: str = "complaint_count", validation: Column | None = None, **params) -> BoostedTrees:
+    """Gradient-boosted trees on the scaled features, with the settings' parameters; see `boosting.fit`.
 
     Rows where `validation` holds are not learnt from; boosting stops when the error on them no longer falls.
     """
-    held = [] if validation is None else [F.coalesce(validation, F.lit(False)).alias("held")]
-    rows = feature_matrix(train, features).select("features", F.col(y).cast("double").alias("y"), *held)
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="y", predictionCol="y_pred", featureSubsetStrategy="0.8", minInstancesPerNode=3,
-        cacheNodeIds=False, **({"validationIndicatorCol": "held"} if held else {}), **(BOOSTING | params),
-    )
-    return trees.fit(rows)
+    return boosting.fit(train, features, y, validation, **params)
 
 
-def predict_boosted(rows: DataFrame, model: GBTRegressionModel, features: Sequence[str]) -> DataFrame:
-    scored = model.transform(feature_matrix(rows, features))
-    return as_predictions(scored.withColumn("y_pred", clip_nonnegative(F.col("y_pred"))), "boosted", "y_pred")
+def predict_boosted(rows: DataFrame, model: BoostedTrees) -> DataFrame:
+    return as_predictions(model.transform(rows).withColumn("y_pred", clip_nonnegative(F.col("y_pred"))), "boosted", "y_pred")
 
 
-def feature_importance(spark: SparkSession, model: GBTRegressionModel, features: Sequence[str]) -> DataFrame:
-    """One row per feature, largest importance first."""
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+def feature_importance(spark: SparkSession, model: BoostedTrees) -> DataFrame:
+    """One row per feature, largest share of the gain first."""
+    rows = [(f, float(v)) for f, v in zip(model.features, model.importances())]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
@@ -160,10 +151,10 @@ def predict_sequence(rows: DataFrame, model: LinearRegressionModel, features: Se
 
 
 def predict_location(
-    panel: DataFrame, features: FeatureModel, model: GBTRegressionModel, periods: int = 3, places: DataFrame | None = None
+    panel: DataFrame, features: FeatureModel, model: BoostedTrees, periods: int = 3, places: DataFrame | None = None
 ) -> DataFrame:
     """Fitted values for the last rows of every place, newest first in `step`; an unknown place gets zeros."""
-    fitted = predict_boosted(features.apply(panel), model, features.names)
+    fitted = predict_boosted(features.apply(panel), model)
     newest = Window.partitionBy("zip_code").orderBy(F.col("date").desc())
     recent = last_n_rows(fitted, periods).withColumn("step", F.row_number().over(newest)).select("zip_code", "step", "date", "y_pred")
     if places is None:
@@ -177,14 +168,16 @@ def ensemble(predictions: DataFrame, weights: Mapping[str, float] = ENSEMBLE_WEI
     return weighted_ensemble(predictions, weights)
 
 
-def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, boosting: Mapping | None = None, validate_before=None) -> dict:
+def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, boosting: Mapping | None = None, validate_before=None, trees: BoostedTrees | None = None) -> dict:
     """Fits all models on rows before `train_before`; returns the models and long predictions for later rows.
 
-    With `validate_before`, the rows from `train_before` up to it decide when boosting stops.
+    With `validate_before`, the rows from `train_before` up to it decide when boosting stops. `trees` are used as they are.
     """
     table = materialize(features.apply(panel))
     train = table.where(F.col("date") < F.lit(train_before))
-    if validate_before is None:
+    if trees is not None:
+        pass
+    elif validate_before is None:
         trees = fit_boosted(train, features.names, **(boosting or {}))
     else:
         seen = table.where(F.col("date") < F.lit(validate_before))
@@ -194,7 +187,7 @@ def train_forecasters(panel: DataFrame, features: FeatureModel, train_before, bo
     parts = [
         baseline_lag1(panel),
         additive_forecast(panel, train_before),
-        predict_boosted(table, trees, features.names),
+        predict_boosted(table, trees),
         predict_sequence(table, reader, features.numeric),
     ]
     long = parts[0]
@@ -228,10 +221,10 @@ def classify(scores: Column, classes: Sequence, no_evidence=None) -> Column:
     )
 
 
-def save_models(features: FeatureModel, trees: GBTRegressionModel, spark: SparkSession, path: str) -> None:
+def save_models(features: FeatureModel, trees: BoostedTrees, spark: SparkSession, path: str) -> None:
     features.save(spark, f"{path}/features")
-    PipelineModel(stages=[VectorAssembler(inputCols=features.names, outputCol="features", handleInvalid="keep"), trees]).write().overwrite().save(f"{path}/boosted")
+    trees.save(spark, f"{path}/boosted")
 
 
-def load_models(spark: SparkSession, path: str) -> tuple[FeatureModel, PipelineModel]:
-    return FeatureModel.load(spark, f"{path}/features"), PipelineModel.load(f"{path}/boosted")
+def load_models(spark: SparkSession, path: str) -> tuple[FeatureModel, BoostedTrees]:
+    return FeatureModel.load(spark, f"{path}/features"), BoostedTrees.load(spark, f"{path}/boosted")

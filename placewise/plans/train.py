@@ -57,7 +57,7 @@ def train_forecasting(spark: SparkSession, raw: str, out: str, as_of_year: int,
     held = first["test"] if "val" in first and "test" in first else None
     trained = train_forecasters(master, features, train_before, boosting, validate_before=held)
     save_models(features, trained["boosted"], spark, f"{out}/models")
-    write_table(feature_importance(spark, trained["boosted"], features.names), f"{out}/feature_importance")
+    write_table(feature_importance(spark, trained["boosted"]), f"{out}/feature_importance")
     write_predictions(trained["predictions"], f"{out}/predictions")
     tested = spark.read.parquet(f"{out}/predictions").where(F.col("date") >= F.lit(first["test"]))
     write_table(compare_models(tested), f"{out}/model_comparison")

@@ -191,9 +191,9 @@ def test_boosting_stops_on_validation_rows(spark):
     rng = random.Random(8)
     rows = [(float(i % 7), float(rng.random()), i % 4 == 0) for i in range(400)]  # nothing to learn
     table = spark.createDataFrame(rows, "x double, complaint_count double, held boolean")
-    free = FC.fit_boosted(table.where("NOT held"), ["x"], maxIter=12, maxDepth=3)
-    held = FC.fit_boosted(table, ["x"], validation=F.col("held"), maxIter=12, maxDepth=3)
-    assert held.getNumTrees < free.getNumTrees == 12
+    free = FC.fit_boosted(table.where("NOT held"), ["x"], trees=8, depth=2)
+    held = FC.fit_boosted(table, ["x"], validation=F.col("held"), trees=8, depth=2, patience=3)
+    assert len(held.trees) < len(free.trees) == 8
 
 
 def test_too_many_categories_are_refused(spark):
@@ -210,11 +210,11 @@ def test_boosted_and_sequence_models_learn(spark):
     ]
     table = spark.createDataFrame(rows, SCHEMA)
     features = W.fit_features(table, train_before="2018-01-01", trend_shift=1)
-    trained = FC.train_forecasters(table, features, "2018-01-01", {"maxIter": 10, "maxDepth": 4})
+    trained = FC.train_forecasters(table, features, "2018-01-01", {"trees": 10, "depth": 4})
     scores = {r["model"]: r["mae"] for r in M.compare_models(trained["predictions"]).collect()}
     assert set(scores) == {"baseline", "additive", "boosted", "sequence", "ensemble"}
     assert scores["ensemble"] < scores["baseline"] and scores["boosted"] < scores["baseline"]
-    importance = FC.feature_importance(spark, trained["boosted"], features.names)
+    importance = FC.feature_importance(spark, trained["boosted"])
     assert importance.count() == 26 and importance.agg(F.sum("importance")).first()[0] == pytest.approx(1)
     asked = spark.createDataFrame([("z0",), ("none",)], "zip_code string")
     got = FC.predict_location(table, features, trained["boosted"], 3, asked).collect()

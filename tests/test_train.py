@@ -42,7 +42,7 @@ def test_cache_rebuilds_an_unfinished_table(spark, tmp_path):
 def test_train_and_search(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     write_raw(spark, raw)
-    got = {r["model"]: r["rmse"] for r in train_forecasting(spark, raw, out, 2025, {"maxIter": 3, "maxDepth": 3}).collect()}
+    got = {r["model"]: r["rmse"] for r in train_forecasting(spark, raw, out, 2025, {"trees": 3, "depth": 3}).collect()}
     assert set(got) == {"baseline", "additive", "boosted", "sequence", "ensemble"} and all(v >= 0 for v in got.values())
     master = spark.read.parquet(f"{out}/master")
     assert master.count() == 4 * 48 and master.agg(F.sum("complaint_count")).first()[0] == 6000
