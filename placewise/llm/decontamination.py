@@ -5,9 +5,13 @@ an item of one to nine words is one window. Documents are scanned once: each wor
 occurs gives a 64-bit hash, looked up in the set of windows, and every hit is verified on the words themselves. Everything
 is DataFrame code.
 
-The set is broadcast while it holds at most `BROADCAST_WINDOWS` windows (counted first); a larger one is joined by hash
-with the positions, where adaptive execution splits skewed hashes. Only hits leave the scan, so a passage that a third of
-all documents share costs each of them its own few rows.
+The set, with its words and item ids, is broadcast while it fills at most `BROADCAST_BYTES` (summed first). A larger one is
+joined by hash with the positions, each of which brings the words of its own window and no more, so that the bytes grow
+with the texts; adaptive execution splits skewed hashes, and what a document is besides its positions bypasses that join.
+Either way only hits go on, so a passage that a third of all documents share costs each of them its own few rows.
+
+Very long texts cost one row a position inside the scan. Null and empty texts have no words, equal rows count as copies, and
+empty tables give no hits or no rows. Extra columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from placewise.llm.storage import free_name, stored
 
 WINDOW = 10
-#: At about 150 bytes a window this is some 300 MB at most.
-BROADCAST_WINDOWS = 2_000_000
+#: Words, item ids and 64 bytes more for each window.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,23 +70,31 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = stored(item_windows(items, window), "windows")
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # at most `window` numbers
     known = grams.select("mark", F.col("size").alias("gram_size"), "gram", "items")
-    if grams.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    read = docs.select(*identity(docs), words(F.col("text")).alias("w")).withColumn("hashes", F.transform("w", lambda w: F.xxhash64(w)))
+    lengths = [F.octet_length(F.array_join(c, " ")) for c in ("gram", "items")]
+    small = (grams.agg(F.sum(lengths[0] + lengths[1] + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    read = docs.select(*identity(docs), words(F.col("text")).alias("w"))
     # Row 0 stands for the text itself; the others are its positions, once for each window size.
     turns = max(1, len(sizes))
-    placed = read.select("*", F.explode(F.sequence(F.lit(0), F.size("w") * turns)).alias("turn"))
+    placed = read.withColumn("hashes", F.transform("w", lambda w: F.xxhash64(w))).select("*", F.explode(F.sequence(F.lit(0), F.size("w") * turns)).alias("turn"))
     at, turn = F.floor((F.col("turn") - 1) / turns).cast("int") + 1, F.pmod(F.col("turn") - 1, F.lit(turns))
     size = F.element_at(F.array(*[F.lit(s) for s in sizes or [window]]), turn + 1)
     mark = F.lit(None).cast("bigint")
     for i, s in enumerate(sizes):
         mark = F.when((turn == i) & (F.col("turn") > 0) & (at + (s - 1) <= F.size("w")), _marks_at("hashes", at, s, window)).otherwise(mark)
-    marked = placed.select("doc_id", "text_hash", "text_size", "turn", "w", at.alias("at"), size.alias("size"), mark.alias("h"))
+    own = ["doc_id", "text_hash", "text_size"]
+    marked = placed.select(*own, "turn", "w", at.alias("at"), size.alias("size"), mark.alias("h"))
     # Joined by the hash alone; the words themselves are compared on the few rows that match.
-    proven = (F.col("size") == F.col("gram_size")) & (F.slice("w", F.greatest("at", F.lit(1)), F.col("size")) == F.col("gram"))
-    found = marked.join(known, F.col("h") == F.col("mark"), "left").where((F.col("turn") == 0) | F.col("mark").isNotNull() & proven).select(
-        "doc_id", "text_hash", "text_size", F.when(F.col("turn") == 0, F.size("w")).alias("n"), F.when(F.col("turn") > 0, F.struct("at", "size")).alias("m"), "items"
-    )
+    if small:
+        proven = (F.col("size") == F.col("gram_size")) & (F.slice("w", F.greatest("at", F.lit(1)), F.col("size")) == F.col("gram"))
+        found = marked.join(F.broadcast(known), F.col("h") == F.col("mark"), "left").where((F.col("turn") == 0) | F.col("mark").isNotNull() & proven).select(
+            *own, F.when(F.col("turn") == 0, F.size("w")).alias("n"), F.when(F.col("turn") > 0, F.struct("at", "size")).alias("m"), "items"
+        )
+    else:
+        places = marked.where("h IS NOT NULL").select(*own, "at", "size", "h", F.slice("w", F.col("at"), F.col("size")).alias("held"))
+        same = (F.col("h") == F.col("mark")) & (F.col("size") == F.col("gram_size")) & (F.col("held") == F.col("gram"))
+        matched = places.join(known, same).select(*own, F.lit(None).cast("int").alias("n"), F.struct("at", "size").alias("m"), "items")
+        whole = read.select(*own, F.size("w").alias("n"), F.lit(None).cast(matched.schema["m"].dataType).alias("m"), F.lit(None).cast("array<string>").alias("items"))
+        found = whole.unionAll(matched)
     return found.groupBy("doc_id", "text_hash", "text_size").agg(
         F.count("n").alias("copies"),
         F.max("n").cast("bigint").alias("n_words"),
@@ -124,9 +136,16 @@ def _with_hits(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFram
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, all columns unchanged, without any benchmark window."""
-    joined, names = _with_hits(docs, items, window)
-    return joined.where(F.col(names[3]).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs`, all columns unchanged, without any benchmark window.
+
+    The hit documents are stored by themselves, so that few of them are broadcast and the texts of all others stay in place.
+    """
+    hit = stored(hits(docs, items, window).where(F.size("spans") > 0).select("doc_id", "text_hash", "text_size"), "hit-documents")
+    names = [free_name(docs, n) for n in ("hit_doc", "hit_hash", "hit_size")]
+    hit = hit.toDF(*names)
+    _, mark, size = identity(docs)
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (mark == F.col(names[1])) & (size == F.col(names[2]))
+    return docs.join(hit, same, "left_anti")
 
 
 def clean_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -21,13 +21,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     removed_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    files, folder = _folder(spark, path)
+    files.deleteOnExit(folder)
+
+
+def discarded(table: DataFrame) -> None:
+    """Deletes the files of a `stored` table that no later plan reads."""
+    files, folder = _folder(table.sparkSession, table._stored_at)
+    files.delete(folder, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

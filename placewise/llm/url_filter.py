@@ -16,11 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from placewise.llm.storage import stored
+from placewise.llm.storage import discarded, stored
 
 DAMPING = 0.85
-#: Rounds of the SQL.
-ROUNDS = 10
 #: The walks end when no score moves by this much; what they leave out of a distrust is less than six times it.
 TOLERANCE = 1e-6
 #: As much distrust as an unlinked host has that the rules block in half of its pages, or a host with no pages blocked that sends 59% of its links to wholly blocked hosts.
@@ -58,9 +56,14 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """host and `rules`, those that fit it or a parent domain, longest first. A rule without host or path fits nothing."""
+    """host and `rules`, those that fit it or a parent domain, longest first. A rule without host or path fits nothing.
+
+    Of a host only the parents with as many labels as some rule are spelled out, so a long host costs its length.
+    """
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    most = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    places = F.sequence(F.greatest(F.size(labels) - (most - 1), F.lit(1)), F.size(labels))
+    parents = F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = hosts.select("host", F.explode(F.array_distinct(parents)).alias("rule_host")).join(_small(rules, BROADCAST_HOSTS), "rule_host")
     rule = F.concat("rule_host", "rule_path")
     held = fitting.where("rule_path IS NOT NULL").groupBy("host").agg(F.collect_set(F.struct((-F.length(rule)).alias("order"), rule.alias("rule"), "rule_path", "rule_verdict")).alias("rules"))
@@ -113,13 +116,15 @@ def propagated(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE,
     start = seeds.select(F.col("host").alias("a"), F.explode(F.array(F.struct(F.lit(0).alias("walk"), F.col("trust").alias("seed")), F.struct(F.lit(1).alias("walk"), F.col("distrust").alias("seed")))).alias("s"))
     start = start.select("s.walk", "a", ((1 - damping) * F.col("s.seed")).alias("seed")).unionAll(moves.select("walk", F.col("b").alias("a"), F.lit(0.0).alias("seed")).distinct())
     start = stored(start.groupBy("walk", "a").agg(F.sum("seed").alias("seed")), "host-seeds")
-    scores = start.withColumnRenamed("seed", "score")
-    moved = tolerance
+    start_scores = start.withColumnRenamed("seed", "score")
+    scores, moved = start_scores, tolerance
     while moved >= tolerance:
         handed = moves.join(scores, ["walk", "a"]).groupBy("walk", F.col("b").alias("a")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         after = start.join(handed, ["walk", "a"], "left").select("walk", "a", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         after = stored(after, "host-scores")
         moved = after.join(scores.withColumnRenamed("score", "old"), ["walk", "a"]).agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        if scores is not start_scores:
+            discarded(scores)
         scores = after
     return scores.groupBy(F.col("a").alias("host")).agg(*[F.max(F.when(F.col("walk") == i, F.col("score"))).alias(n) for i, n in enumerate(("trust", "distrust"))])
 
@@ -150,40 +155,50 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def _op5_sql() -> str:
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-    rounds = "".join(
-        f""", s{i} AS (
-    SELECT walk, a, seed + {DAMPING} * coalesce(got, 0.0) AS score FROM start LEFT JOIN (
-        SELECT walk, b AS a, sum(score * share) AS got FROM moves JOIN s{i - 1} USING (walk, a) GROUP BY walk, b) USING (walk, a))"""
-        for i in range(1, ROUNDS + 1)
-    )
+    link = r"""(?i)href\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\s>]+)([^?#"''\s>]*)"""
+    fitting = "(host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)"
     return rf"""
-WITH rest AS (
-    SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+WITH RECURSIVE rest AS (
+    SELECT row_number() OVER () AS place, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
 ), parsed AS (
-    SELECT page_id, html, translate(regexp_extract(r, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+    SELECT place, page_id, html, translate(regexp_extract(r, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
 ), rules(rule_host, rule_path, rule_verdict) AS (VALUES {listed}
 ), found AS (
-    SELECT page_id, html, host, path, rule_host || rule_path AS rule, rule_verdict FROM parsed
-    LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) = 1
+    SELECT place, page_id, html, host, path, rule_host || rule_path AS rule, rule_verdict FROM parsed LEFT JOIN rules ON {fitting}
+    QUALIFY row_number() OVER (PARTITION BY place ORDER BY length(rule_host || rule_path) DESC) = 1
+), links AS (
+    SELECT DISTINCT place, host AS origin, translate(t, '{_UPPER}', '{_LOWER}') AS target, p AS path FROM (
+        SELECT place, host, unnest(regexp_extract_all(html, '{link}', 1)) AS t, unnest(regexp_extract_all(html, '{link}', 2)) AS p FROM parsed)
+    WHERE host <> '' AND host <> translate(t, '{_UPPER}', '{_LOWER}')
+), linked AS (
+    SELECT DISTINCT target AS host, path FROM links WHERE target NOT IN (SELECT host FROM parsed)
+), linked_ruled AS (
+    SELECT host, path, rule_verdict FROM linked LEFT JOIN rules ON {fitting}
+    QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC) = 1
 ), seeds AS (
     SELECT host, avg(CASE WHEN rule_verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN rule_verdict = 'block' THEN 1.0 ELSE 0.0 END) AS distrust
-    FROM found WHERE host <> '' GROUP BY host
-), links AS (
-    SELECT DISTINCT page_id, host AS origin, translate(t, '{_UPPER}', '{_LOWER}') AS target
-    FROM parsed, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)) AS u(t)
+    FROM (SELECT host, rule_verdict FROM found WHERE host <> '' UNION ALL SELECT host, rule_verdict FROM linked_ruled) GROUP BY host
 ), edges AS (
-    SELECT origin, target, count(*) AS pages FROM links WHERE origin <> '' AND origin <> target GROUP BY origin, target
-), two_ways AS (
-    SELECT 0 AS walk, origin AS a, target AS b, pages FROM edges UNION ALL SELECT 1, target, origin, pages FROM edges
+    SELECT origin, target, count(DISTINCT place) AS pages FROM links GROUP BY origin, target
+), shares AS (
+    SELECT origin, target, pages / sum(pages) OVER (PARTITION BY origin) AS share FROM edges
 ), moves AS (
-    SELECT walk, a, b, pages / sum(pages) OVER (PARTITION BY walk, a) AS share FROM two_ways
+    SELECT 0 AS walk, origin AS a, target AS b, share FROM shares UNION ALL SELECT 1, target, origin, share FROM shares
 ), start AS (
     SELECT walk, a, sum(seed) AS seed FROM (
         SELECT 0 AS walk, host AS a, {1 - DAMPING} * trust AS seed FROM seeds UNION ALL SELECT 1, host, {1 - DAMPING} * distrust FROM seeds
         UNION ALL SELECT DISTINCT walk, b, 0.0 FROM moves) GROUP BY walk, a
-), s0 AS (SELECT walk, a, seed AS score FROM start){rounds}, blocked AS (
-    SELECT t.a AS host FROM s{ROUNDS} AS t JOIN s{ROUNDS} AS d ON t.a = d.a AND t.walk = 0 AND d.walk = 1 WHERE d.score > t.score AND d.score >= {LEAST}
+), scores(turn, walk, a, score, moved) AS (
+    SELECT 0, walk, a, CAST(seed AS DOUBLE), CAST('inf' AS DOUBLE) FROM start
+    UNION ALL
+    SELECT turn + 1, walk, a, score, max(abs(score - old)) OVER () FROM (
+        SELECT p.turn, s.walk, s.a, s.seed + {DAMPING} * coalesce(sum(q.score * m.share), 0.0) AS score, any_value(p.score) AS old
+        FROM start s JOIN scores p ON s.walk = p.walk AND s.a = p.a AND p.moved >= {TOLERANCE}
+        LEFT JOIN moves m ON m.walk = s.walk AND m.b = s.a LEFT JOIN scores q ON q.walk = m.walk AND q.a = m.a GROUP BY p.turn, s.walk, s.a, s.seed)
+), last AS (
+    SELECT * FROM scores WHERE turn = (SELECT max(turn) FROM scores)
+), blocked AS (
+    SELECT t.a AS host FROM last t JOIN last d ON t.a = d.a AND t.walk = 0 AND d.walk = 1 WHERE d.score > t.score AND d.score >= {LEAST}
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict FROM found
 """

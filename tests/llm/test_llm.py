@@ -279,6 +279,16 @@ def test_decontamination(spark):
     assert decontamination.report(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_without_broadcast(spark, small, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = decontamination.report(docs, items)
+    assert compare(found, connect(small), ORACLES["op1_decontamination"]) == ""
+    odd = table(spark, ODD + ["w " * 20000 + SENTENCE], [None, 1, 1, *range(3, len(ODD) + 1)])
+    counts = {r.doc_id: r.n_hit for r in decontamination.report(odd, spark.createDataFrame([(1, SENTENCE)], "item_id bigint, text string")).collect()}
+    assert counts[len(ODD)] == len(SENTENCE.split()) and decontamination.report(docs.limit(0), items).count() == 0
+
+
 def test_urls(spark):
     urls = ["http://a.com/x", "https://Example.COM/en/1", "http://www.example.com/en/", "http://q.net/es/p?x#y", "http://com", "nonsense", None, "x://a.net/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("html", F.lit(None).cast("string"))
