@@ -107,7 +107,7 @@ def _buckets(raw: np.ndarray, lengths: np.ndarray, count: int) -> np.ndarray:
 def _ask(count: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
+            for row in _rows(batch.select(["block", "words", "n_bytes", "ends", "n_words"])):
                 raw = np.frombuffer(pa.decompress(row["words"], row["n_bytes"], codec="zstd", asbytes=True), np.uint8)
                 lengths = _grown(row["ends"], row["n_words"], np.int32).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = in_batches(rows, _split, _BLOCKS).repartition("block")
-    asked = in_batches(blocks.select("block", "words", "n_bytes", "ends", "n_words"), _ask(buckets), _ASKED).repartition("bucket")
+    asked = in_batches(blocks, _ask(buckets), _ASKED).repartition("bucket")
     answers = in_batches(asked, _answer(ranks), _ANSWERED)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(buckets), "doc_id bigint, ids array<int>")
 

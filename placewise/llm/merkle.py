@@ -291,3 +291,43 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return audited(leaves(docs, F.when(chosen, F.translate("text", _UPPER, _LOWER))))
+
+
+def _op13_sql() -> str:
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    fields = lambda text: " || ".join(value(c) for c in FIELDS[:-1]) + " || " + value(text)
+    # CRC-32 bit by bit: a byte is taken in, a -1 shifts
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"list_reduce([4294967295] || {steps}, lambda a, x: CASE WHEN x < 0 THEN xor(a >> 1, 3988292384 * (a & 1)) ELSE xor(a, x) END)"
+    grown = lambda name, base: f"""{name}(grp, level, pos, h, size) AS (
+    {base}
+    UNION ALL
+    SELECT grp, level + 1, pos // {FAN}, sha256(string_agg(h, '' ORDER BY pos)), (size + {FAN - 1}) // {FAN} FROM {name} WHERE size > 1 GROUP BY grp, level, pos // {FAN}, size
+)"""
+    beside = lambda name, nodes: f"""{name} AS (
+    SELECT a.grp, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM {nodes} a JOIN {nodes} b ON a.grp = b.grp AND a.level = b.level AND a.pos // {FAN} = b.pos // {FAN} WHERE a.size > 1 GROUP BY 1, 2, 3
+)"""
+    climbed = lambda name, base, sides: f"""{name}(place, grp, level, pos, node, proof) AS (
+    {base}
+    UNION ALL
+    SELECT place, u.grp, u.level + 1, u.pos // {FAN}, sha256(l || node || r), proof || l || r FROM {name} u JOIN {sides} s ON u.grp = s.grp AND u.level = s.level AND u.pos = s.pos
+)"""
+    top = lambda name: f"SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY place ORDER BY level DESC) = 1"
+    return f"""
+WITH RECURSIVE leaf AS (
+    SELECT row_number() OVER () AS place, doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp, sha256({fields('text')}) AS h,
+        CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN sha256({fields(f"translate(text, '{_UPPER}', '{_LOWER}')")}) END AS changed FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS size FROM leaf
+), {grown('nodes', 'SELECT grp, 0, pos, h, size FROM placed')}, {beside('siblings', 'nodes')}, sources AS (
+    SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, h, count(*) OVER () AS size, grp AS name FROM nodes WHERE size = 1
+), {grown('uppers', 'SELECT grp, 0, pos, h, size FROM sources')}, {beside('upper_siblings', 'uppers')},
+{climbed('climb', "SELECT place, grp, 0, pos, coalesce(changed, h), '' FROM placed", 'siblings')}, tops AS ({top('climb')}),
+{climbed('upper_climb', "SELECT place, '', 0, s.pos, node, proof FROM tops t JOIN sources s ON t.grp = s.name", 'upper_siblings')}, roots AS ({top('upper_climb')})
+SELECT doc_id, p.h AS leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u.h AS verified
+FROM placed p JOIN sources s ON p.grp = s.name JOIN roots r ON r.place = p.place, (SELECT h FROM uppers WHERE size = 1) u
+"""
+
+
+OP13_SQL = _op13_sql()

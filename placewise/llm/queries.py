@@ -4,7 +4,7 @@ from placewise.llm.alignment import op12_token_alignment
 from placewise.llm.byte_bpe import op10_byte_bpe
 from placewise.llm.chat_format import OP6_SQL, op6_chat_format
 from placewise.llm.decontamination import OP1_SQL, op1_decontamination
-from placewise.llm.merkle import op13_merkle_manifest
+from placewise.llm.merkle import OP13_SQL, op13_merkle_manifest
 from placewise.llm.near_duplicates import op9_near_duplicates
 from placewise.llm.quality_crf import op3_quality
 from placewise.llm.quality_rules import OP7_SQL, op7_quality_rules
@@ -32,4 +32,4 @@ QUERIES = {
         op13_merkle_manifest,
     )
 }
-ORACLES = {"op1_decontamination": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES = {"op1_decontamination": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_quality_rules": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
