@@ -306,8 +306,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     alike = classes(marked.select(F.col(row).alias("doc_id"), "text")).select("row", "class_id").distinct()
     named = marked.select(F.col(row).alias("row"), row_id(docs).alias("id")).distinct()
     least = alike.join(named, "row").groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("least"))
-    left = marked.join(least.select(F.col("least.row").alias(row)), row, "left_semi")
-    once = left.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))).where(F.col(turn) == 1)
+    # equal rows are one before the shuffle: the limit on the number runs in every task first
+    once = marked.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(1)))).where(F.col(turn) == 1)
+    once = once.join(least.select(F.col("least.row").alias(row)), row, "left_semi")
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

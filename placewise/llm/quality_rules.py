@@ -128,8 +128,12 @@ def _measured(rules: Rules):
 
 
 def ordered(docs: DataFrame, rules: Rules = RULES, sample: int = SAMPLE, text: str = "text") -> list[str]:
-    """Names of the rules, best first. Of an empty sample the order stays as given."""
-    seen = docs.select(F.col(text).cast("string").alias("text")).sample(0.2, seed=7).limit(sample)
+    """Names of the rules, best first. Of an empty sample the order stays as given.
+
+    The share that is drawn follows from the number of rows, so the parts together send about twice the sample, however many.
+    """
+    share = min(1.0, 2 * sample / max(docs.count(), 1))
+    seen = docs.select(F.col(text).cast("string").alias("text")).sample(share, seed=7).limit(sample)
     rows = in_batches(seen, _measured(rules), "rejected array<boolean>, seconds array<double>").collect()
     names = list(rules)
     if not rows:
@@ -145,12 +149,12 @@ def ordered(docs: DataFrame, rules: Rules = RULES, sample: int = SAMPLE, text: s
     return order
 
 
-def cascade(data: np.ndarray, bounds: np.ndarray, rules: list[Callable[[Measures], np.ndarray]]) -> np.ndarray:
+def cascade(data: np.ndarray, bounds: np.ndarray, rules: list[Callable[[Measures], np.ndarray]], measures: Measures | None = None) -> np.ndarray:
     """Number of the first rule that rejects each text, -1 if none does. Texts already rejected are left out of later work
-    as soon as they are half of what is laid out."""
+    as soon as they are half of what is laid out. What `measures` of all texts already hold is not counted again."""
     out = np.full(len(bounds) - 1, -1)
     rows = np.arange(len(out))
-    measures = Measures(data, bounds)
+    measures = measures or Measures(data, bounds)
     for number, rule in enumerate(rules):
         standing = out[rows] < 0
         if not standing.any():
@@ -197,7 +201,7 @@ def judged(docs: DataFrame, rules: Rules = RULES, sample: int = SAMPLE) -> DataF
                 data, bounds = arrays.laid_out(texts.slice(at, count))
                 m = Measures(data, bounds)
                 base = np.any([rule(m) for rule in BASE.values()], axis=0)
-                kept = (cascade(data, bounds, steps) < 0) & ~base
+                kept = (cascade(data, bounds, steps, m) < 0) & ~base
                 whole = [m.n_words, m.word_chars, m.n_symbols, m.lines[1], m.n_repeat_words]
                 columns = [batch.column(0).slice(at, count), *(pa.array(v, pa.int64()) for v in whole), pa.array(base), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MEASURED.split(", ")])
