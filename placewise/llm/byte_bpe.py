@@ -12,7 +12,7 @@ Decoding joins ids to the token-byte table, whose size is the vocabulary's. Word
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +145,9 @@ def _answer(path: str):
     return answer
 
 
-def _reassemble(count: int):
+def _reassemble(count: int, then: Callable[[pa.RecordBatch], pa.RecordBatch]):
     def reassemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})]
+        out = [then(pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc_id", "ids"]))]
         for row in _rows(blocks):
             raw = np.frombuffer(pa.decompress(row["words"], row["n_bytes"], codec="zstd", asbytes=True), np.uint8)
             order = np.argsort(_buckets(raw, _grown(row["ends"], row["n_words"], np.int32).astype(np.int64), count), kind="stable")
@@ -165,16 +165,21 @@ def _reassemble(count: int):
                 stops = np.append(0, np.cumsum(lengths[at], dtype=np.int64))[np.append(0, ends[first:last] - begin)]
                 ids = arrays.gathered(flat, starts[at], lengths[at])
                 lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids, pa.int32()))
-                out.append(pa.table({"doc_id": pa.array(row["doc_ids"][first:last], pa.int64()), "ids": lists}))
+                out.append(then(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][first:last], pa.int64()), lists], ["doc_id", "ids"])))
                 first = last
-        return pa.concat_tables(out)
+        return pa.Table.from_batches(out)
 
     return reassemble
 
 
-def encode(docs: DataFrame, ranks: str) -> DataFrame:
+ENCODED = "doc_id bigint, ids array<int>"
+
+
+def encode(docs: DataFrame, ranks: str, then: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = ENCODED) -> DataFrame:
     """doc_id and the ids of every whole text, by the ranks of the file, special strings as ordinary text.
 
+    `then` makes other columns (`schema`) of the ids where they are put together, so that they need not travel on.
+
     A null or empty text has no ids; rows are kept one by one, so repeated rows and null doc_ids stay as they are; other
     columns are not read. The blocks are shuffled once and read by both branches; only distinct words of blocks and their
     ids move besides. A block's number is its task's and its place in it, so a task that runs again makes the same.
@@ -184,7 +189,7 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     blocks = in_batches(rows, _split, _BLOCKS).repartition("block")
     asked = in_batches(blocks, _ask(buckets), _ASKED).repartition("bucket")
     answers = in_batches(asked, _answer(ranks), _ANSWERED)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(buckets), "doc_id bigint, ids array<int>")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(buckets, then), schema)
 
 
 def _bytes_of(batch: pa.RecordBatch, ranks: str):
@@ -206,20 +211,22 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return in_batches(encoded.select("doc_id", "ids"), each, "doc_id bigint, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes."""
+DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) for _, ids, raw in _bytes_of(batch, ranks)]
-            sizes, names, texts = zip(*found) if found else ((), (), ())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return in_batches(encoded.select("doc_id", "ids"), each, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+def digested(ranks: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes, of a batch with doc_id and ids."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) for _, ids, raw in _bytes_of(batch, ranks)]
+        sizes, names, texts = zip(*found) if found else ((), (), ())
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGESTS.split(", ")])
+
+    return each
 
 
 def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of all documents and of what they decode to."""
     ranks = vocabularies.default_path("byte_bpe_50k.tiktoken")
-    return digests(encode(spark.read.parquet(f"{folder}/documents.parquet"), ranks), ranks)
+    return encode(spark.read.parquet(f"{folder}/documents.parquet"), ranks, digested(ranks), DIGESTS)
