@@ -11,9 +11,11 @@ from catalog.exploring import ADDITIVE, PREDICTIONS
 from catalog.panels import keyed
 from catalog.standins import MASTER_SQL, PANEL_SQL, master, panel
 from placewise.operators import features as W
+from placewise.operators.ablation import ablation
 from placewise.operators.metrics import compare_models
 from placewise.operators.vectors import pca_2d
 from placewise.plans import forecast as FC
+from placewise.plans.waves import fit_waves, predict_waves, waves_sum
 from placewise.session import scratch_path
 
 TRAIN_BEFORE = "2000-01-01"
@@ -200,6 +202,76 @@ def forecast_horizon(t: Tables):
     return FC.forecast_horizon(panel(t))
 
 
+_INTERVALS = f"""{PANEL_SQL}, {ADDITIVE}, newest AS (SELECT date_trunc('month', max(date)) AS l FROM dense),
+  origin AS (SELECT l - to_months(CAST(k AS INTEGER)) AS o FROM newest, range(0, 24) r(k)),
+  seen AS (SELECT zip_code, o, y, t, m FROM timed JOIN origin ON date < o),
+  ofit AS (SELECT zip_code, o, coalesce(regr_slope(y, t), 0) AS slope, avg(y) - coalesce(regr_slope(y, t), 0) * avg(t) AS intercept FROM seen GROUP BY 1, 2),
+  oseason AS (SELECT x.zip_code, x.o, x.m, avg(y - intercept - slope * t) AS s FROM seen x JOIN ofit f ON x.zip_code = f.zip_code AND x.o = f.o GROUP BY 1, 2, 3),
+  back AS (SELECT f.zip_code, h, abs(d.y - greatest(0, intercept + slope * d.t + coalesce(s, 0))) AS r
+    FROM ofit f CROSS JOIN range(1, 4) g(h) JOIN timed d ON d.zip_code = f.zip_code AND d.date = o + to_months(CAST(h - 1 AS INTEGER))
+    LEFT JOIN oseason s ON s.zip_code = f.zip_code AND s.o = f.o AND s.m = d.m),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY zip_code, h ORDER BY r) AS i, count(*) OVER (PARTITION BY zip_code, h) AS n,
+    row_number() OVER (PARTITION BY h ORDER BY r) AS j, count(*) OVER (PARTITION BY h) AS k FROM back),
+  own AS (SELECT zip_code, h, min(n) AS n, min(CASE WHEN i >= ceil((n + 1) * 0.8 - 1e-9) THEN r END) AS w FROM ranked GROUP BY 1, 2),
+  common AS (SELECT h, min(CASE WHEN j >= ceil((k + 1) * 0.8 - 1e-9) THEN r END) AS c FROM ranked GROUP BY 1),
+  ahead AS (SELECT h, l + to_months(CAST(h AS INTEGER)) AS d FROM newest, range(1, 4) r(h)),
+  made AS (SELECT i.zip_code, h, d, greatest(0, intercept + slope * (year(d) * 12 + month(d) - 1) + s) AS y_pred FROM fit i CROSS JOIN ahead JOIN season s ON i.zip_code = s.zip_code AND s.m = month(d)),
+  wide AS (SELECT zip_code, o.h, CASE WHEN n < 10 OR w IS NULL THEN c ELSE w END AS width, n < 10 OR w IS NULL AS pooled FROM own o JOIN common c ON o.h = c.h)"""
+
+
+@query("forecast_intervals", f"""{_INTERVALS} SELECT m.zip_code, {int4('m.h', 'horizon')}, {day('d', 'date')}, {num('y_pred')}, {num('greatest(0, y_pred - width)', 'low')}, {num('y_pred + width', 'high')}, {int4('pooled')}
+  FROM made m LEFT JOIN wide w ON m.zip_code = w.zip_code AND m.h = w.h""")
+def forecast_intervals(t: Tables):
+    return FC.forecast_intervals(panel(t))
+
+
+@query("interval_coverage", "SELECT CAST(h AS INTEGER) AS horizon, 1 AS near FROM range(1, 4) r(h)")
+def interval_coverage(t: Tables):
+    """Whether intervals for 80 % hold at least 75 % of the forecasts of the last twelve origins; the last month is not over."""
+    table = panel(t)
+    whole_months = table.where(F.col("date") < table.agg(F.max("date")).scalar())
+    return FC.interval_coverage(whole_months).select("horizon", (F.col("covered") >= 0.75).alias("near"))
+
+
+@query("additive_waves")
+def additive_waves(t: Tables):
+    """Piecewise trend and yearly waves per place, as fitted values."""
+    table = panel(t)
+    return keyed(FC.as_predictions(predict_waves(table, fit_waves(table)), "waves", "y_pred"), "y", "y_pred")
+
+
+@query("additive_waves_balance", f"{PANEL_SQL} SELECT zip_code, 0.0::DOUBLE AS residuals, 0.0::DOUBLE AS sloped FROM dense GROUP BY 1")
+def additive_waves_balance(t: Tables):
+    """Residuals of a least-squares fit are balanced: they and their products with time add up to nothing."""
+    table = panel(t)
+    made = table.join(fit_waves(table), "zip_code").withColumn("r", F.col("complaint_count") - waves_sum(F.col("date")))
+    sums = made.groupBy("zip_code").agg(F.sum("r").alias("a"), F.sum(F.col("r") * (FC.month_index(F.col("date")) - F.col("first"))).alias("b"))
+    return sums.select("zip_code", F.round(F.abs(F.round("a", 3)), 3).alias("residuals"), F.abs(F.round("b", 3)).alias("sloped"))
+
+
+# yearly folds and feature groups of the ablation
+_GROUPS = {"lags": ["lag_1", "lag_2", "lag_3"], "calendar": ["month_sin", "month_cos"]}
+_RAW = {n: _FEATURES[n] for own in _GROUPS.values() for n in own}
+
+
+@query("feature_ablation", f"""{MASTER_SQL}, raw AS (SELECT year(date) AS fold, CAST(complaint_count AS DOUBLE) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _RAW.items())} FROM master),
+  kept AS (SELECT * FROM raw WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _RAW)}), folds AS (SELECT fold, count(*) AS c FROM kept GROUP BY 1)
+  SELECT g AS left_out, {int4('fold')}, {whole('c', 'row_count')} FROM folds, (VALUES (''), ('lags'), ('calendar')) v(g) WHERE fold > (SELECT min(fold) FROM folds)""")
+def feature_ablation(t: Tables):
+    """Models without each feature group, trained on all earlier years and tested on each year; SQL knows the folds only."""
+    return _ablated(t).select("left_out", "fold", F.col("rows").alias("row_count"))
+
+
+@query("feature_ablation_errors")
+def feature_ablation_errors(t: Tables):
+    return _ablated(t)
+
+
+def _ablated(t: Tables):
+    table = W.add_features(master(t), "complaint_count", lags=[1, 2, 3])
+    return ablation(table, list(_RAW), _GROUPS, "complaint_count", F.year("date"))
+
+
 @query("yoy_trend", f"""{PANEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY date DESC) AS rn FROM dense),
   s AS (SELECT zip_code, sum(complaint_count) FILTER (rn <= 12) AS a, CASE WHEN count(*) FILTER (rn BETWEEN 13 AND 24) = 12 THEN sum(complaint_count) FILTER (rn BETWEEN 13 AND 24) END AS b FROM r GROUP BY 1)
   SELECT zip_code, {whole('a', 'last_12')}, {whole('b', 'previous_12')}, {num('CASE WHEN b <> 0 THEN 100.0 * (a - b) / b END', 'yoy_pct')} FROM s""")

@@ -33,8 +33,6 @@ from placewise.functions.columns import stringify_metadata
 # SQL compares rounded distances, so that equal vectors tie on both sides.
 DIGITS = 9
 search = partial(V.vector_search, digits=DIGITS)
-# Lists that the approximate search reads for a query.
-PROBES = 12
 
 
 def asked(t: Tables):
@@ -127,13 +125,19 @@ def inverted_file(t: Tables) -> I.InvertedFile:
     return I.build(vectors(t), max(1, int(t.embeddings.count() ** 0.5)))
 
 
-def twentieths(t: Tables):
-    return t.embeddings.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+def twentieths(t: Tables, rest: int = 0):
+    return t.embeddings.where(F.col("vec_id") % 20 == rest).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("vector_search_approx")
 def vector_search_approx(t: Tables):
-    return I.search(inverted_file(t), twentieths(t), probes=PROBES, digits=DIGITS)
+    file = inverted_file(t)
+    return I.search(file, twentieths(t), probes=enough_lists(t, file), digits=DIGITS)
+
+
+def enough_lists(t: Tables, file: I.InvertedFile) -> int:
+    """Lists that hold 95 % of the neighbours of other rows than those that are asked for."""
+    return I.probes_for(file, twentieths(t, 7), 0.95)
 
 
 @query("vector_search_all_lists", _HITS20)
@@ -146,7 +150,7 @@ def vector_search_all_lists(t: Tables):
 def vector_search_recall(t: Tables):
     """Whether the approximate search finds nine tenths of the exact neighbours."""
     file, queries = inverted_file(t), twentieths(t)
-    found = I.recall(I.search(file, queries, probes=PROBES, digits=DIGITS), search(vectors(t), queries))
+    found = I.recall(I.search(file, queries, probes=enough_lists(t, file), digits=DIGITS), search(vectors(t), queries))
     return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 

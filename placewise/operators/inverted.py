@@ -239,6 +239,33 @@ def exact_search(
     return hits.join(counted, "query_id")
 
 
+def probes_for(file: InvertedFile, queries: DataFrame, share: float, k: int = TOP_K, most: int = 1_000, query_id: str = "query_id", query_vec: str = "embedding") -> int:
+    """The fewest lists that hold `share` of the exact k nearest of the given queries.
+
+    `most` queries, those that come first by a hash of their id, are searched exactly; for each neighbour it counts how many
+    lists are nearer to the query than the neighbour's own, and one aggregate over these ranks tells the rest.
+    """
+    asked = _queries(file, queries, query_id, query_vec).orderBy(F.xxhash64("q"), "q").limit(most)
+    hits = exact_search(file, asked, k, query_id="q", query_vec="v").select(F.col("query_id").alias("q"), "id")
+    lists = file.rows(queries.sparkSession).select("id", "list")
+    centres = file.centres
+
+    @F.arrow_udf("int")
+    def rank(v: pa.Array, own: pa.Array) -> pa.Array:
+        every, own = _straight(_matrix(v, centres.shape[1]), centres), own.to_numpy(zero_copy_only=False)
+        nearer = (every < every[np.arange(len(own)), np.maximum(own, 0)][:, None]).sum(1)
+        return pa.array(np.where(own == ZERO, 0, nearer), pa.int32())
+
+    ranks = hits.join(lists, "id").join(asked, "q").groupBy(rank("v", "list").alias("rank")).agg(F.count("*").alias("n"))
+    found = sorted((r["rank"], r["n"]) for r in ranks.collect())  # at most one row a list
+    total, upto = sum(n for _, n in found), 0
+    for place, n in found:
+        upto += n
+        if upto >= share * total:
+            return place + 1
+    return 1
+
+
 def recall(found: DataFrame, exact: DataFrame, k: int = TOP_K) -> DataFrame:
     """One row: queries, and the mean share of each query's exact k nearest that were found."""
     both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

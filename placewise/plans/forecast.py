@@ -14,6 +14,7 @@ from placewise.functions.dates import month_index, period_sequence
 from placewise.operators import boosting
 from placewise.operators.boosting import BoostedTrees
 from placewise.operators.features import FeatureModel, last_n_rows, location_window, sequences
+from placewise.operators.intervals import HORIZONS, LEAST, LEVEL, ORIGINS, backtest, coverage, origins_before, widths, with_intervals
 from placewise.operators.metrics import weighted_ensemble
 from placewise.session import materialize
 from placewise.settings import ENSEMBLE_WEIGHTS, SEQUENCE_LENGTH
@@ -31,18 +32,19 @@ def baseline_lag1(panel: DataFrame, y: str = "complaint_count") -> DataFrame:
     return as_predictions(panel.withColumn("_p", previous).where(F.col("_p").isNotNull()), "baseline", "_p", y)
 
 
-def fit_additive(panel: DataFrame, key: str = "zip_code", time: str = "date", y: str = "complaint_count") -> DataFrame:
-    """Per place a linear trend over months and the mean residual per calendar month.
+def fit_additive(panel: DataFrame, key: str | Sequence[str] = "zip_code", time: str = "date", y: str = "complaint_count") -> DataFrame:
+    """Per place (or per value of several keys) a linear trend over months and the mean residual per calendar month.
 
     One aggregate by (place, calendar month) keeps sums; the trend comes from adding at most twelve
     such rows per place, and a mean residual is mean(y) - intercept - slope * mean(t).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     t, v = month_index(F.col(time)).cast("double"), F.col(y).cast("double")
-    months = panel.where(v.isNotNull()).groupBy(key, F.month(time).alias("m")).agg(
+    months = panel.where(v.isNotNull()).groupBy(*keys, F.month(time).alias("m")).agg(
         F.count("*").alias("n"), F.sum(v).alias("sy"), F.sum(t).alias("st"),
         F.sum(t * v).alias("sty"), F.sum(t * t).alias("stt"),
     )
-    per = months.groupBy(key).agg(
+    per = months.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in ("n", "sy", "st", "sty", "stt")],
         F.collect_list(F.struct("m", F.col("n").alias("k"), F.col("sy").alias("a"), F.col("st").alias("b"))).alias("ms"),
     )
@@ -55,7 +57,7 @@ def fit_additive(panel: DataFrame, key: str = "zip_code", time: str = "date", y:
         F.array_sort("ms"),
         lambda x: F.struct(x["m"], x["a"] / x["k"] - F.col("intercept") - F.col("slope") * x["b"] / x["k"]),
     ))
-    return line.select(key, "slope", "intercept", season.alias("season"))
+    return line.select(*keys, "slope", "intercept", season.alias("season"))
 
 
 def additive_value(date: Column) -> Column:
@@ -99,6 +101,33 @@ def forecast_horizon(panel: DataFrame, months: int = 3, stable_share: float = 0.
     return sums.join(recent, "zip_code").select("zip_code", "next_month", "next_3_months", trend.alias("trend"))
 
 
+def forecast_intervals(panel: DataFrame, months: int = HORIZONS, level: float = LEVEL, origins: int = ORIGINS, least: int = LEAST) -> DataFrame:
+    """Per place and month ahead: zip_code, horizon, date, y_pred, low, high and `pooled`, by conformal intervals.
+
+    The widths come from forecasts that were made from the last `origins` months, each from rows before it.
+    """
+    panel = materialize(panel.select("zip_code", "date", "complaint_count"))  # fitted twice, and the truth of the residuals
+    last = panel.agg(F.max(F.to_date("date"))).first()[0]
+    residuals = backtest(panel, fit_additive, additive_value(F.col("date")), origins_before(F.lit(last), origins), months)
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(months)), lambda h: F.struct(h.alias("horizon"), F.add_months(F.trunc(F.lit(last), "month"), h).alias("date")))
+    future = fit_additive(panel).select("*", F.explode(ahead).alias("a")).select("*", "a.horizon", "a.date")
+    made = future.select("zip_code", "horizon", "date", additive_value(F.col("date")).alias("y_pred"))
+    return with_intervals(made, widths(residuals, level, least))
+
+
+def interval_coverage(panel: DataFrame, held: int = 12, months: int = HORIZONS, level: float = LEVEL, origins: int = ORIGINS, least: int = LEAST) -> DataFrame:
+    """Share of forecasts from the last `held` origins that lie within intervals from the `origins` before them, per horizon.
+
+    An earlier forecast counts only if its date was past at the first held origin, so nothing is known ahead of time.
+    """
+    panel = materialize(panel.select("zip_code", "date", "complaint_count"))
+    last = panel.agg(F.max(F.to_date("date"))).first()[0]
+    made = materialize(backtest(panel, fit_additive, additive_value(F.col("date")), origins_before(F.lit(last), held + origins), months))
+    first = F.add_months(F.trunc(F.lit(last), "month"), -(held - 1))
+    known, later = made.where(F.col("date") < first), made.where(F.col("origin") >= first)
+    return coverage(with_intervals(later, widths(known, level, least)))
+
+
 def yoy_trend(panel: DataFrame, y: str = "complaint_count") -> DataFrame:
     """Per place at its last month: the trailing 12 rows' sum, the 12 before, and the change in percent."""
     w = location_window()

@@ -61,6 +61,17 @@ def test_approximate_search_reads_few_lists_and_finds_most(spark, built):
     assert found(I.search(file, asked, 7, probes=len(file.centres), digits=9)) != {}
 
 
+def test_lists_for_a_recall(spark, built):
+    index, file = built
+    queries = clustered(40, 16, 1, spread=0.3)
+    asked = frame(spark, queries, "query_id")
+    exact = V.vector_search(frame(spark, index, "id"), asked)
+    for share in (0.6, 0.9):
+        probes = I.probes_for(file, asked, share)
+        assert I.recall(I.search(file, asked, probes=probes), exact).first().recall >= share - 1e-9
+        assert probes == 1 or I.recall(I.search(file, asked, probes=probes - 1), exact).first().recall < share
+
+
 def test_exact_search_skips_parts(spark, built):
     index, file = built
     queries = clustered(30, 16, 1, spread=0.1)
