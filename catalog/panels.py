@@ -176,7 +176,7 @@ def sequences(t: Tables):
 
 @query("row_id", """SELECT o_orderkey, 'complaint_' || CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS VARCHAR) AS id FROM orders""")
 def row_id(t: Tables):
-    rows = with_position(t.orders.select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), "o_orderkey"])
+    rows = with_position(t.orders.select("o_orderkey", "o_orderdate"), ["-o_orderdate", "o_orderkey"])
     return rows.select("o_orderkey", F.concat(F.lit("complaint_"), (F.col("position") - 1).cast("string")).alias("id"))
 
 

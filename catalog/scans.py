@@ -67,7 +67,7 @@ def scan_count(t: Tables):
 @query("scan_paged", """SELECT page, count(*) AS page_rows, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key
   FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) // 2000 AS page FROM orders) GROUP BY 1""")
 def scan_paged(t: Tables):
-    pages = readers.with_pages(t.orders.select("o_orderdate", "o_orderkey"), [F.col("o_orderdate").desc(), "o_orderkey"], 2000)
+    pages = readers.with_pages(t.orders.select("o_orderdate", "o_orderkey"), ["-o_orderdate", "o_orderkey"], 2000)
     return pages.groupBy("page").agg(
         F.count("*").alias("page_rows"), F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key")
     )

@@ -6,50 +6,75 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.session import materialize
 
+#: Keys that are drawn for each range; they come to the driver.
+DRAWN = 100
 
-def _columns(items: Sequence[Column | str]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in items]
 
+def _directed(order: Sequence[str]) -> list[tuple[Column, bool]]:
+    """Columns of an order and whether each descends, which a leading minus says."""
+    return [(F.col(c.removeprefix("-")), c.startswith("-")) for c in order]
 
-def with_position(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    group: Sequence[str] = (),
-    name: str = "position",
-    size: str | None = None,
-) -> DataFrame:
+
+def sort_columns(order: Sequence[str]) -> list[Column]:
+    return [c.desc() if down else c.asc() for c, down in _directed(order)]
+
+
+def _not_before(keys: Sequence[tuple[Column, bool]], split: Column) -> Column:
+    """Whether a row stands at or behind a splitter; null comes first, in a descending column last."""
+    after = F.lit(True)
+    for i in reversed(range(len(keys))):
+        (key, down), other = keys[i], split[f"k{i}"]
+        beyond = (key < other) | (key.isNull() & other.isNotNull()) if down else (key > other) | (key.isNotNull() & other.isNull())
+        after = F.coalesce(beyond, F.lit(False)) | (key.eqNullSafe(other) & after)
+    return after
+
+
+def ranges(df: DataFrame, order: Sequence[str], count: int) -> Column:
+    """Number of the range, from 0, of each row: splitters are every DRAWN-th of the keys that come first by a hash.
+
+    A row finds its range by halving, so its cost is the logarithm of the number of ranges.
+    """
+    keys = _directed(order)
+    named = df.select(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)])
+    ordered = [F.desc(f"k{i}") if down else F.asc(f"k{i}") for i, (_, down) in enumerate(keys)]
+    drawn = named.orderBy(F.xxhash64(*named.columns)).limit(DRAWN * count)
+    splits = drawn.orderBy(*ordered).collect()[DRAWN::DRAWN] if count > 1 else []
+    if not splits:
+        return F.lit(0)
+    kinds = [f.dataType for f in named.schema.fields]
+    listed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, kinds))]) for row in splits])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(splits).bit_length()))])
+
+    def step(at: Column, size: Column) -> Column:
+        split = F.get(listed, at + size - 1)
+        return F.when(split.isNotNull() & _not_before(keys, split), at + size).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_position(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "position", size: str | None = None) -> DataFrame:
     """1-based rank by `order` within `group`, exact and distributed; `size` adds the group's row count.
 
-    Rows are range-partitioned by group and order, so one large group spreads over many tasks.
-    The sorted rows are checkpointed once; each partition's start comes from a table with one
-    row per (partition, group), never from a window over all rows. `order` must be a total order.
+    Splitters cut (group, order) into ranges of about equal size, so one large group spreads over many tasks. One pass counts
+    the rows of every range and group, their running sums are a small table, and rows are ranked inside their range: one
+    shuffle of the rows, and nothing is stored. `order` must be a total order; a leading minus means descending.
     """
     groups = list(group)
-    keys = [F.col(g) for g in groups] + _columns(order)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"))
-    )
-    heads = placed.groupBy("_part", *groups).agg(F.count("*").alias("_rows"), F.min("_seq").alias("_first"))
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = heads.select(
-        F.col("_part").alias("_p"),
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        "_first",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*groups)).alias("_all"),
-    )
-    same = (F.col("_part") == F.col("_p"))
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_range", ranges(df, [*groups, *order], count))
+    heads = placed.groupBy("_range", *groups).agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = heads.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], before.alias("_before"), F.sum("_rows").over(whole).alias("_all"))
+    same = F.col("_range") == F.col("_r")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    ranked = placed.join(starts, same)
+    rank = F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*sort_columns(order)))
+    ranked = placed.withColumn("_rank", rank).join(starts, same)
     return ranked.select(
         *[F.col(c) for c in df.columns],
-        (F.col("_seq") - F.col("_first") + F.col("_before") + 1).cast("bigint").alias(name),
+        (F.col("_rank") + F.col("_before")).cast("bigint").alias(name),
         *([F.col("_all").alias(size)] if size else []),
     )
 

@@ -82,7 +82,7 @@ def count_rows(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("row_count"))
 
 
-def with_pages(table: DataFrame, order: Sequence[Column | str], page_size: int = PAGE_SIZE) -> DataFrame:
+def with_pages(table: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZE) -> DataFrame:
     """Whole read cut into offset pages of a total order; column `page` starts at 0."""
     placed = with_position(table, order)
     return placed.withColumn("page", F.floor((F.col("position") - 1) / page_size).cast("bigint"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators.position import drop_first_n, exact_quantiles, split_by_date, split_by_position, split_per_class, with_position
+from placewise.operators.position import drop_first_n, exact_quantiles, ranges, sort_columns, split_by_date, split_by_position, split_per_class, with_position
 from placewise.sources.readers import with_pages
 
 
@@ -22,14 +22,32 @@ def test_positions_in_groups(spark):
     for g in {r[1] for r in rows}:
         own = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
         expected |= {r[0]: (i + 1, len(own)) for i, r in enumerate(own)}
-    got = with_position(df, [F.col("v").desc(), "id"], ["grp"], size="n")
+    got = with_position(df, ["-v", "id"], ["grp"], size="n")
     assert {r["id"]: (r["position"], r["n"]) for r in got.collect()} == expected
 
 
-def test_hot_group_spreads_over_partitions(spark):
+def test_hot_group_spreads_over_ranges(spark):
     _, df = skewed(spark)
-    parts = df.repartitionByRange(4, "grp", "id").where("grp = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
-    assert parts > 1
+    parts = df.withColumn("p", ranges(df, ["grp", "-v", "id"], 4)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("grp").alias("g")).collect()
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 2000  # the hot group has about 2,400 rows
+
+
+def test_ranges_follow_the_order(spark):
+    rows = [(None if i % 11 == 0 else i * 7 % 50, None if i % 13 == 0 else f"s{i * 3 % 40}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string, i int").repartition(5)
+    for order in (["a", "b", "i"], ["-a", "b", "-i"], ["b", "-a", "i"]):
+        got = df.withColumn("p", ranges(df, order, 6)).orderBy(*sort_columns(order)).select("p").collect()
+        parts = [r["p"] for r in got]
+        assert parts == sorted(parts) and set(parts) == set(range(6))
+        placed = with_position(df, order).orderBy(*sort_columns(order)).select("position").collect()
+        assert [r["position"] for r in placed] == list(range(1, 3001))
+
+
+def test_positions_store_nothing(spark):
+    _, df = skewed(spark)
+    plan = with_position(df, ["v", "id"], ["grp"])._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "ExistingRDD[_range" not in plan and "parquet" not in plan and plan.count("Window ") == 2
+    assert with_position(df.limit(0), ["id"]).count() == 0
 
 
 def test_null_group_is_a_group(spark):
