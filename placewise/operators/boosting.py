@@ -2,8 +2,8 @@
 
 1. Quantile sketches of all features, in one pass, give the cuts. Rows become one byte a feature and are stored once.
 2. Trees grow a level at a time. A pass gives, for each node and feature, the sums of gradients and the row counts (the second
-   derivatives) of every bin; partial sums are added per task and again in one aggregate. Of two sister nodes only the one
-   with fewer rows is summed, the other is what is left of the parent.
+   derivatives) of every bin; sums are added per task and then, unless all tasks' sums are few bytes, in one aggregate. Of two
+   sister nodes only the one with fewer rows is summed, the other is what is left of the parent.
 3. The driver sees bins, never rows: it picks the split with the largest gain for each node of the level.
 4. Rows learn their node, and what the latest trees say, from the trees themselves, which travel with the pass. Every
    `STORED_TREES` trees the sums so far are written to a new table, which also cuts the lineage.
@@ -29,6 +29,8 @@ from placewise.settings import BOOSTING
 
 #: Trees after which the sums of all trees are stored with the rows.
 STORED_TREES = 10
+#: Binned rows of a task, and sums that tasks may send to the driver one by one; more are added in an aggregate first.
+TASK_BYTES, DRIVER_BYTES = 16 << 20, 64 << 20
 
 
 @dataclass
@@ -175,10 +177,14 @@ def _sums(trees: list[Tree], growing: Tree, slots: np.ndarray, width: int, bins:
     return run
 
 
-def _pass(table: DataFrame, *held) -> dict[int, np.ndarray]:
-    made = table.mapInArrow(_sums(*held), "slot int, sums array<double>")
-    rows = made.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).collect()  # a row per node
-    return {r["slot"]: np.array(r["sums"]) for r in rows}
+def _pass(table: DataFrame, tasks: int, trees: list[Tree], growing: Tree, slots: np.ndarray, width: int, bins: int, *held) -> dict[int, np.ndarray]:
+    made = table.mapInArrow(_sums(trees, growing, slots, width, bins, *held), "slot int, sums array<double>")
+    if 16 * tasks * (slots.max() + 1) * width * bins > DRIVER_BYTES:
+        made = made.groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))  # a row per node
+    found: dict[int, np.ndarray] = {}
+    for r in made.collect():
+        found[r["slot"]] = found.get(r["slot"], 0) + np.array(r["sums"])
+    return found
 
 
 def _shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
@@ -225,11 +231,13 @@ def fit(
     features, target = list(features), F.col(f"`{y}`").cast("double")
     known = rows.where(target.isNotNull())
     held = F.coalesce(validation, F.lit(False)) if validation is not None else F.lit(False)
-    start = known.where(~held).agg(F.avg(target)).first()[0] or 0.0
+    seen = known.agg(F.avg(F.when(~held, target)).alias("start"), F.count("*").alias("rows")).first()
+    start, width = seen["start"] or 0.0, len(features)
     model = BoostedTrees(features, start)
+    tasks = max(1, -(-seen["rows"] * (width + 40) // TASK_BYTES))
     cuts = quantile_cuts(known.where(~held), features, bins)
-    width, bins = len(features), max(max((len(c) for c in cuts), default=0) + 1, 2)
-    table = scratch_table(_binned(known, features, cuts, target, held, start), "boosting-rows")
+    bins = max(max((len(c) for c in cuts), default=0) + 1, 2)
+    table = scratch_table(_binned(known, features, cuts, target, held, start).repartition(tasks), "boosting-rows")
     picks, recent, errors = np.random.default_rng(seed), [], []
     for turn in range(trees):
         allowed = np.zeros(width, bool)
@@ -240,7 +248,7 @@ def fit(
             asked = [n for n in level if n == 0 or known_sums[n][2]]
             slots = np.full(len(tree.feature), -1)
             slots[asked] = np.arange(len(asked))
-            found = _pass(table, recent, tree, slots, width, bins, turn, row_share)
+            found = _pass(table, tasks, recent, tree, slots, width, bins, turn, row_share)
             if height == 0 and validation is not None and found[-1][1]:
                 errors.append(found[-1][0] / found[-1][1])
             for n in level:
