@@ -21,10 +21,11 @@ from placewise.settings import (
 )
 
 
-def chunk_array(text: Column, size: int = CHUNK_SIZE, separator: str = "\n\n") -> Column:
+def chunk_array(text: Column, size: int = CHUNK_SIZE, separator: str = "\n\n", overlap: int = 0) -> Column:
     """Paragraphs packed greedily while the open chunk plus the next one stays below `size`; stripped.
 
-    A paragraph longer than `size` stays whole. The fold keeps finished chunks and the open one.
+    A paragraph longer than `size` stays whole. With an `overlap` a chunk opens with that many last characters of the one
+    before it, and a separator. The fold keeps finished chunks and the open one.
     """
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -34,7 +35,8 @@ def chunk_array(text: Column, size: int = CHUNK_SIZE, separator: str = "\n\n") -
         closed = F.when(
             fits | (state["open"] == ""), state["done"]
         ).otherwise(F.concat(state["done"], F.array(strip(state["open"]))))
-        opened = F.when(fits, F.concat(state["open"], tail)).otherwise(tail)
+        carried = F.when(state["open"] == "", F.lit("")).otherwise(F.concat(F.right(strip(state["open"]), F.lit(overlap)), F.lit(separator)))
+        opened = F.when(fits, F.concat(state["open"], tail)).otherwise(F.concat(carried, tail) if overlap else tail)
         return F.struct(closed.alias("done"), opened.alias("open"))
 
     def finish(state):
@@ -44,10 +46,10 @@ def chunk_array(text: Column, size: int = CHUNK_SIZE, separator: str = "\n\n") -
     return F.aggregate(F.split(text, r"\Q" + separator + r"\E", -1), start, step, finish)
 
 
-def chunk_text(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, separator: str = "\n\n") -> DataFrame:
+def chunk_text(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, separator: str = "\n\n", overlap: int = 0) -> DataFrame:
     """One row per chunk: the other columns, chunk_index from 0, text."""
     others = [c for c in docs.columns if c != text]
-    return docs.select(*others, F.posexplode(chunk_array(F.col(text), size, separator)).alias("chunk_index", text))
+    return docs.select(*others, F.posexplode(chunk_array(F.col(text), size, separator, overlap)).alias("chunk_index", text))
 
 
 def fit_text_embedding(docs: DataFrame, text: str = "text", dimension: int = EMBEDDING_DIMENSION) -> PipelineModel:
@@ -96,10 +98,10 @@ def build_complaint_index(
 
 def build_guideline_index(
     docs: DataFrame, model: PipelineModel, source: str = "source", size: int = CHUNK_SIZE, separator: str = "\n\n",
-    numbered: bool = False,
+    numbered: bool = False, overlap: int = 0,
 ) -> DataFrame:
     """Documents to chunks with id, source, chunk index and embedding."""
-    chunks = chunk_text(docs.select(F.col(source).cast("string").alias("source"), "text"), size=size, separator=separator)
+    chunks = chunk_text(docs.select(F.col(source).cast("string").alias("source"), "text"), size=size, separator=separator, overlap=overlap)
     if numbered:
         rows = row_id(chunks, "guideline", order=["source", "chunk_index"])
     else:

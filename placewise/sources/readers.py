@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from placewise.operators.position import with_position
 from placewise.settings import IMAGE_CLASSES, PAGE_SIZE
+from placewise.sources import manifest
 
 COMPLAINT_SCHEMA = (
     "unique_key string, created_date string, closed_date string, due_date string, borough string, "
@@ -131,12 +132,31 @@ def read_optional(spark: SparkSession, path: str, schema: str, fmt: str = "parqu
         raise
 
 
-def read_through_cache(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def read_through_cache(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: Sequence[str] | None = None, parameters: Mapping | None = None
+) -> DataFrame:
     """The Parquet table at `path`; built and written on the first call.
 
-    A folder without the mark of a finished write, left by a job that failed, is written anew.
+    A folder without the mark of a finished write, left by a job that failed, is written anew. With `inputs` (folders or files)
+    the table is built again whenever one of their files or a parameter is another: the data go to a folder of their own,
+    and a manifest with the fingerprint of the inputs makes them the table at once, so readers see the old or the new one whole.
     """
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if inputs is None:
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            build().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    mark = manifest.fingerprint(spark, inputs, parameters)
+    while True:
+        number, content = manifest.latest(spark, path)
+        if content and content["fingerprint"] == mark:
+            return spark.read.parquet(content["data"])
+        folder = manifest.new_folder(path)
+        build().write.parquet(folder)
+        if manifest.fingerprint(spark, inputs, parameters) != mark:  # an input changed while it was read
+            mark = manifest.fingerprint(spark, inputs, parameters)
+            continue
+        try:
+            manifest.publish(spark, path, {"fingerprint": mark, "data": folder}, number)
+        except FileExistsError:  # another job was first; its table may do
+            continue
