@@ -378,7 +378,7 @@ def text_search(t: Tables):
     return V.vector_search(index, queries)
 
 
-@query("index_upsert", f"""SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 20 = 3 THEN upper(text) ELSE text END) AS text_md5, lang, {settings.EMBEDDING_DIMENSION} AS dimension
+@query("index_upsert", f"""SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 20 = 3 THEN text || '!' ELSE text END) AS text_md5, lang, {settings.EMBEDDING_DIMENSION} AS dimension
   FROM documents WHERE doc_id % 20 <> 7""")
 def index_upsert(t: Tables):
     """An index of all documents, brought up to a state in which a twentieth is changed and a twentieth is gone."""
@@ -386,7 +386,7 @@ def index_upsert(t: Tables):
     first = t.documents.select(F.col("doc_id").alias("id"), "text", "lang")
     embed = partial(X.text_embed, model=model)
     U.upsert(path, first, embed)
-    later = first.where(F.col("id") % 20 != 7).withColumn("text", F.when(F.col("id") % 20 == 3, F.upper("text")).otherwise(F.col("text")))
+    later = first.where(F.col("id") % 20 != 7).withColumn("text", F.when(F.col("id") % 20 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     U.upsert(path, later, embed, complete=True)
     U.compact(t.spark, path, share=0.05)
     return U.read_index(t.spark, path).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", F.size("embedding").alias("dimension"))
