@@ -98,7 +98,7 @@ def test_search_computes_few_distances_at_a_time(spark, monkeypatch):
     table = V._asked(asked, "query_id", "embedding", None).toArrow()
     batches = df.select("id", "embedding", F.lit(None).cast("string")).toArrow().to_batches()
     monkeypatch.setattr(V, "DISTANCES", 20)
-    run = V._local_search(table, 9, False, (pa.int64(), pa.int64()), None, 9)
+    run = V._local_search(table, 9, False, (pa.int64(), pa.int64()), 9)
     got = {}
     for batch in run(iter(batches)):
         for r in batch.to_pylist():
