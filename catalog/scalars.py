@@ -190,14 +190,34 @@ _L = """l AS (SELECT zip_code, max(borough) AS borough, CAST(sum(complaint_count
   FROM (SELECT *, row_number() OVER (PARTITION BY zip_code ORDER BY date DESC) AS rn FROM master) GROUP BY 1)"""
 
 
-def band_sql(value: str, bands) -> str:
-    *bounded, (_, last) = bands
-    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "CASE " + " ".join(f"WHEN {value} < {b} THEN {text(r)}" for b, r in bounded) + f" ELSE {text(last)} END"
+# The published bands, written out so that a changed setting shows.
+def level_sql(v: str) -> str:
+    return f"CASE WHEN {v} < 3 THEN 'Low' WHEN {v} < 6 THEN 'Low-Moderate' WHEN {v} < 8 THEN 'Moderate' WHEN {v} < 9 THEN 'High' ELSE 'Very High' END"
+
+
+def color_sql(v: str) -> str:
+    return f"CASE WHEN {v} < 3 THEN '#28a745' WHEN {v} < 5 THEN '#7cb342' WHEN {v} < 7 THEN '#ffc107' WHEN {v} < 8.5 THEN '#fd7e14' ELSE '#dc3545' END"
+
+
+def band3_sql(v: str) -> str:
+    return f"CASE WHEN {v} < 4 THEN 'low' WHEN {v} < 7 THEN 'moderate' ELSE 'high' END"
+
+
+def age_sql(v: str) -> str:
+    return f"CASE WHEN {v} < 20 THEN 2.0 WHEN {v} < 40 THEN 4.0 WHEN {v} < 60 THEN 6.0 WHEN {v} < 80 THEN 7.5 ELSE 9.0 END"
+
+
+def text_sql(v: str) -> str:
+    return f"""CASE WHEN {v} < 3 THEN '🟢 **Low Risk** - Minimal rat activity indicators. Maintain standard prevention practices.'
+      WHEN {v} < 5 THEN '🟡 **Low-Moderate Risk** - Some activity indicators present. Consider enhanced monitoring.'
+      WHEN {v} < 7 THEN '🟠 **Moderate Risk** - Notable activity indicators. Active prevention measures recommended.'
+      WHEN {v} < 8.5 THEN '🔴 **High Risk** - Significant activity indicators. Immediate action recommended.'
+      ELSE '⚫ **Very High Risk** - Critical activity levels. Professional intervention strongly recommended.' END"""
 
 
 def season_score_sql(month: str) -> str:
-    return f"CASE {month} " + " ".join(f"WHEN {m} THEN {s}" for m, s in settings.SEASON_SCORES.items()) + " ELSE 5.0 END"
+    return f"""CASE {month} WHEN 1 THEN 4.0 WHEN 2 THEN 3.5 WHEN 3 THEN 4.0 WHEN 4 THEN 5.0 WHEN 5 THEN 6.0 WHEN 6 THEN 7.5
+      WHEN 7 THEN 8.5 WHEN 8 THEN 9.0 WHEN 9 THEN 8.0 WHEN 10 THEN 6.5 WHEN 11 THEN 5.0 WHEN 12 THEN 4.0 ELSE 5.0 END"""
 
 
 @query("zscore_to_10", f"SELECT c_custkey, {num(z_sql('c_acctbal', 'm', 's'), 'score')} FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)")
@@ -233,7 +253,7 @@ def score_violations(t: Tables):
     return places_with(t, "score", lambda s: S.score_violations(F.col("restaurant_violations"), s["violations_mean"], s["violations_std"]))
 
 
-@query("score_building_age", f"SELECT p_partkey, {num(band_sql('CASE WHEN p_brand <> ' + chr(39) + 'Brand#11' + chr(39) + ' THEN 2 * p_size END', settings.AGE_BANDS), 'score')} FROM part")
+@query("score_building_age", f"SELECT p_partkey, {num(age_sql('CASE WHEN p_brand <> ' + chr(39) + 'Brand#11' + chr(39) + ' THEN 2 * p_size END'), 'score')} FROM part")
 def score_building_age(t: Tables):
     age = F.when(F.col("p_brand") != "Brand#11", 2 * F.col("p_size"))
     return t.part.select("p_partkey", S.score_building_age(age).alias("score"))
@@ -267,19 +287,19 @@ def score_col():
     return (F.col("c_acctbal") + 1000) / 1100
 
 
-def _banded(name: str, bands, fn):
-    query(name, f"SELECT c_custkey, {band_sql(_SCORE, bands)} AS band FROM customer")(
+def _banded(name: str, sql, fn):
+    query(name, f"SELECT c_custkey, {sql(_SCORE)} AS band FROM customer")(
         lambda t: t.customer.select("c_custkey", fn(score_col()).alias("band"))
     )
 
 
-_banded("risk_level", settings.LEVEL_BANDS, S.risk_level)
-_banded("risk_color", settings.COLOR_BANDS, S.risk_color)
-_banded("risk_band3", settings.SHORT_BANDS, S.risk_band3)
-_banded("risk_text", settings.TEXT_BANDS, S.risk_text)
+_banded("risk_level", level_sql, S.risk_level)
+_banded("risk_color", color_sql, S.risk_color)
+_banded("risk_band3", band3_sql, S.risk_band3)
+_banded("risk_text", text_sql, S.risk_text)
 
 
-@query("format_score", f"SELECT c_custkey, 'Risk Score: ' || printf('%.1f', {_SCORE}) || '/10 (' || {band_sql(_SCORE, settings.LEVEL_BANDS)} || ')' AS line FROM customer")
+@query("format_score", f"SELECT c_custkey, 'Risk Score: ' || printf('%.1f', {_SCORE}) || '/10 (' || {level_sql(_SCORE)} || ')' AS line FROM customer")
 def format_score(t: Tables):
     return t.customer.select("c_custkey", S.format_score(score_col()).alias("line"))
 
@@ -373,7 +393,7 @@ def softmax_argmax(t: Tables):
 _RECORD = ", ".join([
     MASTER_SQL, _G, _L,
     f"""h AS (SELECT *, {z_sql('total_complaints / 12.0', 'cm / 12', 'cs / 12')} AS hist, {z_sql('restaurant_violations', 'vm', 'vs')} AS viol_score,
-      {band_sql('building_age', settings.AGE_BANDS)} AS age_score, 8.5 AS season_score FROM l, g)""",
+      {age_sql('building_age')} AS age_score, 8.5 AS season_score FROM l, g)""",
     "s AS (SELECT *, greatest(1, least(10, 0.30 * hist + 0.25 * hist + 0.20 * viol_score + 0.15 * age_score)) AS risk_score FROM h)",
     """c AS (SELECT zip_code, name, score, label, row_number() OVER (PARTITION BY zip_code ORDER BY score * weight DESC, place) AS rn FROM (
       SELECT zip_code, 'historical_complaints' AS name, 'Historical complaint volume in the area' AS label, hist AS score, 0.30 AS weight, 0 AS place FROM s
@@ -383,7 +403,7 @@ _RECORD = ", ".join([
       UNION ALL SELECT zip_code, 'seasonal_factor', 'Seasonal activity patterns', season_score, 0, 5 FROM s) WHERE score >= 5)""",
     """k AS (SELECT zip_code, string_agg(name, ',' ORDER BY rn) AS names, string_agg(CASE WHEN rn <= 3 THEN '- ' || label || ': ' || printf('%.1f', CAST(score AS DOUBLE)) || '/10' || chr(10) ELSE '' END, '' ORDER BY rn) AS lines FROM c GROUP BY 1)""",
 ])
-_EXPLAIN = f"""'**Risk Score: ' || printf('%.1f', CAST(risk_score AS DOUBLE)) || '/10 (' || {band_sql('risk_score', settings.LEVEL_BANDS)} || ')**' || chr(10) || chr(10) || '**Key Contributing Factors:**' || chr(10) || lines"""
+_EXPLAIN = f"""'**Risk Score: ' || printf('%.1f', CAST(risk_score AS DOUBLE)) || '/10 (' || {level_sql('risk_score')} || ')**' || chr(10) || chr(10) || '**Key Contributing Factors:**' || chr(10) || lines"""
 
 
 @query("explain_score", f"{_RECORD} SELECT s.zip_code, {_EXPLAIN} AS explanation FROM s JOIN k ON s.zip_code = k.zip_code")
@@ -392,7 +412,7 @@ def explain_score(t: Tables):
     return score_places(location_stats(table), panel_stats(table), month=7).select("zip_code", "explanation")
 
 
-@query("assess_location", f"""{_RECORD} SELECT s.zip_code, borough, {num('risk_score')}, {band_sql('risk_score', settings.LEVEL_BANDS)} AS risk_level, {band_sql('risk_score', settings.COLOR_BANDS)} AS risk_color,
+@query("assess_location", f"""{_RECORD} SELECT s.zip_code, borough, {num('risk_score')}, {level_sql('risk_score')} AS risk_level, {color_sql('risk_score')} AS risk_color,
   {num('hist', 'historical_complaints')}, {num('hist', 'forecast_risk')}, {num('viol_score', 'restaurant_violations_score')}, {num('age_score', 'building_age_score')}, {num('season_score', 'seasonal_factor')},
   names AS contributing, total_complaints, recent_complaints, {nums('restaurant_violations building_age')}, {_EXPLAIN} AS explanation FROM s JOIN k ON s.zip_code = k.zip_code""")
 def assess_location_query(t: Tables):
@@ -410,6 +430,6 @@ def assess_location_query(t: Tables):
 
 
 @query("assess_default_stats", f"""{MASTER_SQL}, {_L} SELECT zip_code, {num('greatest(1, least(10, 0.30 * h + 0.25 * h + 0.20 * v + 0.15 * a))', 'risk_score')} FROM (
-  SELECT zip_code, {z_sql('total_complaints / 12.0', '10 / 12.0', '5 / 12.0')} AS h, {z_sql('restaurant_violations', '5', '3.0')} AS v, {band_sql('building_age', settings.AGE_BANDS)} AS a FROM l)""")
+  SELECT zip_code, {z_sql('total_complaints / 12.0', '10 / 12.0', '5 / 12.0')} AS h, {z_sql('restaurant_violations', '5', '3.0')} AS v, {age_sql('building_age')} AS a FROM l)""")
 def assess_default_stats(t: Tables):
     return score_places(location_stats(master(t)), default_stats(), month=7).select("zip_code", "risk_score")
