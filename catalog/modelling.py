@@ -291,3 +291,34 @@ def embedding_classifier(t: Tables):
 @query("pca_2d")
 def pca(t: Tables):
     return pca_2d(t.embeddings, keep=["vec_id", "label"])
+
+
+@query("pca_2d_axes", "SELECT count(*) AS row_count, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2, 0.0::DOUBLE AS shared, 1 AS ordered FROM embeddings")
+def pca_axes(t: Tables):
+    """What principal components must be: centred, uncorrelated, and the first no narrower than the second."""
+    zero = lambda c: F.abs(F.round(c, 6))
+    return pca_2d(t.embeddings, keep=["vec_id"]).agg(
+        F.count("*").alias("row_count"), zero(F.avg("pc1")).alias("mean1"), zero(F.avg("pc2")).alias("mean2"),
+        zero(F.covar_pop("pc1", "pc2")).alias("shared"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"),
+    )
+
+
+@query("embedding_classifier_quality", "SELECT count(*) AS row_count, 1 AS better FROM embeddings")
+def embedding_classifier_quality(t: Tables):
+    """Whether the classifier names more labels rightly than always saying the commonest one."""
+    model = FC.fit_embedding_classifier(t.embeddings, classes=10)
+    rows = t.embeddings.select(F.col("label").alias("y"), FC.array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    most = t.embeddings.groupBy("label").count().agg(F.max("count")).scalar()
+    return model.transform(rows).agg(F.count("*").alias("row_count"), (F.sum((F.col("prediction") == F.col("y")).cast("int")) > most).alias("better"))
+
+
+@query("sequence_forecast_balance", f"""{MASTER_SQL}, numbered AS (SELECT date, row_number() OVER (PARTITION BY zip_code ORDER BY date) AS i FROM master)
+  SELECT count(*) AS row_count, 0.0::DOUBLE AS residual FROM numbered WHERE i > 24 AND date < TIMESTAMP '{TRAIN_BEFORE}'""")
+def sequence_forecast_balance(t: Tables):
+    """The residuals of a regression with an intercept add up to nothing on the rows it was fitted on."""
+    table = master(t)
+    features = W.fit_features(table, train_before=TRAIN_BEFORE)
+    early = features.apply(table).where(F.col("date") < F.lit(TRAIN_BEFORE))
+    model = FC.fit_sequence(early, features.numeric)
+    fitted = model.transform(FC.flat_sequences(early, features.numeric))
+    return fitted.agg(F.count("*").alias("row_count"), F.abs(F.round(F.avg(F.col("y") - F.col("y_pred")), 6)).alias("residual"))

@@ -25,6 +25,8 @@ from placewise.settings import TOP_K
 BLOCK_BYTES = 64 * 1024 * 1024
 # Classes whose mean vectors are held on the driver and by every task.
 MOST_CLASSES = 10_000
+# Rows of a list whose pairs may all be asked for.
+MOST_PAIRED = 20_000
 # Distances computed at a time.
 DISTANCES = 1 << 21
 
@@ -215,8 +217,10 @@ def cosine_matrix(items: DataFrame, id_col: str = "id", vec_col: str = "embeddin
     """Similarity of every item to every item: id_a, id_b, similarity.
 
     The answer has a row per pair by definition, so it is meant for a short list such as a few texts
-    or one mean vector per class. Parts of the list meet in cells.
+    or one mean vector per class. Parts of the list meet in cells; a list beyond MOST_PAIRED rows is refused.
     """
+    if items.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
+        raise ValueError(f"more than {MOST_PAIRED} rows have too many pairs; search for the nearest instead")
     kind = to_arrow_type(items.schema[id_col].dataType)
     id_type = items.schema[id_col].dataType.simpleString()
 

@@ -16,6 +16,7 @@ def get_session(app: str = "placewise", cpus: str | int = "*", shuffle_partition
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.openCostInBytes", "1m")  # small local files are read by all cores
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PLACEWISE_DRIVER_MEMORY", "8g"))

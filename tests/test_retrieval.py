@@ -220,3 +220,10 @@ def test_summary_counts_every_row_of_a_place(spark):
     df = spark.range(250).select("id", F.lit("p").alias("p"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     row = X.retrieval_summary(df, F.col("id") / 10, F.col("p")).first()
     assert row["total_complaints"] == 250 and len(row["recent_complaints"]) == 5 and len(row["sample_issues"]) == 10
+
+
+def test_matrix_of_a_long_list_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(V, "MOST_PAIRED", 3)
+    assert V.cosine_matrix(frame(spark, vectors(3, 4, 1), "id")).count() == 9
+    with pytest.raises(ValueError, match="too many pairs"):
+        V.cosine_matrix(frame(spark, vectors(4, 4, 1), "id"))
