@@ -19,6 +19,7 @@ from catalog.scalars import CHUNKS_SQL, score_col
 from catalog.standins import COMPLAINTS, MASTER_SQL, PANEL_SQL, complaints, master, panel
 from placewise import settings
 from placewise.operators import inverted as I
+from placewise.operators import semantic
 from placewise.operators import texts as X
 from placewise.operators import upsert as U
 from placewise.operators import vectors as V
@@ -390,3 +391,11 @@ def index_upsert(t: Tables):
     U.upsert(path, later, embed, complete=True)
     U.compact(t.spark, path, share=0.05)
     return U.read_index(t.spark, path).select("id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", F.size("embedding").alias("dimension"))
+
+
+@query("text_embed_semantic", f"SELECT doc_id, {semantic.DIMENSION} AS dimension, 1 AS unit FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9]')")
+def text_embed_semantic(t: Tables):
+    """Vectors from the decomposed term matrix, of all documents with a word."""
+    made = semantic.semantic_embed(t.documents, semantic.fit_semantic(t.documents)).where(F.regexp_like("text", F.lit("[a-zA-Z0-9]")))
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") ** 2)
+    return made.select("doc_id", F.size("embedding").alias("dimension"), (F.abs(length - 1) < 1e-4).alias("unit"))
