@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,6 +26,8 @@ from placewise.session import scratch_table
 TERMS, DIMENSION, OVERSAMPLE = 1 << 12, 64, 16
 #: Rows of the dense matrix that travel as one row of a table.
 STRIPE = 256
+#: Entries multiplied at a time, whatever the rows of a batch; a single longer row is taken whole.
+ENTRIES = 1 << 15
 
 
 @dataclass
@@ -52,15 +55,27 @@ def _sparse(vector: str) -> Column:
     return F.struct(held["indices"].alias("i"), held["values"].alias("v"))
 
 
-def _projected(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each entry, its term and value, and every row's products with the basis."""
-    places, values = batch.column(0).field("i"), batch.column(0).field("v")
-    sizes = np.array([len(x) for x in places], np.int64)
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    term, value = places.flatten().to_numpy(), values.flatten().to_numpy()
+def _pieces(entries: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Consecutive rows with at most ENTRIES entries, one row at least: first entry of each row, entries of each, terms, values."""
+    sizes = pa.compute.list_value_length(entries.field("i")).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = ends[at] - sizes[at]
+        stop = max(int(np.searchsorted(ends, before + ENTRIES, "right")), at + 1)
+        own = entries.slice(at, stop - at).flatten()
+        term, value = own[0].flatten().to_numpy(), own[1].flatten().to_numpy()
+        yield ends[at:stop] - sizes[at:stop] - before, sizes[at:stop], term, value
+        at = stop
+
+
+def _projected(piece: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], basis: np.ndarray) -> np.ndarray:
+    """Every row's products with the basis."""
+    begins, sizes, term, value = piece
     made = np.zeros((len(sizes), basis.shape[1]))
-    np.add.at(made, rows, basis[term] * value[:, None])
-    return rows, term, value, made
+    if len(term):
+        made[sizes > 0] = np.add.reduceat(basis[term] * value[:, None], begins[sizes > 0])
+    return made
 
 
 def _summed(rows: DataFrame, basis: np.ndarray, inside: bool) -> np.ndarray:
@@ -69,13 +84,18 @@ def _summed(rows: DataFrame, basis: np.ndarray, inside: bool) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((height, basis.shape[1]))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                own, term, value, made = _projected(whole.slice(at, 512), basis)
+        for batch in batches:
+            for piece in _pieces(batch.column(0)):
+                made = _projected(piece, basis)
                 if inside:
                     total += made.T @ made
-                else:
-                    np.add.at(total, term, made[own] * value[:, None])
+                    continue
+                _, sizes, term, value = piece
+                if len(term):
+                    order = np.argsort(term, kind="stable")
+                    own = np.repeat(np.arange(len(sizes)), sizes)[order]
+                    first = np.flatnonzero(np.diff(term[order], prepend=-1))
+                    total[term[order][first]] += np.add.reduceat(made[own] * value[order, None], first)
         stripes = [total[i : i + STRIPE].ravel().tolist() for i in range(0, height, STRIPE)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(stripes)), pa.int32()), pa.array(stripes, pa.list_(pa.float64()))], ["stripe", "sums"])
 
@@ -107,7 +127,7 @@ def semantic_embed(docs: DataFrame, model: SemanticModel, text: str = "text") ->
 
     @F.arrow_udf("array<float>")
     def embedded(a: pa.Array) -> pa.Array:
-        made = _projected(pa.RecordBatch.from_arrays([a], ["a"]), directions)[3]
+        made = np.concatenate([np.zeros((0, directions.shape[1])), *(_projected(p, directions) for p in _pieces(a))])
         norms = np.linalg.norm(made, axis=1, keepdims=True)
         unit = np.divide(made, norms, out=np.zeros_like(made), where=norms > 1e-12)
         ends = np.arange(0, unit.size + 1, unit.shape[1], dtype=np.int32)

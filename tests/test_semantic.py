@@ -1,8 +1,10 @@
 """The decomposition against NumPy's, and what its vectors are good for."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -51,3 +53,22 @@ def test_empty_table(spark):
     with pytest.raises(ValueError, match="no texts"):
         S.fit_semantic(docs.where("text = 'none'"))
     assert S.semantic_embed(docs.limit(0), S.fit_semantic(docs, dimension=2, terms=32)).count() == 0
+
+
+def test_products_of_a_large_batch_take_little_memory():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 120, 4000)
+    sizes[[0, 7, -1]] = 0
+    terms = [np.sort(rng.choice(512, n, replace=False)).astype(np.int32) for n in sizes]
+    values = [rng.normal(size=n) for n in sizes]
+    batch = pa.StructArray.from_arrays([pa.array(terms, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["i", "v"])
+    basis = rng.normal(size=(512, 64))
+    tracemalloc.start()
+    made = np.concatenate([S._projected(p, basis) for p in S._pieces(batch.slice(3))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dense = np.zeros((4000, 512))
+    for row, (t, v) in enumerate(zip(terms, values)):
+        dense[row, t] = v
+    assert np.allclose(made, (dense @ basis)[3:])
+    assert peak < 60e6  # the entries of all rows times the directions are 120 MB
