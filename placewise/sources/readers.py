@@ -89,14 +89,25 @@ def with_pages(table: DataFrame, order: Sequence[str], page_size: int = PAGE_SIZ
     return placed.withColumn("page", F.floor((F.col("position") - 1) / page_size).cast("bigint"))
 
 
-def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """One row per text file: file name and whole content."""
-    return (
+def _unpacked(lines: Column) -> Column:
+    """(place from 0, content) of every file in the text of a packed one (`writers.write_packed`)."""
+    return F.posexplode(F.transform(F.slice(F.split(lines, "\n"), 1, F.regexp_count(lines, F.lit("\n"))), F.unbase64))
+
+
+def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt", packed: bool = False) -> DataFrame:
+    """One row per text file: file name and whole content. With `packed` one row for each file that the files hold, named
+    by the packed file and its place there."""
+    files = (
         spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"), "_metadata.file_path")
     )
+    if not packed:
+        return files
+    each = files.select("source", "file_path", _unpacked(F.col("text")).alias("place", "content"))
+    name = F.concat_ws("#", "source", "place")
+    return each.select(name.alias("source"), F.col("content").cast("string").alias("text"), F.concat_ws("#", "file_path", "place").alias("file_path"))
 
 
 def read_images(
@@ -105,14 +116,20 @@ def read_images(
     classes: Sequence[str] = IMAGE_CLASSES,
     pattern: str = "*.{jpg,png}",
     folder_prefix: str = "",
+    packed: bool = False,
 ) -> DataFrame:
-    """Files below class folders: path, content, class name, label = place in the class list."""
+    """Files below class folders: path, content, class name, label = place in the class list. With `packed` one row for each
+    file that the files hold."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(folder)
     )
+    if packed:
+        each = files.select("path", "modificationTime", _unpacked(F.decode("content", "UTF-8")).alias("place", "content"))
+        path = F.concat_ws("#", "path", "place")
+        files = each.select(path.alias("path"), "modificationTime", F.length("content").cast("bigint").alias("length"), "content")
     folder_name = F.regexp_extract("path", rf"/{folder_prefix}([^/]+)/[^/]+$", 1)
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), folder_name)
     return (
