@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from placewise.operators.vectors import _asked, _blocks, _local_search, _matrix, rank_topk, vector_search
-from placewise.session import materialize, scratch_path
+from placewise.session import materialize, scratch_path, scratch_table
 from placewise.settings import TOP_K
 
 #: The list of rows without direction, which are at distance 1 from everything.
 ZERO = -1
 #: Rows that the centres are fitted on, rows of a part, and parts of an index at most (parts grow beyond that).
 FIT_ROWS, PART_ROWS, MOST_PARTS = 1_000_000, 50_000, 200_000
+#: Rows that a task fits centres on.
+TASK_ROWS = 10_000
 #: Rounding error of a distance that the bounds allow for.
 SLACK = 1e-9
 
@@ -59,9 +61,17 @@ def _unit(column: str):
 def fit_centres(index: DataFrame, lists: int, vec_col: str = "embedding", id_col: str = "id", rows: int = FIT_ROWS, seed: int = 42) -> np.ndarray:
     """Centres by distributed k-means, fitted on the `rows` rows that come first by a hash of their id."""
     units = index.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    units = units.where(F.exists("v", lambda x: x != 0)).withColumn("v", _unit("v")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    if not units.take(1):
+    units = units.where(F.exists("v", lambda x: x != 0)).withColumn("v", _unit("v"))
+    found = units.count()
+    if not found:
         return np.zeros((0, 0))
+    order = F.struct(F.xxhash64("id").alias("hash"), "id")
+    if found > rows:
+        last = units.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o").alias("o")).withColumnRenamed("o", "last")
+        units = units.crossJoin(F.broadcast(last)).where(order <= F.col("last")).drop("last")
+    # few rows in order in one task; more are shared among tasks, which an order with a limit would not do
+    tasks = -(-min(found, rows) // TASK_ROWS)
+    units = units.orderBy(order).coalesce(1) if tasks == 1 else units.repartition(tasks, "id")
     vectors = units.select(array_to_vector("v").alias("features")).persist()
     try:
         return np.array(KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(vectors).clusterCenters())
@@ -113,8 +123,10 @@ def build(
     if not len(centres):
         dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
         centres = np.zeros((1, dim))
-    placed = rows.withColumn("place", _nearest(centres)("embedding")).select("*", "place.list", "place.reach").drop("place")
-    total = rows.count()
+    placed = rows.withColumn("place", _nearest(centres)("embedding"))
+    # stored, as the ranges are counted before the rows are dealt, and each field would ask for the distances again
+    placed = scratch_table(placed, "placed").select("*", "place.list", "place.reach").drop("place")
+    total = placed.count()
     part_rows = max(part_rows, -(-total // MOST_PARTS))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_rows))
     dealt = placed.repartitionByRange(ranges, "list", "reach", "id").sortWithinPartitions("list", "reach")

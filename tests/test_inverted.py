@@ -107,3 +107,16 @@ def test_no_rows(spark):
     file = I.build(frame(spark, np.zeros((4, 4)), "id"), 3)
     assert found(I.exact_search(file, frame(spark, index[:1], "query_id"), 2)) == {(0, 1): 0, (0, 2): 1}
     assert I.search(file, frame(spark, index, "query_id").where("query_id < 0")).collect() == []
+
+
+def test_centres_are_fitted_by_many_tasks(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    index = clustered(400, 8, 3)
+    seen = []
+    fit = KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), fit(self, rows))[1])
+    monkeypatch.setattr(I, "TASK_ROWS", 50)
+    assert I.fit_centres(frame(spark, index, "id"), 6).shape == (6, 8)
+    assert I.fit_centres(frame(spark, index, "id"), 6, rows=120).shape == (6, 8)
+    assert seen == [(8, 400), (3, 120)]
