@@ -321,7 +321,7 @@ def answer_questions(t: Tables):
     docs = texts(t).select(F.col("doc_id").cast("string").alias("source"), "text")
     encoder = X.fit_text_embedding(docs)
     questions = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(F.pmod("item_id", F.lit(2)) == 1, F.pmod("item_id", F.lit(25)).cast("string")).alias("place"))
-    indexes = {"complaints": X.build_complaint_index(rows, encoder), "guidelines": X.build_guideline_index(docs, encoder, separator="\n")}
+    indexes = {"complaints": X.build_complaint_index(rows, encoder, sparse=True), "guidelines": X.build_guideline_index(docs, encoder, separator="\n", sparse=True)}
     stored = {n: readers.read_through_cache(t.spark, scratch_path(t.spark, n), lambda d=d: d) for n, d in indexes.items()}
     out = A.answer_questions(questions, stored["complaints"], stored["guidelines"], encoder, place="place")
     return out.select("query_id", "prompt", F.size("sources").alias("sources"))

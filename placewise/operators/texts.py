@@ -66,10 +66,13 @@ def fit_text_embedding(docs: DataFrame, text: str = "text", dimension: int = EMB
     return Pipeline(stages=stages).fit(docs.select(fill_text(F.col(text)).alias("_text")))
 
 
-def text_embed(docs: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
-    """Adds `embedding`, an array<float>."""
+def text_embed(docs: DataFrame, model: PipelineModel, text: str = "text", sparse: bool = False) -> DataFrame:
+    """Adds `embedding`, an array<float>; with `sparse` its length, its places other than zero and their values, which
+    `vector_search` takes as well."""
     out = model.transform(docs.withColumn("_text", fill_text(F.col(text))))
-    return out.select(*docs.columns, vector_to_array("_unit", "float32").alias("embedding"))
+    held = F.unwrap_udt("_unit")
+    short = F.struct(held["size"].alias("size"), held["indices"].alias("i"), held["values"].cast("array<float>").alias("v"))
+    return out.select(*docs.columns, (short if sparse else vector_to_array("_unit", "float32")).alias("embedding"))
 
 
 def row_id(df: DataFrame, prefix: str, key: str | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -87,18 +90,19 @@ def build_complaint_index(
     metadata: Sequence[str] = tuple(COMPLAINT_METADATA),
     key: str | None = "unique_key",
     order: Sequence[str] = (),
+    sparse: bool = False,
 ) -> DataFrame:
     """id, text, metadata map of the columns that exist, embedding."""
     kept = available(complaints, metadata)
     rows = row_id(complaints, "complaint", key, order).select(
         "id", fill_text(F.col(text)).alias("text"), stringify_metadata(kept).alias("metadata")
     )
-    return text_embed(rows, model)
+    return text_embed(rows, model, sparse=sparse)
 
 
 def build_guideline_index(
     docs: DataFrame, model: PipelineModel, source: str = "source", size: int = CHUNK_SIZE, separator: str = "\n\n",
-    numbered: bool = False, overlap: int = 0,
+    numbered: bool = False, overlap: int = 0, sparse: bool = False,
 ) -> DataFrame:
     """Documents to chunks with id, source, chunk index and embedding."""
     chunks = chunk_text(docs.select(F.col(source).cast("string").alias("source"), "text"), size=size, separator=separator, overlap=overlap)
@@ -107,7 +111,7 @@ def build_guideline_index(
     else:
         rows = chunks.withColumn("id", F.concat_ws("_", F.lit("guideline"), "source", "chunk_index"))
     named = F.create_map(F.lit("source"), F.col("source"), F.lit("chunk_index"), F.col("chunk_index").cast("string"))
-    return text_embed(rows.select("id", "text", named.alias("metadata")), model)
+    return text_embed(rows.select("id", "text", named.alias("metadata")), model, sparse=sparse)
 
 
 def metadata_equals(**wanted: str) -> Column:

@@ -27,8 +27,12 @@ BLOCK_BYTES = 64 * 1024 * 1024
 MOST_CLASSES = 10_000
 # Rows of a list whose pairs may all be asked for.
 MOST_PAIRED = 20_000
-# Distances computed at a time.
-DISTANCES = 1 << 21
+# Distances computed at a time, and numbers of the rows that they are computed for.
+DISTANCES, NUMBERS = 1 << 19, 1 << 19
+# Finds that wait to be ranked.
+MOST_HELD = 500
+# A vector by its places other than zero.
+SPARSE = "struct<size:int,i:array<int>,v:array<float>>"
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -42,6 +46,26 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return unit_rows(flat.reshape(-1, dim))
 
 
+def _rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of a column of arrays or of sparse rows."""
+    if not pa.types.is_struct(column.type):
+        return _matrix(column, dim)
+    _, places, values = column.flatten()
+    sizes = pa.compute.list_value_length(places).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dim))
+    out[np.repeat(np.arange(len(column)), sizes), places.flatten().to_numpy()] = values.flatten().to_numpy()
+    return unit_rows(out)
+
+
+def _dense(vector: str, rows: DataFrame) -> Column:
+    """A column of arrays or of sparse rows as array<double>."""
+    if rows.schema[vector].dataType.simpleString() != SPARSE:
+        return F.col(vector).cast("array<double>")
+    held = F.map_from_arrays(F.col(vector)["i"], F.col(vector)["v"])
+    places = F.sequence(F.lit(0), F.col(vector)["size"] - 1)
+    return F.transform(places, lambda p: F.coalesce(F.try_element_at(held, p), F.lit(0.0).cast("float")).cast("double"))
+
+
 def _asked(queries: DataFrame, qid: str, vec: str, match: str | None) -> DataFrame:
     key = (F.col(match) if match else F.lit(None).cast("string")).cast("string")
     return queries.where(F.col(vec).isNotNull()).select(F.col(qid).alias("q"), F.col(vec).cast("array<double>").alias("v"), key.alias("m"))
@@ -73,9 +97,12 @@ def vector_search(
     Distances are compared in full, or rounded to `digits` first.
     """
     pool = index.where(where) if where is not None else index
+    kind = pool.schema[vec_col].dataType
+    # short numbers and sparse rows travel as they are when one block of queries answers
+    own = F.col(vec_col) if kind.simpleString() in ("array<float>", SPARSE) else F.col(vec_col).cast("array<double>")
     pool = pool.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("id"),
-        F.col(vec_col).cast("array<double>").alias("v"),
+        own.alias("v"),
         (F.col(match[0]) if match else F.lit(None).cast("string")).cast("string").alias("m"),
     )
     asked = _asked(queries, query_id, query_vec, match[1] if match else None)
@@ -95,7 +122,7 @@ def vector_search(
             found = _local_search(block, **options)(iter(rows.to_batches()))
             return pa.concat_tables([empty, *(pa.Table.from_batches([b]) for b in found)])
 
-        near = _in_cells(pool, asked, nearest, schema, empty)
+        near = _in_cells(pool.withColumn("v", _dense("v", pool)), asked, nearest, schema, empty)
     if max_distance is not None:
         near = near.where(F.col("distance") <= max_distance)
     return rank_topk(near, k)
@@ -165,22 +192,24 @@ def _local_search(asked: pa.Table, k: int, matched: bool, types: tuple, digits:
         held = [pa.schema([("q", pa.int64()), ("d", pa.float64()), ("id", types[1])]).empty_table()]
         waiting = 0
         bound = np.full(len(queries), np.inf)  # no row beyond it is among the first k
-        for batch in batches:
-            matrix = _matrix(batch.column(1), dim)
+        most = max(1, NUMBERS // dim)
+        for batch in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
+            matrix = _rows_of(batch.column(1), dim)
             for places, rows in groups(batch.column(2), batch.num_rows):
                 step = max(1, DISTANCES // len(places))
                 for part in (rows[at : at + step] for at in range(0, len(rows), step)):
                     every = 1.0 - queries[places] @ matrix[part].T
                     every = every if digits is None else np.round(every, digits)
                     limit = bound[places]
-                    if len(part) > k:
+                    q, r = np.nonzero(every <= limit[:, None])
+                    if len(part) > k and len(q) > k * len(places):
                         limit = np.minimum(limit, np.partition(every, k - 1, axis=1)[:, k - 1])
                         bound[places] = limit
-                    q, r = np.nonzero(every <= limit[:, None])
+                        q, r = np.nonzero(every <= limit[:, None])
                     d = every[q, r]
                     held.append(pa.table({"q": places[q], "d": d, "id": batch.column(0).take(pa.array(part[r], pa.int64()))}))
                     waiting += len(q)
-                    if waiting > max(DISTANCES // 4, 2 * k * len(queries)):
+                    if waiting > max(DISTANCES // 4, 2 * k * len(queries)) or len(held) > MOST_HELD:
                         held, waiting = [best(held)], 0
                         held_q, held_d = held[0].column("q").to_numpy(), held[0].column("d").to_numpy()
                         full = np.flatnonzero(np.arange(len(held_q)) - np.searchsorted(held_q, held_q) == k - 1)

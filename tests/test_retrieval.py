@@ -227,3 +227,49 @@ def test_matrix_of_a_long_list_is_refused(spark, monkeypatch):
     assert V.cosine_matrix(frame(spark, vectors(3, 4, 1), "id")).count() == 9
     with pytest.raises(ValueError, match="too many pairs"):
         V.cosine_matrix(frame(spark, vectors(4, 4, 1), "id"))
+
+
+def test_large_batches_are_searched_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    index, queries = rng.normal(size=(20_000, 64)), rng.normal(size=(50, 64))
+    column = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 64).cast(pa.list_(pa.float64()))
+    asked = pa.table({"q": pa.array(range(50)), "v": column(queries), "m": pa.nulls(50, pa.string())})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), column(index), pa.nulls(20_000, pa.string())], ["id", "v", "m"])
+    run = V._local_search(asked, 3, False, (pa.int64(), pa.int64()), 9)
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = {}
+    for q, i in zip(got.column("query_id").to_pylist(), got.column("id").to_pylist()):
+        found.setdefault(q, []).append(i)
+    assert {(q, n + 1): i for q, ids in found.items() for n, i in enumerate(ids)} == brute(index, queries, 3)
+    assert peak < 30e6  # the batch's rows and their lengths take 10 MB each, all distances 8 MB
+
+
+def test_sparse_rows_are_found_like_arrays(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} common{i}") for i in range(80)] + [(80, None), (81, "")], "id int, text string")
+    model = X.fit_text_embedding(docs, dimension=32)
+    asked = X.text_embed(docs.where("id % 9 = 0").withColumnRenamed("id", "query_id"), model)
+    want = V.vector_search(X.text_embed(docs, model), asked, 4, digits=9).collect()
+    sparse = X.text_embed(docs, model, sparse=True)
+    assert sorted(V.vector_search(sparse, asked, 4, digits=9).collect()) == sorted(want)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 32 * 8 * 4)
+    assert sorted(V.vector_search(sparse, asked, 4, digits=9).collect()) == sorted(want)
+
+
+def test_questions_search_each_index_once(spark, monkeypatch):
+    from placewise.plans import answer as A
+
+    docs = spark.createDataFrame([(str(i), f"rats w{i % 5} near bins", {"zip_code": str(i % 3)}) for i in range(30)], "id string, text string, metadata map<string,string>")
+    model = X.fit_text_embedding(docs, dimension=32)
+    index = X.text_embed(docs, model, sparse=True)
+    questions = spark.createDataFrame([(0, "w1 bins", None), (1, "w2", "1")], "query_id int, question string, place string")
+    searched = []
+    search = A.vector_search
+    monkeypatch.setattr(A, "vector_search", lambda pool, *a, **b: (searched.append((b.get("match"), pool is index)), search(pool, *a, **b))[1])
+    rows = {r.query_id: r for r in A.answer_questions(questions, index, index, model, place="place").collect()}
+    assert len(searched) == 3  # guidelines, complaints, and complaints by place
+    assert all(len(r.sources) == 5 for r in rows.values()) and "Location: 1" in rows[1].prompt and "Location: 0" in rows[0].prompt
