@@ -181,7 +181,9 @@ class Memory:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of the words in ascending order and the place of each: 16 bytes a word, where a dictionary takes over 100
+        self.keys = np.zeros(0, np.uint64)
+        self.places = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.lengths = np.zeros(0, np.int64)
 
@@ -191,16 +193,20 @@ class Memory:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
         codes, distinct, first = arrays.numbered(arrays.hashes(data, starts, ends))
-        if len(self.known) + len(distinct) > REMEMBERED_WORDS:
+        if len(self.keys) + len(distinct) > REMEMBERED_WORDS:
             self.forget()
-        keys = distinct.tolist()
-        place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        slot = np.searchsorted(self.keys, distinct)
+        place = np.full(len(distinct), -1, np.int64)
+        seen = np.flatnonzero(slot < len(self.keys))
+        seen = seen[self.keys[slot[seen]] == distinct[seen]]
+        place[seen] = self.places[slot[seen]]
         new = np.flatnonzero(place < 0)
         if len(new):
             raw = data.tobytes()
             found = [self.encode(raw[s:e]) for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
             place[new] = np.arange(len(self.lengths), len(self.lengths) + len(new))
-            self.known.update((keys[i], int(place[i])) for i in new.tolist())
+            order = new[np.argsort(distinct[new])]
+            self.keys, self.places = np.insert(self.keys, slot[order], distinct[order]), np.insert(self.places, slot[order], place[order])
             self.lengths = np.concatenate([self.lengths, np.array([len(x) for x in found], np.int64)])
             self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.int32)])
         begins = np.cumsum(self.lengths) - self.lengths
@@ -225,7 +231,7 @@ def token_bytes(kind: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def encoded(kind: str, path: str, column: pa.Array):
     """(first row, lengths, ids, data, bounds) of consecutive slices of a text column."""
     texts = arrays.strings(column)
-    for at, rows in arrays.pieces(texts):
+    for at, rows in arrays.pieces(texts, arrays.PIECE_BYTES // 4):  # splitting takes some hundred bytes for each of a text
         data, bounds = arrays.laid_out(texts.slice(at, rows))
         ids, lengths = memory(kind, path).ids(data, bounds)
         yield at, lengths, ids, data, bounds
