@@ -1,26 +1,30 @@
 """K-d tree sharding: leaves of near equal bytes from recursive splits at distributed weighted medians.
 
-Each document is a small row: its size and a few numbers that describe it (`dimensions`). All nodes of a level are split
-in the same pass: the widest dimension of each node, the rows range-partitioned by node and that dimension, a running sum
-of bytes, and the cut nearest to the share of bytes that the node's left leaves shall hold. Ties fall back on a hash, so a
-value that a third of all rows share is split like any other. Texts never move and no node is gathered: a level is
-one range shuffle of the small rows, and the driver sees one row per node.
+Each document is a small row: its size and a few numbers that describe it (`dimensions`), stored once. All nodes of a level
+are split in the same passes: the widest dimension of each node, the bytes in ranges of it, and again in ranges of the one
+range that holds the cut, until a single row is left in it: the cut nearest to the share of bytes that the node's left leaves
+shall hold. Ties fall back on a hash, so a value that a third of all rows share is split like any other, and equal rows on
+the order in which they are stored. Texts never move and no node is gathered: rows are read where they lie, the driver sees one row per node
+and at most about `RANGES` sums, and only the slots take a range shuffle of the small rows. Cuts are not stored as tables:
+a level that wrote its rows made a file in every task, and creating a file costs more than splitting its few rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from placewise.llm.storage import in_batches, stored
 
 SHARDS = 40
 OVERHEAD = 16
 DIMENSIONS = ("length", "language", "origin")
+#: Ranges that a pass sums up, of all nodes together (16 a node at least).
+RANGES = 1 << 14
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -93,6 +97,88 @@ def leaves_for(docs: DataFrame, target_bytes: int) -> int:
     return max(1, round(total / target_bytes))
 
 
+def _left(keys: list[tuple[str, float | int]], with_cut: bool) -> Column:
+    """Whether a row comes before the cut row, of which `keys` has the values in the order of sorting, or is it and `with_cut` holds."""
+    *front, (name, value) = keys
+    found = F.col(name) <= value if with_cut else F.col(name) < value
+    for name, value in reversed(front):
+        found = (F.col(name) < value) | ((F.col(name) == value) & found)
+    return found
+
+
+def _at_leaves(node: int, leaves: int, cuts: dict[tuple[int, int], Column], leaf: Callable[[int], Column]) -> Column:
+    """`leaf` of the node to which the cuts bring a row; leaves of a node are numbered from the node's number."""
+    if (node, leaves) not in cuts:
+        return leaf(node)
+    half = leaves // 2
+    return F.when(cuts[node, leaves], _at_leaves(node, half, cuts, leaf)).otherwise(_at_leaves(node + half, leaves - half, cuts, leaf))
+
+
+def _range(keys: list[tuple[str, float | int]], name: str, low: float | int, high: float | int, ranges: int) -> Column:
+    """Number of the range of `name` between `low` and `high` in which a row lies that has the values `keys`; other rows get null."""
+    if isinstance(low, float):
+        at = F.least(F.floor((F.col(name) - low) / (high - low) * ranges), F.lit(ranges - 1))
+    else:
+        shift = max(0, (high - low).bit_length() - ranges.bit_length())
+        while (high >> shift) - (low >> shift) >= ranges:
+            shift += 1
+        at = F.shiftright(name, shift) - (low >> shift)
+    inside = F.col(name).between(low, high)
+    for other, value in keys:
+        inside = (F.col(other) == value) & inside
+    return F.when(inside, at.cast("bigint"))
+
+
+def _measured(rows: DataFrame, *by: Column) -> list:
+    """Bytes, rows and the least and largest values of each group."""
+    ends = [f(c).alias(f"{c}_{end}") for c in (*DIMENSIONS, "tie", "number") for f, end in ((F.min, "low"), (F.max, "high"))]
+    return rows.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *ends).collect()
+
+
+def _cuts(rows: DataFrame, sides: list[tuple[int, int]], at_leaves: Callable[[Callable[[int], Column]], Column]) -> dict[tuple[int, int], Column]:
+    """{(node, leaves): whether a row of the node goes left} of the nodes in `sides` that shall be split and have rows."""
+    whole = {r["node"]: r for r in _measured(rows, at_leaves(F.lit).alias("node"))}  # one row per node
+    found, searched = {}, {}
+    for node, leaves in sides:
+        if leaves > 1 and node in whole:
+            r = whole[node]
+            widest = max(DIMENSIONS, key=lambda d: r[f"{d}_high"] - r[f"{d}_low"])
+            searched[node] = {"leaves": leaves, "names": [widest, "tie", "number"], "keys": [], "before": 0, "goal": r["bytes"] * (leaves // 2) / leaves, "range": r}
+    while True:
+        for node, x in list(searched.items()):
+            r, names = x["range"], x["names"]
+            while r["n"] > 1 and r[f"{names[0]}_low"] == r[f"{names[0]}_high"]:
+                x["keys"].append((names[0], r[f"{names.pop(0)}_low"]))
+            if r["n"] == 1:
+                upto = x["before"] + r["bytes"]
+                stays = upto - r["bytes"] / 2 <= x["goal"]  # a row goes where most of it lies
+                found[node, x["leaves"]] = _left([*x["keys"], (names[0], r[f"{names[0]}_low"])], stays)
+                del searched[node]
+        if not searched:
+            return found
+        ranges = max(16, RANGES // len(searched))
+
+        def of(node: int, ranges: int = ranges) -> Column:
+            if node not in searched:
+                return F.lit(None).cast("bigint")
+            x = searched[node]
+            name = x["names"][0]
+            return _range(x["keys"], name, x["range"][f"{name}_low"], x["range"][f"{name}_high"], ranges) + node * RANGES
+
+        sums = sorted((r for r in _measured(rows, at_leaves(of).alias("at")) if r["at"] is not None), key=lambda r: r["at"])
+        passed = set()
+        for r in sums:
+            node = r["at"] // RANGES
+            x = searched[node]
+            if node in passed:
+                continue
+            if x["before"] + r["bytes"] > x["goal"]:
+                x["range"] = r
+                passed.add(node)
+            else:
+                x["before"] += r["bytes"]
+
+
 def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of `docs`.
 
@@ -100,31 +186,14 @@ def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     the order of doc_id (nulls first) and hash. Repeated rows are placed one by one; columns besides doc_id, text, lang and source are not
     read. With fewer rows than shards some shards stay empty.
     """
-    rows = stored(described(docs).withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards)), "described")
-    sides = {0: shards}  # node -> leaves; leaves of a node are numbered from the node's number
-    while any(k > 1 for k in sides.values()):
-        spread = [(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]
-        found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()}  # one row per node
-        axis, goal = F.lit(0.0), F.lit(-1.0)
-        for node, leaves in sides.items():
-            if leaves > 1 and node in found:
-                widest = max(DIMENSIONS, key=lambda d: found[node][d])
-                axis = F.when(F.col("node") == node, F.col(widest)).otherwise(axis)
-                goal = F.when(F.col("node") == node, F.lit(found[node]["bytes"] * (leaves // 2) / leaves)).otherwise(goal)
-        summed = running_totals(rows.withColumn("axis", axis), [F.col("axis"), F.col("tie"), F.col("doc_id")])
-        middle = F.col("bytes_to") - F.col("size") / 2  # a row goes where most of it lies
-        right = (F.col("leaves") > 1) & (middle > goal)
-        half = F.floor(F.col("leaves") / 2).cast("int")
-        rows = stored(
-            summed.select(
-                *[c for c in rows.columns if c not in ("node", "leaves")],
-                F.when(right, F.col("node") + half).otherwise(F.col("node")).alias("node"),
-                F.when(F.col("leaves") == 1, F.lit(1)).when(right, F.col("leaves") - half).otherwise(half).alias("leaves"),
-            ),
-            "split",
-        )
-        sides = {n: k for node, leaves in sides.items() for n, k in (((node, leaves // 2), (node + leaves // 2, leaves - leaves // 2)) if leaves > 1 else ((node, 1),))}
-    placed = running_totals(rows, [F.col("doc_id"), F.col("tie")])
+    rows = stored(described(docs).withColumn("number", F.monotonically_increasing_id()), "described")
+    cuts: dict[tuple[int, int], Column] = {}
+    at_leaves = lambda leaf: _at_leaves(0, shards, cuts, leaf)
+    sides = [(0, shards)]
+    while any(k > 1 for _, k in sides):
+        cuts |= _cuts(rows, sides, at_leaves)
+        sides = [x for node, k in sides for x in ([(node, k // 2), (node + k // 2, k - k // 2)] if k > 1 else [(node, k)])]
+    placed = running_totals(rows.select("doc_id", "size", "text_crc32", "tie", at_leaves(F.lit).alias("node")), [F.col("doc_id"), F.col("tie")])
     return placed.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"), (F.col("rows_to") - 1).alias("slot"))
 
 

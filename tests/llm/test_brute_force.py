@@ -1,6 +1,7 @@
 """Token counts per section and shards, against plain loops on whole tables."""
 
 import zlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -100,3 +101,21 @@ def test_shards_of_odd_rows(spark):
     rows = sharding.described(docs).collect()
     expected = {rows[i].doc_id: s for i, s in plain_split(rows, 5).items()}
     assert {r.doc_id: r.shard for r in sharding.assigned(docs, 5).collect()} == expected
+
+
+def test_shards_store_two_tables_whatever_their_number(spark, small, monkeypatch):
+    names = []
+    monkeypatch.setattr(sharding, "stored", lambda df, name, store=sharding.stored: names.append(name) or store(df, name))
+    sharding.assigned(spark.read.parquet(f"{small}/documents.parquet"), 40)
+    assert len(names) <= 2  # every table is a file in every task
+
+
+@pytest.mark.parametrize("ranges", [16, 1 << 14])
+def test_shards_split_between_equal_rows(spark, monkeypatch, ranges):
+    monkeypatch.setattr(sharding, "RANGES", ranges)
+    docs = spark.createDataFrame([*[(7, "copy", "en", "a", 0, 1, 2, 3)] * 50, *[(None, None, None, None, 0, 1, 2, 3)] * 9, *[(i, "x" * i, "de", "b", 0, 1, 2, 3) for i in range(30)]], SCHEMA)
+    rows = sharding.described(docs).collect()
+    expected = Counter((rows[i].doc_id, s) for i, s in plain_split(rows, 7).items())
+    found = sharding.assigned(docs, 7).collect()
+    assert Counter((r.doc_id, r.shard) for r in found) == expected
+    assert all([r.slot for r in sorted(found, key=lambda r: r.slot) if r.shard == s] == list(range(n)) for s, n in Counter(r.shard for r in found).items())
