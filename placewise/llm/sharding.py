@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from placewise.llm.storage import in_batches, stored
@@ -47,38 +46,37 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition, and rows and bytes of the same node so far in it (this row included). Rows come sorted by node."""
-    part, node_before, rows_before, bytes_before = TaskContext.get().partitionId(), None, 0, 0
+    """Adds rows and bytes of the same node so far in the same part (this row included). Parts come one by one, sorted by node."""
+    before, rows_before, bytes_before = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         nodes = batch.column(batch.schema.get_field_index("node")).to_numpy()
+        parts = batch.column(batch.schema.get_field_index("part")).to_numpy()
         sizes = batch.column(batch.schema.get_field_index("size")).to_numpy()
-        heads = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        heads = np.flatnonzero(np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (parts[1:] != parts[:-1])]))
         lengths = np.diff(np.append(heads, len(nodes)))
         sums = np.cumsum(sizes)
         count = np.arange(1, len(nodes) + 1) - np.repeat(heads, lengths)
         total = sums - np.repeat(sums[heads] - sizes[heads], lengths)
-        if nodes[0] == node_before:
+        if (parts[0], nodes[0]) == before:
             count[: lengths[0]] += rows_before
             total[: lengths[0]] += bytes_before
-        node_before, rows_before, bytes_before = nodes[-1], int(count[-1]), int(total[-1])
+        before, rows_before, bytes_before = (parts[-1], nodes[-1]), int(count[-1]), int(total[-1])
         names = [f.name for f in batch.schema]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(len(nodes), part, np.int32)), pa.array(count, pa.int64()), pa.array(total, pa.int64())], [*names, "part", "rows_to", "bytes_to"]
-        )
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count, pa.int64()), pa.array(total, pa.int64())], [*names, "rows_to", "bytes_to"])
 
 
 def running_totals(rows: DataFrame, order: list) -> DataFrame:
     """`rows` with rows_to and bytes_to: rows and bytes of the same node up to and with this one, in `order`.
 
     Range-partitioned by node and order, so a large node spreads over many tasks; what earlier partitions hold of a node
-    comes from one row per partition and node.
+    comes from one row per partition and node. Two tasks a core write them, each several partitions, which keep their numbers.
     """
     keys = [F.col("node"), *order]
-    added = [T.StructField("part", T.IntegerType()), T.StructField("rows_to", T.LongType()), T.StructField("bytes_to", T.LongType())]
-    schema = T.StructType([*rows.schema.fields, *added])
-    placed = stored(in_batches(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), _running, schema), "running")
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("rows_to", T.LongType()), T.StructField("bytes_to", T.LongType())])
+    placed = stored(in_batches(ranged.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism), _running, schema), "running")
     held = placed.groupBy("part", "node").agg(F.max("rows_to").alias("n"), F.max("bytes_to").alias("b"))
     earlier = F.broadcast(held)  # at most partitions + nodes rows, as partitions are ranges of nodes
     before = (

@@ -119,3 +119,22 @@ def test_shards_split_between_equal_rows(spark, monkeypatch, ranges):
     found = sharding.assigned(docs, 7).collect()
     assert Counter((r.doc_id, r.shard) for r in found) == expected
     assert all([r.slot for r in sorted(found, key=lambda r: r.slot) if r.shard == s] == list(range(n)) for s, n in Counter(r.shard for r in found).items())
+
+
+def test_slots_over_many_partitions_are_stored_in_few_files(spark, small, monkeypatch):
+    kept = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    tables = {}
+    monkeypatch.setattr(sharding, "stored", lambda df, name, store=sharding.stored: tables.setdefault(name, store(df, name)))
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        found = sharding.assigned(spark.read.parquet(f"{small}/documents.parquet"), 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tables["running"].select("part").distinct().count() > 60
+    assert len(tables["running"].inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+    for shard in range(3):
+        own = sorted((r for r in found if r.shard == shard), key=lambda r: r.doc_id)
+        assert [r.slot for r in own] == list(range(len(own)))
