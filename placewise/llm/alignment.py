@@ -10,7 +10,8 @@ two cuts lies a group, and every token of the one side is linked to every token
    stitched to what lies behind the last cut of the pieces before it (`merged`).
 3. Links are kept as distinct id pairs per document, with how often they occur; documents are gathered to blocks, each with
    a list of its distinct pairs and in how many of its documents they are. Only those lists are shuffled: summed over the
-   corpus, ranked within their A id, and joined back to the blocks, which sum up their documents.
+   corpus, ranked within their A id, and joined back to the blocks, which sum up their documents. Which pairs a document
+   links, and how often, stays packed in its block: spelled out as arrays it takes more than the text does.
 
 A pair that stands in every text costs one row a block. Null and empty texts, and texts whose tokens spell other bytes, have
 no tokens: zeros and an empty digest. Rows are kept one by one, so that equal and null doc_ids each give a row, and repeated
@@ -30,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import arrays, vocabularies
+from placewise.llm import arrays, byte_bpe, vocabularies
 from placewise.llm.storage import in_batches, stored
 
 #: Merge steps of a piece, text of a block, and pairs of ids that are spelled out at once.
@@ -38,7 +39,7 @@ STEPS, BLOCK_BYTES, SPELLED = 256, 4 << 20, 1 << 20
 _SIDE = np.int64(1 << 32)
 _BLOCKS = (
     "block bigint, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, groups_sha256 array<string>, "
-    "a array<int>, b array<int>, n_docs array<int>, slots array<int>, times array<bigint>, distinct array<int>"
+    "a array<int>, b array<int>, n_docs array<int>, slots binary, times binary, distinct array<int>"
 )
 _REPORT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
@@ -204,19 +205,24 @@ def _align(path_a: str, path_b: str):
             distinct, slots, n_docs = np.unique(pair, return_inverse=True, return_counts=True)
             per_doc = np.bincount(doc, minlength=before[-1])
             listed = [docs, *(np.concatenate([h[k] for h in held]) for k in range(4)), [d for h in held for d in h[4]]]
-            listed += [distinct // _SIDE, distinct % _SIDE, n_docs, slots, times, per_doc]
+            # a document's slots ascend, so their steps are small
+            packed = [byte_bpe._shrunk(np.diff(slots, prepend=0).astype(np.int32)), byte_bpe._shrunk(times)]
+            listed += [distinct // _SIDE, distinct % _SIDE, n_docs, *packed, per_doc]
             fields = [f.rsplit(" ", 1) for f in _BLOCKS.split(", ")]
             kinds = {"array<bigint>": pa.int64(), "array<int>": pa.int32(), "array<string>": pa.string()}
             key = (TaskContext.get().partitionId() << 32) | number
             columns = [pa.array([key], pa.int64())]
             for values, (_, kind) in zip(listed, fields[1:]):
+                if kind == "binary":
+                    columns.append(pa.array([values], pa.binary()))
+                    continue
                 flat = pa.array(values if isinstance(values, list) else values.astype(kinds[kind].to_pandas_dtype()), kinds[kind])
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
             return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), arrays.strings(batch.column(1))
-            for at, rows in arrays.pieces(texts):
+            for at, rows in arrays.pieces(texts, arrays.PIECE_BYTES // 4):  # splitting and linking take some hundred bytes for each of a text
                 own = texts.slice(at, rows)
                 held.append(aligned(own, path_a, path_b))
                 docs += names[at : at + rows]
@@ -248,11 +254,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _REPORT.split(", ")]
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {name: batch.column(k)[i].values for k, name in enumerate(batch.schema.names)}
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            packed = row.pop("slots").as_py(), row.pop("times").as_py()
+            row = {name: value.values for name, value in row.items()}
             order = np.argsort(row["place"].to_numpy())
             n, best = row["n"].to_numpy()[order], row["best"].to_numpy(zero_copy_only=False)[order]
-            slots, times, per_doc = row["slots"].to_numpy(), row["times"].to_numpy(), row["distinct"].to_numpy()
+            per_doc = row["distinct"].to_numpy()
             ends = np.cumsum(per_doc)
+            slots, times = (byte_bpe._grown(p, int(per_doc.sum()), kind) for p, kind in zip(packed, (np.int32, np.int64)))
+            slots = np.cumsum(slots)
             sums = [np.append(0, np.cumsum(v))[ends] - np.append(0, np.cumsum(v))[ends - per_doc] for v in (np.where(best[slots], times, 0), times * n[slots])] if len(slots) else [np.zeros(len(per_doc), np.int64)] * 2
             given = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], *map(pa.array, sums), row["groups_sha256"]]
             yield pa.RecordBatch.from_arrays(given, names)
@@ -269,7 +279,8 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     none = {"place": "array<int>", "n": "array<bigint>", "best": "array<boolean>"}
     kept = ["doc_ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "slots", "times", "distinct"]
     rows = made.select("block", *kept).join(answers, "block", "left").select(*kept, *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in none.items()])
-    return in_batches(rows, _summed, _REPORT)
+    # two tasks a core write them, each several partitions: the JVM is at its largest here and starts processes for every file
+    return in_batches(rows, _summed, _REPORT).coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:

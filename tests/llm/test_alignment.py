@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import tracemalloc
+import types
 
 import numpy as np
 import public_tokenizers
@@ -124,3 +126,35 @@ def test_words_of_pieces_equal_the_library(libraries):
     memory = vocabularies.memory("pieces", B)
     ids, counts = memory.ids(*arrays.laid_out(arrays.strings(pa.array([" " + t for t in texts]))))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [libraries[1].encode(t) for t in texts]
+
+
+def test_blocks_are_packed_and_made_in_little_memory(monkeypatch):
+    monkeypatch.setattr(alignment, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(3)
+    known = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(known) for _ in range(400)) for _ in range(1000)]
+    size = sum(map(len, texts))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    align = alignment._align(A, B)
+    list(align(iter([batch.slice(0, 9)])))  # tables that a worker makes once
+    tracemalloc.start()
+    made = list(align(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(m.column(1)[0]) for m in made) == len(texts)
+    assert sum(m.nbytes for m in made) < size  # as arrays of numbers, some 3 bytes for each of the text
+    assert most < 30 * size
+
+
+def test_few_tasks_write_the_documents(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string").repartition(40)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    most = 2 * spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", most + 8)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        made = alignment.aligned_documents(docs, A, B)
+        assert made.rdd.getNumPartitions() <= most and made.count() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
